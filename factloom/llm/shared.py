@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: White space as the tokenizers' own patterns have it (the Unicode property White_Space), for a class in a pattern.
+BLANK = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+
 #: Fixed odd multipliers and byte values of the rolling hashes, the same in every process.
 _RNG = np.random.Generator(np.random.PCG64(20240917))
 BYTE_VALUES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -138,13 +138,13 @@ def repeated_cells(docs: DataFrame, k: int, bits: int) -> list[bytes]:
 ENTRY = np.dtype([("a", "<u8"), ("b", "<u4"), ("doc", "<u4"), ("pos", "<u4")])
 
 
-def candidates(k: int, bits: int, sketch, shards: int, most: int = 1_000_000):
+def candidates(k: int, bits: int, sketch, shards: int, buckets: int, most: int = 1_000_000):
     """Arrow function: windows that the sketch estimates as repeated, settled within the task and dealt by minimiser.
 
-    Rows with a payload of windows have doc_id null; `docs` then holds ids and fingerprints of the texts it names.
-    Rows with a doc_id hold the starts of windows already known to be repeats.
+    Rows without a bucket hold windows to group, as ENTRYs and the (doc_id, text_hash) they name.  Rows with one hold
+    starts of windows already known to be repeats, for the texts of the bucket.
     """
-    schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("docs", pa.binary()), ("starts", pa.binary())])
+    schema = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("docs", pa.binary()), ("starts", pa.binary())])
 
     def emit(got: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         key, a, b, doc, text, pos = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -155,12 +155,10 @@ def candidates(k: int, bits: int, sketch, shards: int, most: int = 1_000_000):
         least = doc[np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))]
         first = doc == least
         out: dict[str, list] = {c: [] for c in schema.names}
-        o = np.flatnonzero(~first)
-        for ids, th, starts in by_text(doc[o], text[o], pos[o]):
-            out["shard"].append(int(th % shards))
-            out["doc_id"].append(ids)
-            out["text_hash"].append(th)
-            out["docs"].append(None)
+        for bucket, docs, starts in by_bucket(doc[~first], text[~first], pos[~first], buckets):
+            out["shard"].append(bucket % shards)
+            out["bucket"].append(bucket)
+            out["docs"].append(docs)
             out["starts"].append(starts)
         o = np.flatnonzero(first)
         shard = (mix(key[o], 99) % np.uint64(shards)).astype(np.int32)
@@ -174,8 +172,7 @@ def candidates(k: int, bits: int, sketch, shards: int, most: int = 1_000_000):
             entries = np.empty(len(own), dtype=ENTRY)
             entries["a"], entries["b"], entries["doc"], entries["pos"] = a[own], b[own], which.ravel(), pos[own]
             out["shard"].append(int(shard[x]))
-            out["doc_id"].append(None)
-            out["text_hash"].append(None)
+            out["bucket"].append(None)
             out["docs"].append(table.astype("<i8").tobytes())
             out["starts"].append(entries.tobytes())
         yield pa.RecordBatch.from_pydict(out, schema=schema)
@@ -210,42 +207,60 @@ def candidates(k: int, bits: int, sketch, shards: int, most: int = 1_000_000):
     return run
 
 
-def by_text(doc: np.ndarray, text: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """Starts of each (doc_id, text)."""
+def by_bucket(doc: np.ndarray, text: np.ndarray, pos: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """Starts of repeats, for each bucket of texts: a table of (doc_id, text_hash, number), and all the starts."""
     if not len(doc):
         return
-    o = np.lexsort((pos, text, doc))
-    doc, text, pos = doc[o], text[o], pos[o]
+    bucket = (mix(doc.astype(np.int64).view(np.uint64), 5) % np.uint64(buckets)).astype(np.int64)
+    o = np.lexsort((pos, text, doc, bucket))
+    bucket, doc, text, pos = bucket[o], doc[o], text[o], pos[o].astype("<u4")
     cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])])
-    for x, y in zip(cuts, [*cuts[1:], len(doc)], strict=True):
-        yield int(doc[x]), int(text[x]), pos[x:y].astype("<u4").tobytes()
+    table = np.stack([doc[cuts], text[cuts], np.diff(cuts, append=len(doc))], axis=1).astype("<i8")
+    own = np.flatnonzero(np.diff(bucket[cuts], prepend=-1))
+    for x, y in zip(own, [*own[1:], len(cuts)], strict=True):
+        yield int(bucket[cuts[x]]), table[x:y].tobytes(), pos[cuts[x] : cuts[y] if y < len(cuts) else len(pos)].tobytes()
 
 
+SETTLED = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("starts", pa.binary())])
 REPEATS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("starts", pa.binary())])
 
 
-def settled(group: pa.Table) -> pa.Table:
+def settled(buckets: int):
     """All tasks' windows of one shard: every holder but the smallest doc_id of a window loses it."""
-    done = group.filter(group["doc_id"].is_valid()).select(REPEATS.names).cast(REPEATS)
-    entries, docs, texts = [], [], []
-    for table, starts in zip(group["docs"].to_pylist(), group["starts"].to_pylist(), strict=True):
-        if table is not None:
-            e = np.frombuffer(starts, dtype=ENTRY)
-            t = np.frombuffer(table, dtype="<i8").reshape(-1, 2)[e["doc"]]
-            entries.append(e)
-            docs.append(t[:, 0])
-            texts.append(t[:, 1])
-    if not entries:
-        return done
-    e, doc, text = np.concatenate(entries), np.concatenate(docs), np.concatenate(texts)
-    o = np.lexsort((doc, e["b"], e["a"]))
-    e, doc, text = e[o], doc[o], text[o]
-    new = np.ones(len(e), dtype=bool)
-    new[1:] = (e["a"][1:] != e["a"][:-1]) | (e["b"][1:] != e["b"][:-1])
-    later = doc > doc[np.maximum.accumulate(np.where(new, np.arange(len(e)), 0))]
-    found = list(by_text(doc[later], text[later], e["pos"][later]))
-    more = [pa.array([x[i] for x in found], type=f.type) for i, f in enumerate(REPEATS)]
-    return pa.concat_tables([done, pa.Table.from_arrays(more, schema=REPEATS)])
+
+    def run(group: pa.Table) -> pa.Table:
+        done = group.filter(group["bucket"].is_valid()).select(SETTLED.names).cast(SETTLED)
+        entries, docs = [], []
+        for bucket, table, starts in zip(group["bucket"].to_pylist(), group["docs"].to_pylist(), group["starts"].to_pylist(), strict=True):
+            if bucket is None:
+                entries.append(np.frombuffer(starts, dtype=ENTRY))
+                docs.append(np.frombuffer(table, dtype="<i8").reshape(-1, 2)[entries[-1]["doc"]])
+        if not entries:
+            return done
+        e, docs = np.concatenate(entries), np.concatenate(docs)
+        o = np.lexsort((docs[:, 0], e["b"], e["a"]))
+        e, doc, text = e[o], docs[o, 0], docs[o, 1]
+        new = np.ones(len(e), dtype=bool)
+        new[1:] = (e["a"][1:] != e["a"][:-1]) | (e["b"][1:] != e["b"][:-1])
+        later = doc > doc[np.maximum.accumulate(np.where(new, np.arange(len(e)), 0))]
+        found = list(by_bucket(doc[later], text[later], e["pos"][later], buckets))
+        more = [pa.array([x[i] for x in found], type=f.type) for i, f in enumerate(SETTLED)]
+        return pa.concat_tables([done, pa.Table.from_arrays(more, schema=SETTLED)])
+
+    return run
+
+
+def of_text(group: pa.Table) -> pa.Table:
+    """All shards' repeats of one bucket: the sorted starts of each text."""
+    tables = [np.frombuffer(x, dtype="<i8").reshape(-1, 3) for x in group["docs"].to_pylist()]
+    table = np.concatenate(tables)
+    pos = np.concatenate([np.frombuffer(x, dtype="<u4") for x in group["starts"].to_pylist()])
+    doc, text = np.repeat(table[:, 0], table[:, 2]), np.repeat(table[:, 1], table[:, 2])
+    o = np.lexsort((pos, text, doc))
+    doc, text, pos = doc[o], text[o], pos[o]
+    cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])])
+    starts = [pos[x:y].tobytes() for x, y in zip(cuts, [*cuts[1:], len(doc)], strict=True)]
+    return pa.Table.from_arrays([pa.array(doc[cuts]), pa.array(text[cuts]), pa.array(starts, type=pa.binary())], schema=REPEATS)
 
 
 def cut(k: int, keep_text: bool):
@@ -261,8 +276,8 @@ def cut(k: int, keep_text: bool):
                 n = len(words)
                 if starts:
                     edges = np.zeros(n + 1, dtype=np.int64)
-                    at = np.unique(np.concatenate([np.frombuffer(x, dtype="<u4") for x in starts]))
-                    edges[at] += 1
+                    at = np.frombuffer(starts, dtype="<u4").astype(np.int64)
+                    np.add.at(edges, at, 1)
                     np.add.at(edges, at + k, -1)
                     words = [w for w, gone in zip(words, np.cumsum(edges[:n]) > 0, strict=True) if not gone]
                 kept = b" ".join(words)
@@ -288,9 +303,10 @@ def substring_dedup(documents: DataFrame, k: int = 13, keep_text: bool = False,
     shards = max(32, math.ceil(size / (4 << 20)))
     sketch = spark.sparkContext.broadcast(repeated_cells(docs.select("text"), k, bits))
     hashed = docs.withColumn("text_hash", F.xxhash64("text"))
-    found = hashed.mapInArrow(candidates(k, bits, sketch, shards), "shard int, doc_id long, text_hash long, docs binary, starts binary")
-    repeats = found.groupBy("shard").applyInArrow(settled, "doc_id long, text_hash long, starts binary")
-    repeats = repeats.groupBy("doc_id", "text_hash").agg(F.collect_list("starts").alias("starts"))
+    buckets = max(32, math.ceil(size / (8 << 20)))
+    found = hashed.mapInArrow(candidates(k, bits, sketch, shards, buckets), "shard int, bucket int, docs binary, starts binary")
+    repeats = found.groupBy("shard").applyInArrow(settled(buckets), "bucket int, docs binary, starts binary")
+    repeats = repeats.groupBy("bucket").applyInArrow(of_text, "doc_id long, text_hash long, starts binary")
     joined = hashed.join(repeats, ["doc_id", "text_hash"], "left").select("doc_id", "text", "starts")
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
     return joined.mapInArrow(cut(k, keep_text), out)

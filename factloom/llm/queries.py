@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .best_fit_packing import best_fit_packing
 from .exact_topk import exact_topk
+from .license_scans import license_scan
+from .repetition_rules import repetition_rules
 from .sharding import sharded
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
@@ -43,15 +45,45 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(spark, sf_dir, "documents"))
 
 
+def op6_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition_rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
+
+
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_exact_topk": op3_exact_topk,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_sharding": op5_sharding,
+    "op6_repetition_rules": op6_repetition_rules,
+    "op7_license_scans": op7_license_scans,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_repetition_rules": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d),
+r AS (
+  SELECT doc_id, k, unnest(generate_series(i, i + k - 1)) AS p FROM (
+    SELECT doc_id, i, k, count(*) OVER (PARTITION BY doc_id, k, s) AS n
+    FROM (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM p, (VALUES (5), (8)) AS ks(k) WHERE i + k - 1 <= len(w)))
+  WHERE n > 1),
+long AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, array_to_string(w[i:i + 200], ' ') AS s FROM p WHERE i + 200 <= len(w)) GROUP BY doc_id, s HAVING count(*) > 1),
+c AS (SELECT doc_id, count(DISTINCT p) FILTER (k = 8) AS n_repeat_words, count(DISTINCT p) FILTER (k = 5) AS n_covered_words FROM r GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^ \t-\r]') GROUP BY doc_id),
+f AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_covered_words, 0)::BIGINT AS n_covered_words, long.doc_id IS NOT NULL AS too_long
+  FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN long USING (doc_id)),
+g AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND n_covered_words <= 0.4 * n_words AND NOT too_long AS kept, n_covered_words
+FROM g
+""",
     "op3_exact_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),

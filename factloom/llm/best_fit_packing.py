@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 import zlib
@@ -24,69 +25,64 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import BLANK, pieces, saved
+from .shared import pieces, saved
 
-#: Cuts only where the tokenizer's pattern cuts as well: before the last white space of a run, or the word after it.
-CHUNK = re.compile(f" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]")
-MEMO = 600_000
+#: Texts of these characters only are split alike by every version of the Unicode tables.
+SETTLED = re.compile("[\x00-\u024f\u2010-\u2027\u2030-\u203a\u20ac]*")
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes, with a bounded memo of chunks."""
+    """Ids of texts, as the tokenizer's file has them.
 
-    def __init__(self, path: str):
+    ranks: the same vocabulary for a second library, which is several times faster and has the same merges.  It gets
+    the texts without special strings whose characters both libraries surely split alike; the first gets all others.
+    """
+
+    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
+        self.fast = None
+        if ranks:
+            import tiktoken
 
-    def learn(self, chunks: set[str]) -> None:
-        if len(self.known) + len(chunks) > MEMO:
-            self.known.clear()
-        new = list(chunks)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for chunk, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(got.ids, dtype="<u4").tobytes()
+            with open(ranks, "rb") as f:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [not any(s in x for s in self.special) for x in texts]
-        chunks = [CHUNK.findall(x) if p else [] for x, p in zip(texts, plain, strict=True)]
-        self.learn(set().union(*chunks) - self.known.keys())
-        known = self.known
-        return [b"".join([known[c] for c in own]) if p else self.whole(x) for x, p, own in zip(texts, plain, chunks, strict=True)]
+    def encode(self, text: str) -> np.ndarray:
+        if self.fast and SETTLED.fullmatch(text) and not self.special.search(text):
+            return np.array(self.fast.encode_ordinary(text), dtype="<u4")
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One for each tokenizer file and worker process; kept between tasks."""
-    if path not in _encoders:
+def encoder(*files: str | None) -> Encoder:
+    """One for each tokenizer and worker process; kept between tasks."""
+    if files not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        _encoders[files] = Encoder(*files)
+    return _encoders[files]
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def encoded(path: str, capacity: int, end_id: int, keep_ids: bool):
+def encoded(files: tuple[str | None, ...], capacity: int, end_id: int, keep_ids: bool):
     schema = PIECES.append(pa.field("ids", pa.binary())) if keep_ids else PIECES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(*files).encode
         end = int(end_id).to_bytes(4, "little")
         for batch in pieces(batches, most=4 << 20):
             out: list[tuple] = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode([x or "" for x in batch.column("text").to_pylist()]), strict=True):
-                ids += end
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                ids = encode(text or "").tobytes() + end
                 n = len(ids) // 4
                 first = n % capacity or capacity  # only the first piece may be shorter
                 cuts = [0, *range(first, n + 1, capacity)]
@@ -162,17 +158,25 @@ def pack(items: DataFrame, capacity: int, order: list[str]) -> DataFrame:
     )
 
 
-def best_fit_packing(documents: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
+def best_fit_packing(
+    documents: DataFrame,
+    tokenizer: str,
+    ranks: str | None = None,
+    pattern: str | None = None,
+    capacity: int = 1024,
+    end_id: int = 2,
+    keep_ids: bool = False,
+) -> DataFrame:
     """Pack all documents into sequences of at most `capacity` tokens, as few as best fit, longest first, finds.
 
     A document is its text's ids and end_id; only those over capacity are cut, into pieces of capacity tokens of which
     the first may be shorter.  Returns a row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id,
     offset (and with keep_ids the ids as little-endian 32-bit bytes).  Null texts count as empty, so they are the end id
     alone.  Null doc_ids and repeated rows are packed like others.  An empty table gives an empty result.  Only doc_id
-    and text are read.  tokenizer: path of the tokenizer's file on every executor; it must be one that never
-    merges over the start of a word, as byte-level BPE.
+    and text are read.  tokenizer: path of the tokenizer's file on every executor.  ranks and pattern: the same
+    vocabulary for the faster library, see Encoder.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    items = saved(docs.mapInArrow(encoded(tokenizer, capacity, end_id, keep_ids), out))
+    items = saved(docs.mapInArrow(encoded((tokenizer, ranks, pattern), capacity, end_id, keep_ids), out))
     return pack(items, capacity, ["doc_id", "piece", "ids_crc32"])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .best_fit_packing import best_fit_packing
 from .exact_topk import exact_topk
+from .jaccard_join import jaccard_join
 from .license_scans import license_scan
 from .repetition_rules import repetition_rules
 from .sharding import sharded
@@ -29,6 +30,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_bpe() -> dict[str, str]:
+    import public_tokenizers
+
+    return {"tokenizer": tokenizer("byte_bpe_50k.json"), "ranks": tokenizer("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -38,7 +45,7 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit_packing(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return best_fit_packing(table(spark, sf_dir, "documents"), **byte_bpe())
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +60,10 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
@@ -61,9 +72,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_repetition_rules": op6_repetition_rules,
     "op7_license_scans": op7_license_scans,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL) p
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 5 * c >= 4 * (na.n + nb.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+copies AS (SELECT w, count(*) AS n FROM d GROUP BY w)
+SELECT doc_id, (SELECT min(b) FROM reach WHERE a = doc_id)::BIGINT AS class_id, (SELECT count(*) FROM links WHERE a = doc_id)::BIGINT AS n_links,
+  CASE WHEN len(w) = 0 THEN 1 ELSE copies.n END::BIGINT AS n_copies
+FROM d JOIN copies USING (w)
+""",
     "op6_repetition_rules": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d),

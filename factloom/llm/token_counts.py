@@ -42,9 +42,11 @@ class Counter:
         self.known: dict[str, int] = {}
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self.known) + len(chunks) > MEMO:
+        """Make all of these chunks known; forget the others where there are too many."""
+        new = list(chunks - self.known.keys())
+        if len(self.known) + len(new) > MEMO:
             self.known.clear()
-        new = list(chunks)
+            new = list(chunks)
         for i in range(0, len(new), 2048):
             part = new[i : i + 2048]
             got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
@@ -56,7 +58,7 @@ class Counter:
         try:
             return [self.known[c] for c in chunks]
         except KeyError:
-            self.learn(set(chunks) - self.known.keys())
+            self.learn(set(chunks))
             return [self.known[c] for c in chunks]
 
     def count(self, text: str) -> int:
@@ -131,7 +133,7 @@ def counted(path: str, limit: int, prefixes: bool):
         for batch in pieces(batches, most=4 << 20):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             chunks = [chunks_of(x) for x in texts]
-            count.learn(set().union(*chunks) - count.known.keys())
+            count.learn(set().union(*chunks))
             out: list[tuple] = []
             for doc, text, own in zip(batch.column("doc_id").to_pylist(), texts, chunks, strict=True):
                 sums = np.cumsum(np.array(count.counts(own), dtype=np.int64))

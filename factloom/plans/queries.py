@@ -405,10 +405,11 @@ def fabricated_pairs(spark, d):
     return merge.cut_pairs(variant_names(spark, d), "n", "k")
 
 
-@query("SELECT c_custkey, greatest(max(o_orderdate), TIMESTAMP '1995-01-01') AS touched_at FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+@query("SELECT c_custkey, strftime(greatest(max(o_orderdate), TIMESTAMP '1995-01-01'), '%Y-%m-%d') AS touched_at FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 def change_touch(spark, d):
     parents = load(spark, d, "customer").select("c_custkey", F.lit("1995-01-01 00:00:00").cast("timestamp_ntz").alias("touched_at"))
-    return merge.touched(parents, "c_custkey", "touched_at", load(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").alias("touched_at")))
+    out = merge.touched(parents, "c_custkey", "touched_at", load(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").alias("touched_at")))
+    return out.withColumn("touched_at", F.date_format("touched_at", "yyyy-MM-dd"))
 
 
 @query("SELECT p_partkey, slug FROM (SELECT p_partkey, replace(p_name, ' ', '-') || CASE WHEN r + coalesce(n, 0) > 1 THEN '-' || (r + coalesce(n, 0))::VARCHAR ELSE '' END AS slug FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS r FROM part WHERE p_partkey % 2 = 1) LEFT JOIN (SELECT p_name, count(*) AS n FROM part WHERE p_partkey % 2 = 0 GROUP BY 1) USING (p_name))")
@@ -525,9 +526,9 @@ def challenge_pages(spark, d):
 
 # Monitoring
 
-@query("SELECT user_id, time_bucket(INTERVAL 60 MINUTE, ts) AS window_start, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, round(count(*) FILTER (event_type = 'error') / count(*)::DOUBLE, 4) AS error_share, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+@query("SELECT user_id, strftime(time_bucket(INTERVAL 60 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, round(count(*) FILTER (event_type = 'error') / count(*)::DOUBLE, 4) AS error_share, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def window_stats(spark, d):
-    return monitor.window_stats(load(spark, d, "events"), "ts", "event_type", "user_id").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return monitor.window_stats(load(spark, d, "events"), "ts", "event_type", "user_id").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("""SELECT event_type, count(*) FILTER (age <= INTERVAL 1 DAY) AS n_recent, quantile_cont(value, 0.5) FILTER (age <= INTERVAL 1 DAY) AS recent_median, quantile_cont(value, 0.5) FILTER (age <= INTERVAL 7 DAY) AS longer_median,
@@ -544,9 +545,9 @@ def failure_streak(spark, d):
     return monitor.streaks(load(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("event_type") != "view")
 
 
-@query("SELECT user_id, event_type, ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
+@query("SELECT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
 def duplicates_24h(spark, d):
-    return monitor.duplicates(load(spark, d, "events"), ["user_id", "event_type"], "ts")
+    return monitor.duplicates(load(spark, d, "events"), ["user_id", "event_type"], "ts").withColumn("day", F.col("day").cast("string"))
 
 
 @query("SELECT event_id FROM (SELECT event_id, ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS gap FROM events WHERE event_type = 'error') WHERE gap IS NULL OR gap > INTERVAL 60 MINUTE")
@@ -595,10 +596,10 @@ def revenue_by_priority(spark, d):
     return j.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("r"), 2).alias("revenue"), F.countDistinct("o_custkey").alias("customers"))
 
 
-@query("SELECT l_suppkey, mode(l_returnflag ORDER BY l_returnflag) IS NOT NULL AS has_mode, bool_and(l_quantity > 0) AS all_positive, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags, min(l_shipdate) AS first_ship FROM lineitem GROUP BY 1")
+@query("SELECT l_suppkey, mode(l_returnflag ORDER BY l_returnflag) IS NOT NULL AS has_mode, bool_and(l_quantity > 0) AS all_positive, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags, strftime(min(l_shipdate), '%Y-%m-%d') AS first_ship FROM lineitem GROUP BY 1")
 def supplier_aggregates(spark, d):
     li = load(spark, d, "lineitem")
-    return li.groupBy("l_suppkey").agg(F.mode("l_returnflag").isNotNull().alias("has_mode"), F.bool_and(F.col("l_quantity") > 0).alias("all_positive"), F.array_join(F.sort_array(F.collect_set("l_returnflag")), ",").alias("flags"), F.min("l_shipdate").alias("first_ship"))
+    return li.groupBy("l_suppkey").agg(F.mode("l_returnflag").isNotNull().alias("has_mode"), F.bool_and(F.col("l_quantity") > 0).alias("all_positive"), F.array_join(F.sort_array(F.collect_set("l_returnflag")), ",").alias("flags"), F.date_format(F.min("l_shipdate"), "yyyy-MM-dd").alias("first_ship"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k')::INT AS k, (json_extract_string(props, '$.k')::INT > 50) AS high FROM events")

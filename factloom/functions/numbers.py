@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -21,6 +22,11 @@ UNITS = {
 NUMBER = r"[-+]?[0-9][0-9.,]*"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value computed once, however often `then` uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def signed(text: Column) -> Column:
     """Typographic minus signs before a digit become hyphens."""
     return F.regexp_replace(text, "^\\s*[−–‒](?=[0-9])", "-")
@@ -32,7 +38,10 @@ def parse_number(text: Column, locale: str = "en") -> Column:
     en: commas group thousands; de: a comma is the decimal sign, and dots before three digits group.  Where both occur
     the last is the decimal sign; two or more commas always group.
     """
-    t = F.trim(signed(text))
+    return let(F.trim(signed(text)), lambda t: parsed(t, locale))
+
+
+def parsed(t: Column, locale: str) -> Column:
     commas = F.length(t) - F.length(F.replace(t, F.lit(","), F.lit("")))
     dots = F.length(t) - F.length(F.replace(t, F.lit("."), F.lit("")))
     last_comma = F.length(t) - F.instr(F.reverse(t), ",") + 1
@@ -61,18 +70,24 @@ def quantity(text: Column, locale: str = "en") -> Column:
     """The first number with its unit: struct(number, unit, dimension, base_value); parts that are not there are null."""
     number = parse_number(F.nullif(F.regexp_extract(signed(text), f"({NUMBER})", 1), F.lit("")), locale)
     token = F.nullif(F.regexp_extract(text, f"{NUMBER}\\s*([A-Za-z°]+)", 1), F.lit(""))
-    dimension = unit(token, 0)
-    base = F.when(dimension == "temperature_f", F.round((number - 32) * 5 / 9, 1)).otherwise(F.round(number * unit(token, 1), 6))
-    return F.struct(number.alias("number"), token.alias("unit"), F.when(dimension == "temperature_f", "temperature").otherwise(dimension).alias("dimension"), base.alias("base_value"))
+
+    def read(q: Column) -> Column:
+        degrees_f = q["dimension"] == "temperature_f"
+        base = F.when(degrees_f, F.round((q["number"] - 32) * 5 / 9, 1)).otherwise(F.round(q["number"] * q["factor"], 6))
+        return F.struct(q["number"].alias("number"), q["unit"].alias("unit"), F.when(degrees_f, "temperature").otherwise(q["dimension"]).alias("dimension"), base.alias("base_value"))
+
+    return let(F.struct(number.alias("number"), token.alias("unit"), unit(token, 0).alias("dimension"), unit(token, 1).alias("factor")), read)
 
 
 def convert(text: Column, to: str, locale: str = "en") -> Column:
     """struct(ok, value, reason) of a quantity in the unit `to`: PARSE_FAIL, UNIT_MISSING or UNIT_UNKNOWN otherwise."""
     dimension, factor = EXACT.get(to) or UNITS[to.lower()]
-    q = quantity(text, locale)
-    reason = F.when(q["number"].isNull(), "PARSE_FAIL").when(q["unit"].isNull(), "UNIT_MISSING").when(q["dimension"].isNull() | (q["dimension"] != dimension), "UNIT_UNKNOWN")
-    value = F.when(reason.isNull(), F.round(q["base_value"] / factor, 6))
-    return F.struct(reason.isNull().alias("ok"), value.alias("value"), reason.alias("reason"))
+
+    def read(q: Column) -> Column:
+        reason = F.when(q["number"].isNull(), "PARSE_FAIL").when(q["unit"].isNull(), "UNIT_MISSING").when(q["dimension"].isNull() | (q["dimension"] != dimension), "UNIT_UNKNOWN")
+        return F.struct(reason.isNull().alias("ok"), F.when(reason.isNull(), F.round(q["base_value"] / factor, 6)).alias("value"), reason.alias("reason"))
+
+    return let(quantity(text, locale), read)
 
 
 def in_band(value: Column, low: float, high: float) -> Column:

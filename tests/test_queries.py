@@ -3,6 +3,7 @@
 import pytest
 
 import factloom.plans.more
+import factloom.plans.upkeep
 import factloom.plans.streams  # noqa: F401  they register their queries
 from factloom.plans.queries import ORACLE_SQL, QUERIES
 

@@ -69,7 +69,7 @@ def unknown_promotion(spark, d):
     return m.promoted(unknown, 36)
 
 
-@query(""", s(field_key, source, tier) AS (VALUES ('price', 'a', 1), ('size', 'a', 1), ('size', 'b', 3), ('span', 'b', 3)), able AS (SELECT part_id, source, tier, count(*) AS fields FROM facts JOIN s USING (field_key) WHERE is_current AND state = 'gap_unattempted' GROUP BY ALL),
+@query(""", s(field_key, source, tier) AS (VALUES ('price', 'a', 1), ('size', 'a', 1), ('size', 'b', 3), ('span', 'b', 3)), able AS (SELECT part_id, source, s.tier, count(*) AS fields FROM facts JOIN s USING (field_key) WHERE is_current AND state = 'gap_unattempted' GROUP BY ALL),
   fresh AS (SELECT * FROM able WHERE NOT (source = 'a' AND part_id IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')) AND NOT (source = 'b' AND part_id % 10 = 0))
   SELECT source, part_id, fields, (50 + 10 * tier)::INT AS priority FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY fields DESC, part_id) AS r FROM fresh) WHERE r <= 20""")
 def gap_plan(spark, d):

@@ -155,3 +155,33 @@ def test_streams(spark, sf_dir, tmp_path, compared):
 def test_streak(spark):
     log = spark.createDataFrame([("a", 1, "ok"), ("a", 2, "x"), ("a", 3, "x"), ("b", 1, "x"), ("c", 1, "ok")], "s string, at int, o string")
     assert dict(tuple(r) for r in monitor.streaks(log, "s", ["at"], F.col("o") != "ok").collect()) == {"a": 2, "b": 1, "c": 0}
+
+
+def test_runs_need_a_gate(spark, tmp_path):
+    from factloom.operators.maintenance import run
+
+    manifest = str(tmp_path / "runs")
+    with run(spark, manifest, "apply-extract") as r:
+        r["gate"] = {"precision": 1.0, "recall": 0.9, "passed": True}
+    with pytest.raises(ValueError, match="gate"), run(spark, manifest, "apply-extract"):
+        pass
+    with pytest.raises(KeyError), run(spark, manifest, "sweep"):
+        raise KeyError("x")
+    assert sorted(r["status"] for r in spark.read.json(manifest).collect()) == ["failed", "failed", "succeeded"]
+
+
+def test_tiers_are_never_guessed(spark):
+    from factloom.operators.maintenance import restamped
+
+    facts = spark.createDataFrame([(1, "a", "ocr", 9)], "id long, doc_id string, method string, tier int")
+    kinds = spark.createDataFrame([("a", "pdf")], "doc_id string, doc_kind string")
+    with pytest.raises(Exception, match="no tier for pdf ocr"):
+        restamped(facts, kinds, {("pdf", "table"): 1}).collect()
+
+
+def test_walk_stops_at_cycles(spark):
+    from factloom.operators.graph import walk
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "src string, dst string")
+    got = {(r["node"], r["hops"]) for r in walk(edges, spark.createDataFrame([("a",)], "start string")).collect()}
+    assert got == {("b", 1), ("c", 2)}

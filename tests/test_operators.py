@@ -185,3 +185,14 @@ def test_walk_stops_at_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "src string, dst string")
     got = {(r["node"], r["hops"]) for r in walk(edges, spark.createDataFrame([("a",)], "start string")).collect()}
     assert got == {("b", 1), ("c", 2)}
+
+
+def test_grids():
+    from factloom.operators.grids import page_facts
+
+    spanned = "<table><tr><th>Feature</th><th>C9200-24</th><th>C9200-48</th></tr><tr><td>Speed</td><td colspan=2>1G</td></tr><tr><td rowspan=2>Power</td><td>5 W</td><td>6 W</td></tr><tr><td>7 W</td></tr></table>"
+    assert [(r["subject"], r["label"], r["value"]) for r in page_facts(spanned)] == [
+        ("C9200-24", "Speed", "1G"), ("C9200-48", "Speed", "1G"), ("C9200-24", "Power", "5 W"), ("C9200-48", "Power", "6 W"), ("C9200-24", "Power", "7 W"),
+    ]
+    assert page_facts("<table><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td></tr></table>") == []
+    assert page_facts(None) == [] and page_facts("<table><tr><td>unclosed") == []

@@ -2,6 +2,7 @@
 
 import pytest
 
+import factloom.plans.grids
 import factloom.plans.more
 import factloom.plans.upkeep
 import factloom.plans.streams  # noqa: F401  they register their queries

@@ -1,13 +1,15 @@
-"""Helpers that several operators use: where to checkpoint, and words of an Arrow batch as numpy arrays."""
+"""Helpers that several operators use: checkpoints, and words of an Arrow batch as numpy arrays."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+
+from ..sources.checkpoints import ready, saved
+
+__all__ = ["BLANK", "SPACE", "WORD_STEPS", "Words", "ids_of", "mix", "pieces", "powers", "ready", "saved", "segments", "utf8"]
 
 #: ASCII white space; everything else belongs to a word.
 SPACE = np.zeros(256, dtype=bool)
@@ -25,19 +27,6 @@ WORD_STEPS = (0xBF58476D1CE4E5B9, 0xD6E8FEB86659FD93)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def ready(spark: SparkSession) -> SparkSession:
-    """Use the session's checkpoint folder; set one of our own only where none is set."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return spark
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared checkpoint folder and without lineage."""
-    ready(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def powers(step: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """step ** i and its inverse modulo 2 ** 64 for i in 0 .. n."""
     known = _powers.get(step)

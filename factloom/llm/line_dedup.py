@@ -109,6 +109,7 @@ def line_dedup(documents: DataFrame, least_words: int = 10, keep: tuple[str, ...
     wordy = F.filter(F.arrays_zip("lines", "n_words"), lambda x: x["n_words"] > 0)
     by_line = held.select("doc_id", "text_hash", F.explode(F.array_distinct(F.transform(wordy, lambda x: x["lines"]))).alias("line"))
     firsts = by_line.groupBy("line").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last").select("line", "first")
+    firsts = saved(firsts)  # a join right above an aggregate could not be split where a line is very common
     pairs = by_line.join(firsts, "line").where("first.doc_id < doc_id").select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"), "doc_id", "text_hash").distinct()
 
     left = held.select(F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash"), F.col("lines").alias("first_lines"))

@@ -196,3 +196,18 @@ def test_grids():
     ]
     assert page_facts("<table><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td></tr></table>") == []
     assert page_facts(None) == [] and page_facts("<table><tr><td>unclosed") == []
+
+
+def test_tool_definitions_are_refused(spark):
+    from factloom.operators.tools import Facet, Tool, parameters, problems
+    from factloom.plans.finders import TOOL
+    from factloom.plans.queries import KINDS
+
+    every = set(KINDS)
+    assert problems(TOOL, KINDS, every) == []
+    bad = Tool("Bad Tool", "ports=1,nope=2", (Facet("size", "select"), Facet("ports", "range"), Facet("x", "range"), Facet("type", "multi"), Facet("type", "multi")), ("brand", "brand", "y"), "brand", ({"zzz": "1"},))
+    assert len(problems(bad, KINDS, every - {"type"})) >= 10
+    assert parameters(TOOL, {"size_min": "3", "type": ["A", "B"]}, KINDS) == "size>=3,type=A,type=B"
+    for given in ({"brand": ["a", "b"]}, {"size": "3"}, {"type": "a,b"}, {"size_min": "x"}):
+        with pytest.raises(ValueError):
+            parameters(TOOL, given, KINDS)

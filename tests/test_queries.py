@@ -2,6 +2,7 @@
 
 import pytest
 
+import factloom.plans.finders
 import factloom.plans.grids
 import factloom.plans.more
 import factloom.plans.upkeep

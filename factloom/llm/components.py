@@ -11,8 +11,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(a, b) edges to (id, component): the smallest id that each id is connected with.
 
     Every round joins each id's neighbours to the smallest of them; the number of edges never grows, and a hub's
-    neighbours are handled by partial aggregates and a join that can be split, never by one task.  Rounds are
-    checkpointed, so a lost executor costs one round.  Self edges, repeats and nulls are dropped.
+    neighbours are handled by partial aggregates and a join that can be split, never by one task: what is joined is
+    written first, since adaptive execution splits no join right above an aggregate.  Rounds are checkpointed, so a
+    lost executor costs one round.  Self edges, repeats and nulls are dropped.
     """
     edges = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = saved(edges)
@@ -38,8 +39,9 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
         both = both.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m"))
     if large:
-        least = least.withColumn("m", F.least("a", "m"))
+        least = saved(least.withColumn("m", F.least("a", "m")))
         out = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
+        least = saved(least)
         out = both.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
     return out.where("a <> b").distinct()

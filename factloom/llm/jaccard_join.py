@@ -219,7 +219,7 @@ def jaccard_join(documents: DataFrame, k: int = 5, threshold: float = 0.8, trees
     classes = saved(classes.select("fp1", "fp2", F.col("of.doc_id").alias("rep"), F.col("of.text_hash").alias("text_hash"), "copies", "nodes"))
 
     met = classes.select("rep", F.explode("nodes").alias("node"))
-    nodes = met.groupBy("node").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    nodes = saved(met.groupBy("node").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     proposed = met.join(nodes, "node").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     sets = saved(components(proposed).withColumnsRenamed({"id": "rep", "component": "set"}))
 
@@ -237,7 +237,7 @@ def jaccard_join(documents: DataFrame, k: int = 5, threshold: float = 0.8, trees
     near = components(found.select(F.col("doc_id").alias("a"), F.col("to").alias("b"))).withColumnsRenamed({"id": "rep", "component": "class_id"})
     linked = found.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("links"))
     classes = classes.drop("nodes").join(linked, "rep", "left").join(near, "rep", "left")
-    classes = classes.select("fp1", "fp2", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
+    classes = saved(classes.select("fp1", "fp2", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies")))
     rows = labels.select("doc_id", "fp1", "fp2").join(classes, ["fp1", "fp2"]).select("doc_id", "class_id", "n_links", "n_copies")
     blank = docs.where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     return rows.unionByName(blank.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies")))

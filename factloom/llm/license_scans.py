@@ -8,6 +8,7 @@ intervals the higher priority stays, then the earlier rule.  The base phrases co
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -46,8 +47,9 @@ def places(padded: Column, rule: Column) -> Column:
 
 
 def table(rows: list[tuple[str, int, str, str]]) -> Column:
-    """The rules as an array of structs."""
-    return F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(a).alias("label"), F.lit(p).alias("priority"), F.lit(k).alias("keyword"), F.lit(r).alias("pattern")) for i, (a, p, k, r) in enumerate(rows)])
+    """The rules as an array of structs, from one literal that is folded into a constant."""
+    text = json.dumps([dict(rank=i, label=a, priority=p, keyword=k, pattern=r) for i, (a, p, k, r) in enumerate(rows)])
+    return F.from_json(F.lit(text), "array<struct<rank: int, label: string, priority: int, keyword: string, pattern: string>>")
 
 
 def suppressed(s: Column, t: Column) -> Column:

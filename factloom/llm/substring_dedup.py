@@ -4,8 +4,9 @@ Pass 1 sketches every window of `k` words of every text.  A window is represente
 hash of the `k - 5` word sequences in it: equal windows have equal minimisers, so the count of a minimiser's cell is
 never below the number of occurrences of the window.  Each task sends sparse partial sketches (sorted cell gaps),
 which are summed by cell range into `ROWS` rows of saturating counters; only "two or more" is kept, one bit a cell.
-The sketch is sized from the corpus and bounded by `most_bits`; it is the only thing broadcast.  Beyond the bound it
-lets more windows through, and never loses one.
+The sketch is sized from the corpus and bounded by `most_bits`; it is the only thing broadcast.  A corpus with too many
+keys for one sketch is sketched in up to `most_slices` slices of its keys, one after the other.  Beyond that bound the
+sketches let more windows through, and never lose one.
 
 Pass 2 groups exactly the windows that all rows estimate as repeated, by a 96-bit fingerprint of their words.  A task
 first settles what it can alone: of the holders of a window it has seen, only the one with the smallest doc_id goes
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -68,7 +70,11 @@ def unpacked(data: bytes) -> np.ndarray:
     return (np.cumsum(steps) - 1)[gaps != 65535]
 
 
-def sketched(k: int, bits: int, most: int = 2_000_000):
+def in_slice(keys: np.ndarray, part: int, parts: int) -> np.ndarray:
+    return mix(keys, 77) % np.uint64(parts) == part if parts > 1 else np.ones(len(keys), dtype=bool)
+
+
+def sketched(k: int, bits: int, part: int, parts: int, most: int = 2_000_000):
     """Arrow function: partial sketches of the texts of a task, by row and cell range."""
 
     def emit(keys: list[np.ndarray]) -> pa.RecordBatch:
@@ -101,12 +107,13 @@ def sketched(k: int, bits: int, most: int = 2_000_000):
             own = words.of()[at]
             runs = np.ones(len(at), dtype=bool)
             runs[1:] = (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])
-            kept.append(keys[runs])
+            keys = keys[runs]
+            kept.append(keys[in_slice(keys, part, parts)])
             n += len(kept[-1])
             if n >= most:
                 yield emit(kept)
                 kept, n = [], 0
-        if kept:
+        if n:
             yield emit(kept)
 
     return run
@@ -126,9 +133,9 @@ def summed(bits: int):
     return run
 
 
-def repeated_cells(docs: DataFrame, k: int, bits: int) -> list[bytes]:
+def repeated_cells(docs: DataFrame, k: int, bits: int, part: int, parts: int) -> list[bytes]:
     """The merged sketch: for each row, a bit for each cell whose count is two or more (2 ** bits / 8 bytes)."""
-    parts = docs.mapInArrow(sketched(k, bits), "line int, shard int, once binary, more binary")
+    parts = docs.mapInArrow(sketched(k, bits, part, parts), "line int, shard int, once binary, more binary")
     merged = parts.groupBy("line", "shard").applyInPandas(summed(bits), "line int, shard int, bits binary")
     size = (1 << bits) // SHARDS // 8
     found = {(r["line"], r["shard"]): bytes(r["bits"]) for r in merged.collect()}  # 2 ** bits bits a row, whatever the corpus
@@ -138,7 +145,7 @@ def repeated_cells(docs: DataFrame, k: int, bits: int) -> list[bytes]:
 ENTRY = np.dtype([("a", "<u8"), ("b", "<u4"), ("doc", "<u4"), ("pos", "<u4")])
 
 
-def candidates(k: int, bits: int, sketch, shards: int, buckets: int, most: int = 1_000_000):
+def candidates(k: int, bits: int, sketch, part: int, parts: int, shards: int, buckets: int, most: int = 1_000_000):
     """Arrow function: windows that the sketch estimates as repeated, settled within the task and dealt by minimiser.
 
     Rows without a bucket hold windows to group, as ENTRYs and the (doc_id, text_hash) they name.  Rows with one hold
@@ -188,7 +195,7 @@ def candidates(k: int, bits: int, sketch, shards: int, buckets: int, most: int =
             hashes = words.hashes()
             at, keys = keys_of(words, hashes, k)
             own = words.of()[at]
-            seen = ~null[own]
+            seen = ~null[own] & in_slice(keys, part, parts)
             for row, table in enumerate(tables):
                 cells = cells_of(keys[seen], row, bits)
                 seen[seen] = (table[(cells >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (cells & np.uint64(7)).astype(np.uint8))) & 1 > 0
@@ -288,7 +295,7 @@ def cut(k: int, keep_text: bool):
     return run
 
 
-def substring_dedup(documents: DataFrame, k: int = 13, keep_text: bool = False, most_bits: int = 28) -> DataFrame:
+def substring_dedup(documents: DataFrame, k: int = 13, keep_text: bool = False, most_bits: int = 29, most_slices: int = 8) -> DataFrame:
     """Remove every word covered by a window of k words that also starts in a document with a smaller doc_id.
 
     Returns doc_id, n_words, n_removed, kept_sha256 (and the kept text) for each row of documents.  A null or empty
@@ -299,12 +306,17 @@ def substring_dedup(documents: DataFrame, k: int = 13, keep_text: bool = False,
     spark = ready(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(most_bits, max(16, math.ceil(math.log2(size / 4 + 2))))
+    cells = size // 4 + 2  # some five times the number of keys
+    parts = min(most_slices, max(1, math.ceil(cells / (1 << most_bits))))
+    bits = min(most_bits, max(min(16, most_bits), math.ceil(math.log2(cells / parts))))
     shards = max(32, math.ceil(size / (4 << 20)))
-    sketch = spark.sparkContext.broadcast(repeated_cells(docs.select("text"), k, bits))
     hashed = docs.withColumn("text_hash", F.xxhash64("text"))
     buckets = max(32, math.ceil(size / (8 << 20)))
-    found = hashed.mapInArrow(candidates(k, bits, sketch, shards, buckets), "shard int, bucket int, docs binary, starts binary")
+    slices = []
+    for part in range(parts):
+        sketch = spark.sparkContext.broadcast(repeated_cells(docs.select("text"), k, bits, part, parts))
+        slices.append(hashed.mapInArrow(candidates(k, bits, sketch, part, parts, shards, buckets), "shard int, bucket int, docs binary, starts binary"))
+    found = reduce(DataFrame.unionByName, slices)
     repeats = found.groupBy("shard").applyInArrow(settled(buckets), "bucket int, docs binary, starts binary")
     repeats = repeats.groupBy("bucket").applyInArrow(of_text, "doc_id long, text_hash long, starts binary")
     joined = hashed.join(repeats, ["doc_id", "text_hash"], "left").select("doc_id", "text", "starts")

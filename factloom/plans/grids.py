@@ -9,14 +9,14 @@ from ..sources.tables import load
 from .queries import query
 
 FACTS = """SELECT p_brand, '{0}' AS shape, 'AX-' || p_partkey::VARCHAR AS subject, l AS label, CASE l WHEN 'Size' THEN p_size::VARCHAR WHEN 'Name' THEN p_name ELSE p_type END AS value
-  FROM part, (VALUES ('Size'), ('Name'), ('Type')) t(l) WHERE {1}"""
+  FROM part, (VALUES ('Size'), ('Name'), ('Type')) t(l)"""
 
 
 def cells(*xs):
     return F.concat(*[F.concat(F.lit("<td>"), x.cast("string"), F.lit("</td>")) for x in xs])
 
 
-@query(FACTS.format("A", "true"))
+@query(FACTS.format("A"))
 def model_rows(spark, d):
     """Shape A: a page for each brand, a row for each part."""
     row = F.concat(F.lit("<tr>"), cells(F.concat(F.lit("AX-"), F.col("p_partkey")), F.col("p_size"), F.col("p_name"), F.col("p_type")), F.lit("</tr>"))
@@ -25,10 +25,10 @@ def model_rows(spark, d):
     return table_facts(pages.select("p_brand", F.concat(F.lit(head), "rows", F.lit("</table>")).alias("html")), "p_brand", "html").select("p_brand", "shape", "subject", "label", "value")
 
 
-@query(FACTS.format("B", "p_size % 5 = 0"))
+@query(FACTS.format("B"))
 def model_columns(spark, d):
     """Shape B: a page for each part, attributes in the rows."""
-    p = load(spark, d, "part").where("p_size % 5 = 0")
+    p = load(spark, d, "part")
     name = F.concat(F.lit("AX-"), F.col("p_partkey"))
     rows = [F.concat(F.lit(f"<tr><td>{label}</td><td>"), c.cast("string"), F.lit("</td></tr>")) for label, c in (("Size", F.col("p_size")), ("Name", F.col("p_name")), ("Type", F.col("p_type")))]
     html = F.concat(F.lit("<table><tr><th>Feature</th><th>"), name, F.lit("</th></tr>"), *rows, F.lit("</table>"))

@@ -201,7 +201,7 @@ def groups(table: pa.Table, keys: list[str]) -> Iterator[pa.Table]:
         yield table.slice(a, b - a)
 
 
-def jaccard_join(documents: DataFrame, k: int = 5, threshold: float = 0.8, trees: int = 24, deepest: int = 6, recall: float = 0.9999, block_rows: int = 256) -> DataFrame:
+def jaccard_join(documents: DataFrame, k: int = 5, threshold: float = 0.8, trees: int = 24, deepest: int = 6, recall: float = 0.9999, block_rows: int = 128) -> DataFrame:
     """Join documents whose sets of k-word shingles have a Jaccard similarity of threshold or more.
 
     Returns a row for each row of documents with a doc_id: doc_id, class_id (the smallest doc_id it is connected with by

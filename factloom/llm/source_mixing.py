@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .shared import ready, saved
 
-BLOCKS = 512
+#: Least number of blocks of a source, and documents of a block.
+BLOCKS, BLOCK_ROWS = 512, 50_000
 
 
 def totals(sized: DataFrame) -> DataFrame:
@@ -67,7 +68,7 @@ def mixed(
     most_repeats: float | None = 2.0,
     budget: int | None = None,
     seed: int = 17,
-    blocks: int = BLOCKS,
+    blocks: int | None = None,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """How often each document is drawn.
@@ -85,7 +86,9 @@ def mixed(
         tokens = F.size(F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != ""))
     keep = tuple(c for c in keep if c not in ("doc_id", "source"))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", tokens.cast("long").alias("tokens"), F.xxhash64("text").alias("text_hash"))
-    docs = saved(docs.withColumn("block", F.pmod(keyed(seed, "doc_id", "text_hash"), F.lit(blocks)).cast("int")))
+    docs = saved(docs)
+    blocks = blocks or max(BLOCKS, math.ceil(docs.count() / BLOCK_ROWS))
+    docs = docs.withColumn("block", F.pmod(keyed(seed, "doc_id", "text_hash"), F.lit(blocks)).cast("int"))
 
     by_source = totals(docs)
     whole = by_source.agg(F.sum("total").alias("all")).first()["all"] or 0

@@ -1,13 +1,18 @@
 """Line dedup by pairwise alignment.
 
 1. A text becomes the hashes of its lines; texts themselves go no further until lines are deleted.
-2. Documents that overlap are found through their shared lines.  Each line hash held by two documents or more names
-   its first holder, the smallest doc_id, and every later holder is paired with it: one pair a holder, however many
-   hold the line, and never all pairs of a line's holders.  A rare line thereby pairs just the documents that overlap; a
-   line that a third of all documents hold costs one pair each.
+2. Documents that overlap are found through the least runs of lines that could go: from each line forwards and back,
+   the shortest run with `least_words` words.  Each run's hash names its first holder, the smallest doc_id, and every
+   later holder is paired with it: one pair a holder, however many hold the run, and never all pairs of its holders.  A
+   rare run thereby pairs just the documents that overlap; one that a third of all documents hold costs one pair each.
 3. Every pair is aligned with patience diff: lines that both documents hold exactly once anchor the alignment, in the
    longest increasing chain; runs of equal lines around the anchors make common blocks.
-4. Aligned blocks of at least `least_words` words are deleted from the later document.
+4. Aligned blocks of at least `least_words` words are deleted from the later document, and so are its least runs that
+   the earlier one holds out of order.  Only a run that the later document repeats, that one earlier document alone
+   holds, and less often, goes no more often than the alignment places it.
+
+Any common block of enough words is a union of such least runs, and each of them meets its first holder; so all goes that
+an alignment with any earlier document takes, though a document meets the first holders only.
 """
 
 from __future__ import annotations
@@ -16,10 +21,11 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import ready, saved
+from .shared import WORD_STEPS, mix, ready, saved, segments
 
 
 def lines(text: Column) -> Column:
@@ -70,6 +76,65 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
+def least_runs(lines: np.ndarray, n: np.ndarray, at: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, starts, ends and hashes of the shortest runs of at least least_words words from each line on and up to it.
+
+    lines, n: hashes and words of all lines; at: where each document begins, and the end.
+    """
+    total = np.zeros(len(n) + 1, dtype=np.int64)
+    np.cumsum(n, out=total[1:])
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    i = np.arange(len(n))
+    ends = np.searchsorted(total, total[:-1] + least_words, side="left")
+    starts = np.searchsorted(total, total[1:] - least_words, side="right") - 1
+    ahead, back = ends <= at[1:][doc], starts >= at[:-1][doc]
+    doc, starts, ends = np.concatenate([doc[ahead], doc[back]]), np.concatenate([i[ahead], starts[back]]), np.concatenate([ends[ahead], i[back] + 1])
+    hashes = segments(mix(lines.view(np.uint64)), starts, ends, WORD_STEPS[0]) + (ends - starts).astype(np.uint64)
+    return doc, starts, ends, mix(hashes, 41)
+
+
+def with_runs(least_words: int):
+    """Arrow function: adds the hashes of each document's least runs, and of those that it repeats."""
+
+    def listed(doc: np.ndarray, hashes: np.ndarray, n: int) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)), type=pa.int32()), pa.array(hashes.view(np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("lines")
+            at = lists.offsets.to_numpy().astype(np.int64)
+            doc, start, _, hashes = least_runs(lists.flatten().to_numpy(), batch.column("n_words").flatten().to_numpy(), at - at[0], least_words)
+            o = np.lexsort((start, hashes, doc))
+            doc, hashes, start = doc[o], hashes[o], start[o]
+            new, again = np.ones(len(o), dtype=bool), np.zeros(len(o), dtype=bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
+            again[1:] = ~new[1:] & (start[1:] != start[:-1])
+            again[1:] &= ~(again[:-1] & ~new[1:])
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, listed(doc[new], hashes[new], n), listed(doc[again], hashes[again], n)], names=[*batch.schema.names, "runs", "repeated"])
+
+    return run
+
+
+def held_anywhere(a: list[int], b: list[int], n: list[int], alone: list[int], least_words: int) -> np.ndarray:
+    """Lines of b, with n words each, inside least runs that a holds too, in whatever order.
+
+    alone: hashes of runs that only a holds, and b more than once: they count if a holds them as often as b.
+    """
+    count = dict(zip(b, n, strict=True))  # lines that b lacks may count as 0: no run of b has them
+    both = np.array([*a, *b], dtype=np.int64)
+    doc, starts, ends, hashes = least_runs(both, np.array([count.get(x, 0) for x in a] + n, dtype=np.int64), np.array([0, len(a), len(both)]), least_words)
+    common = (doc == 1) & np.isin(hashes, hashes[doc == 0])
+    for x in np.array(alone, dtype=np.int64).view(np.uint64):
+        of_a, of_b = (len(np.unique(starts[(doc == d) & (hashes == x)])) for d in (0, 1))
+        if 0 < of_a < of_b:
+            common &= hashes != x
+    edges = np.bincount(starts[common], minlength=len(both) + 1) - np.bincount(ends[common], minlength=len(both) + 1)
+    return np.flatnonzero(np.cumsum(edges)[len(a) : len(both)] > 0)
+
+
 def aligned(least_words: int):
     """Arrow function: for each (earlier, later) pair, the lines to delete from the later document."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("gone", pa.list_(pa.int32()))])
@@ -77,25 +142,29 @@ def aligned(least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc, text, a, b, n in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "first_lines", "lines", "n_words")), strict=True):
-                gone: list[int] = []
+            for doc, text, a, b, n, alone in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "first_lines", "lines", "n_words", "alone")), strict=True):
+                gone: set[int] = set()
                 for _, start, length in patience(a, b):
                     if sum(n[start : start + length]) >= least_words:
-                        gone += range(start, start + length)
+                        gone.update(range(start, start + length))
+                known = set(a)
+                if any(x in known for i, x in enumerate(b) if i not in gone):  # the alignment leaves some over
+                    gone.update(held_anywhere(a, b, n, alone or [], least_words).tolist())
                 if gone:
-                    out.append((doc, text, gone))
+                    out.append((doc, text, sorted(gone)))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], type=f.type) for i, f in enumerate(schema)], schema=schema)
 
     return run
 
 
 def line_dedup(documents: DataFrame, least_words: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Delete from every document the blocks of lines that it shares, in order, with an earlier one.
+    """Delete from every document the blocks of consecutive lines that it shares with any earlier one.
 
     Returns doc_id, n_lines (lines with a word), n_removed (deleted lines with a word), text (the lines left, joined by
     newlines; unchanged and null where it was null if none is deleted) and the columns named by keep.  Lines are split at
-    newlines and compared whole; lines without a word never pair documents but go with a block around them.  Documents
-    are judged on the input: a block goes even if the earlier document loses it to one before.  Null texts have no
+    newlines and compared whole; lines without a word go with a block around them.  A block goes wherever the earlier
+    document holds it; of a block that one earlier document alone holds, and less often, the copies that the alignment
+    does not place stay.  Documents are judged on the input: a block goes even if the earlier document loses it to one before.  Null texts have no
     lines.  Rows without a doc_id pair with none and stay as they are; rows that share a doc_id are not aligned with each
     other.  An empty table gives an empty result.
     """
@@ -104,17 +173,24 @@ def line_dedup(documents: DataFrame, least_words: int = 10, keep: tuple[str, ...
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).withColumn("text_hash", F.xxhash64("text"))
     held = docs.where("doc_id is not null and text is not null").select("doc_id", "text_hash", lines(F.col("text")).alias("l"))
     held = held.select("doc_id", "text_hash", F.transform("l", lambda x: F.xxhash64(x)).alias("lines"), F.transform("l", words).alias("n_words"))
-    held = saved(held.dropDuplicates(["doc_id", "text_hash"]))
+    held = held.dropDuplicates(["doc_id", "text_hash"])
+    held = saved(held.mapInArrow(with_runs(least_words), "doc_id long, text_hash long, lines array<long>, n_words array<int>, runs array<long>, repeated array<long>"))
+
+    by_run = held.select("doc_id", "text_hash", F.explode("runs").alias("run"))
+    firsts = by_run.groupBy("run").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last").select("run", "first")
+    firsts = saved(firsts)  # a join right above an aggregate could not be split where a run is very common
+    pairs = by_run.join(firsts, "run").where("first.doc_id < doc_id").select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"), "doc_id", "text_hash").distinct()
 
-    wordy = F.filter(F.arrays_zip("lines", "n_words"), lambda x: x["n_words"] > 0)
-    by_line = held.select("doc_id", "text_hash", F.explode(F.array_distinct(F.transform(wordy, lambda x: x["lines"]))).alias("line"))
-    firsts = by_line.groupBy("line").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last").select("line", "first")
-    firsts = saved(firsts)  # a join right above an aggregate could not be split where a line is very common
-    pairs = by_line.join(firsts, "line").where("first.doc_id < doc_id").select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"), "doc_id", "text_hash").distinct()
+    again = saved(held.select("doc_id", "text_hash", F.explode("repeated").alias("run")))
+    known = saved(again.select("run").distinct().join(firsts, "run").select("run", F.col("first.doc_id").alias("first_id")))
+    later = saved(by_run.join(known, "run").where("first_id < doc_id").select("run", "first_id", "doc_id"))  # nor one right below an aggregate by its key
+    seconds = saved(later.groupBy("run", "first_id").agg(F.min("doc_id").alias("second_id")))
+    alone = again.join(seconds, "run").where("first_id < doc_id and second_id >= doc_id").groupBy("doc_id", "text_hash").agg(F.collect_list("run").alias("alone"))
 
+    held = held.drop("runs", "repeated").join(saved(alone), ["doc_id", "text_hash"], "left")
     left = held.select(F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash"), F.col("lines").alias("first_lines"))
     both = pairs.join(held, ["doc_id", "text_hash"]).join(left, ["first_id", "first_hash"])
-    gone = both.select("doc_id", "text_hash", "first_lines", "lines", "n_words").mapInArrow(aligned(least_words), "doc_id long, text_hash long, gone array<int>")
+    gone = both.select("doc_id", "text_hash", "first_lines", "lines", "n_words", "alone").mapInArrow(aligned(least_words), "doc_id long, text_hash long, gone array<int>")
     gone = gone.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
     out = docs.join(gone, ["doc_id", "text_hash"], "left")

@@ -280,3 +280,45 @@ def test_line_dedup(odd, none, documents):
         assert got == lines_left([(r["doc_id"], r["text"]) for r in df.collect()])
     assert line_dedup(none).count() == 0
     assert line_dedup(odd, keep=("lang", "lines")).columns == ["doc_id", "lang", "lines", "n_lines", "n_removed", "text"]
+
+
+def left_by_every_pair(rows, aligned, least_words=10):
+    """Lines left of each document by every earlier one: by its alignment, or by any common run of enough words."""
+    out = {}
+    for j, u in rows:
+        b = u.split("\n")
+        n = [len(words(x)) for x in b]
+        gone = set()
+        for a in (t.split("\n") for i, t in rows if i < j):
+            blocks = patience(a, b) if aligned else [(p, q, k) for p in range(len(a)) for q in range(len(b)) for k in range(1, len(b) + 1) if a[p : p + k] == b[q : q + k]]
+            for _, q, k in blocks:
+                if sum(n[q : q + k]) >= least_words:
+                    gone |= set(range(q, q + k))
+        out[j] = Counter(x for q, x in enumerate(b) if q not in gone)
+    return out
+
+
+def test_line_dedup_meets_every_earlier_document(spark):
+    z, w = passage(6, 50), passage(6, 51)
+    short = [passage(6, 60 + i) for i in range(3)]
+    long, other = passage(60, 70), passage(12, 57)
+    cases = [
+        [[short[0], z], [w, short[1]], short[:2], [passage(6, 52), *short[:2], passage(6, 53)]],
+        [[long, z, long], [w, long], [passage(6, 54), long]],
+        [[long, other, z], [other, w, long]],
+        [[long, z], [w, long], [long, passage(6, 55), long]],
+    ]
+    rng = np.random.default_rng(10)
+    pool = [*short, "", long, passage(3, 71), passage(10, 72)]
+    cases += [[[pool[x] for x in rng.integers(0, len(pool), rng.integers(1, 9))] for _ in range(5)] for _ in range(30)]
+    for n, case in enumerate(cases):  # cases share no line
+        case[:] = ["\n".join(" ".join(f"{y}c{n}" for y in x.split()) for x in d) for d in case]
+    rows = [(10 * n + i, d) for n, case in enumerate(cases) for i, d in enumerate(case)]
+    got = {r["doc_id"]: r["text"].split("\n") for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    some, most = left_by_every_pair(rows, True), left_by_every_pair(rows, False)
+    for i, lines in got.items():
+        left = Counter(x for x in lines if x)  # without blank ones, which an empty text cannot show
+        assert all(left[x] <= some[i][x] for x in left), i
+        assert all(left[x] >= most[i][x] for x in most[i] if x), i
+    assert got[3] == [" ".join(f"{y}c0" for y in passage(6, x).split()) for x in (52, 53)]
+    assert [len("\n".join(got[i]).split()) for i in (11, 12, 21, 31, 32)] == [6, 6, 6, 6, 6]

@@ -6,7 +6,8 @@
    later holder is paired with it: one pair a holder, however many hold the run, and never all pairs of its holders.  A
    rare run thereby pairs just the documents that overlap; one that a third of all documents hold costs one pair each.
 3. Every pair is aligned with patience diff: lines that both documents hold exactly once anchor the alignment, in the
-   longest increasing chain; runs of equal lines around the anchors make common blocks.
+   longest increasing chain; the gaps between are aligned likewise, and a gap without such lines by its common start
+   and end or its longest common block.  Equal lines in a row make common blocks.
 4. Aligned blocks of at least `least_words` words are deleted from the later document, and so are its least runs that
    the earlier one holds out of order.  Only a run that the later document repeats, that one earlier document alone
    holds, and less often, goes no more often than the alignment places it.
@@ -38,7 +39,40 @@ def words(line: Column) -> Column:
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
-    """Common blocks (start in a, start in b, length) of a patience alignment."""
+    """Common blocks (start in a, start in b, length) of a patience alignment.
+
+    Lines that occur once on both sides anchor it, in the longest increasing chain; then the gaps between anchors are
+    aligned likewise, on what occurs once in the gap.  A gap without anchors gives its common start and end, and where
+    it has neither, its longest common block.
+    """
+    met: list[tuple[int, int, int]] = []
+    gaps = [(0, len(a), 0, len(b))]
+    while gaps:
+        low_a, top_a, low_b, top_b = gaps.pop()
+        if low_a == top_a or low_b == top_b:
+            continue
+        x, y = a[low_a:top_a], b[low_b:top_b]
+        if set(x).isdisjoint(y):
+            continue
+        blocks = [(i, j, 1) for i, j in anchors(x, y)] or ends(x, y) or [longest_block(x, y)]
+        end_a, end_b = low_a, low_b
+        for i, j, n in blocks:
+            i, j = i + low_a, j + low_b
+            met.append((i, j, n))
+            gaps.append((end_a, i, end_b, j))
+            end_a, end_b = i + n, j + n
+        gaps.append((end_a, top_a, end_b, top_b))
+    out: list[tuple[int, int, int]] = []
+    for i, j, n in sorted(met):
+        if out and out[-1][0] + out[-1][2] == i and out[-1][1] + out[-1][2] == j:
+            out[-1] = (*out[-1][:2], out[-1][2] + n)
+        else:
+            out.append((i, j, n))
+    return out
+
+
+def anchors(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Longest increasing chain of places of the lines that both sides hold exactly once."""
     in_a, in_b = Counter(a), Counter(b)
     at = {x: i for i, x in enumerate(a) if in_a[x] == 1}
     pairs = [(at[x], j) for j, x in enumerate(b) if in_b[x] == 1 and x in at]  # by place in b
@@ -55,25 +89,57 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     while p >= 0:
         chain.append(pairs[p])
         p = before[p]
-    if not chain:  # nothing is unique on both sides: common start and end
-        chain = [(0, 0)] if a and b and a[0] == b[0] else []
-        if a and b and a[-1] == b[-1] and (len(a), len(b)) != (1, 1):
-            chain = [(len(a) - 1, len(b) - 1), *chain]
-    out: list[tuple[int, int, int]] = []
-    low_a = low_b = 0
-    anchors = chain[::-1]
-    for n, (i, j) in enumerate(anchors):
-        if out and i < low_a:  # inside the block before
-            continue
-        top_a, top_b = anchors[n + 1] if n + 1 < len(anchors) else (len(a), len(b))
-        first_a, first_b, last_a, last_b = i, j, i + 1, j + 1
-        while first_a > low_a and first_b > low_b and a[first_a - 1] == b[first_b - 1]:
-            first_a, first_b = first_a - 1, first_b - 1
-        while last_a < len(a) and last_b < len(b) and a[last_a] == b[last_b] and (last_a < top_a or (last_a - top_a == last_b - top_b)):
-            last_a, last_b = last_a + 1, last_b + 1
-        out.append((first_a, first_b, last_a - first_a))
-        low_a, low_b = last_a, last_b
-    return out
+    return chain[::-1]
+
+
+def ends(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
+    """Common start and common end, where there are any."""
+    most = min(len(a), len(b))
+    n = next((k for k in range(most) if a[k] != b[k]), most)
+    m = next((k for k in range(most - n) if a[-1 - k] != b[-1 - k]), most - n)
+    return [x for x in ((0, 0, n), (len(a) - m, len(b) - m, m)) if x[2]]
+
+
+def longest_block(a: list[int], b: list[int]) -> tuple[int, int, int]:
+    """The longest block of lines common to both, by a suffix automaton of a: in proportion to their lengths."""
+    nexts: list[dict[int, int]] = [{}]
+    link, size, end = [-1], [0], [0]
+    last = 0
+    for i, x in enumerate(a):
+        new, p = len(nexts), last
+        nexts.append({})
+        link.append(0)
+        size.append(size[last] + 1)
+        end.append(i + 1)
+        while p >= 0 and x not in nexts[p]:
+            nexts[p][x] = new
+            p = link[p]
+        if p >= 0:
+            q = nexts[p][x]
+            if size[q] == size[p] + 1:
+                link[new] = q
+            else:
+                copy = len(nexts)
+                nexts.append(dict(nexts[q]))
+                link.append(link[q])
+                size.append(size[p] + 1)
+                end.append(end[q])
+                while p >= 0 and nexts[p].get(x) == q:
+                    nexts[p][x] = copy
+                    p = link[p]
+                link[q] = link[new] = copy
+        last = new
+    best = (0, 0, 0)
+    state = n = 0
+    for j, x in enumerate(b):
+        while state and x not in nexts[state]:
+            state = link[state]
+            n = size[state]
+        if x in nexts[state]:
+            state, n = nexts[state][x], n + 1
+        if n > best[2]:
+            best = (end[state] - n, j + 1 - n, n)
+    return best
 
 
 def least_runs(lines: np.ndarray, n: np.ndarray, at: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -10,7 +10,7 @@ from factloom.llm.components import components
 from factloom.llm.jaccard_join import jaccard_join, prefix_length
 from factloom.llm.license_rules import BASE, rules
 from factloom.llm.license_scans import license_scan
-from factloom.llm.line_dedup import line_dedup, patience
+from factloom.llm.line_dedup import line_dedup, longest_block, patience
 from factloom.llm.repetition_rules import longest_repeats, repetition_rules
 from factloom.llm.source_mixing import mixed
 
@@ -322,3 +322,31 @@ def test_line_dedup_meets_every_earlier_document(spark):
         assert all(left[x] >= most[i][x] for x in most[i] if x), i
     assert got[3] == [" ".join(f"{y}c0" for y in passage(6, x).split()) for x in (52, 53)]
     assert [len("\n".join(got[i]).split()) for i in (11, 12, 21, 31, 32)] == [6, 6, 6, 6, 6]
+
+
+def test_patience_aligns_gaps_and_repeated_lines():
+    p, q, r, s, x, y = range(6)
+    assert [n for _, _, n in patience([p, x, y], [q, p, r, p, s])] == [1]
+    assert patience([p, q, p, q, x, r, s, r], [y, p, q, p, q, y, y, r, s, r]) == [(0, 1, 4), (5, 7, 3)]
+    assert patience([p, p, x, q, q, r], [y, p, p, y, q, q, r]) == [(0, 1, 2), (3, 4, 3)]  # gaps beside an anchor
+    assert patience([p, q, x, q, r], [q, r, y, p, q, x, q]) in ([(0, 3, 4)], [(0, 3, 2), (2, 5, 2)])
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        a, b = rng.integers(0, 4, rng.integers(1, 14)).tolist(), rng.integers(0, 4, rng.integers(1, 14)).tolist()
+        i, j, n = longest_block(a, b)
+        assert a[i : i + n] == b[j : j + n]
+        assert n == max((k for i in range(len(a)) for j in range(len(b)) for k in range(1, len(a) + 1) if i + k <= len(a) and j + k <= len(b) and a[i : i + k] == b[j : j + k]), default=0)
+        end_a = end_b = 0
+        for i, j, n in [*patience(a, b), (len(a), len(b), 0)]:  # no gap has a common line left
+            assert set(a[end_a:i]).isdisjoint(b[end_b:j])
+            end_a, end_b = i + n, j + n
+    many = rng.integers(0, 3, 20000).tolist()
+    assert sum(n for _, _, n in patience(many, [9, *many[5:], 9])) >= 19995
+
+
+def test_line_dedup_aligns_lines_that_repeat(spark):
+    long = passage(60, 80)
+    q, r, s, x, y = (passage(3, 90 + i) for i in range(5))
+    rows = [(1, [long, x, y]), (2, [q, long, r, long, s])]
+    got = {i: t for i, t in line_dedup(spark.createDataFrame([(i, "\n".join(t)) for i, t in rows], "doc_id long, text string")).select("doc_id", "text").collect()}
+    assert got[2].split("\n") in ([q, r, long, s], [q, long, r, s])

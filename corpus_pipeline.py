@@ -14,7 +14,7 @@ from factloom.llm.jaccard_join import jaccard_join
 from factloom.llm.line_dedup import line_dedup
 from factloom.llm.queries import byte_bpe
 from factloom.llm.repetition_rules import repetition_rules
-from factloom.llm.shared import ready
+from factloom.llm.shared import ready, saved
 from factloom.llm.source_mixing import mixed
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -37,14 +37,26 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest doc_id stays, once; rows without a doc_id all stay."""
-    classes = jaccard_join(docs)
-    lost = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(lost, "doc_id", "left_anti")
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-        kept = named.unionByName(kept.where("doc_id is null"))
-    return kept.select(*COLUMNS)
+    """Of each class of near duplicates the document with the smallest doc_id stays, once; rows without a doc_id all stay.
+
+    Rows that share a doc_id are one document only if their texts are equal.  Where ids repeat with unlike texts, ids in
+    the order of doc_id and text hash take their place while the texts are compared.
+    """
+    docs = docs.select(*COLUMNS)
+    named = docs.where("doc_id is not null").withColumn("text_hash", F.xxhash64("text"))
+    ids = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("n > 1")
+    repeated, unlike = ids.agg(F.count(F.lit(1)), F.count(F.when(F.col("low") != F.col("high"), 1))).first()
+    if unlike:
+        keys = saved(named.select("doc_id", "text_hash", "text").dropDuplicates(["doc_id", "text_hash"]).orderBy("doc_id", "text_hash").withColumn("key", F.monotonically_increasing_id()))
+        classes = jaccard_join(keys.select(F.col("key").alias("doc_id"), "text"))
+        lost = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("key")).distinct().join(keys.select("key", "doc_id", "text_hash"), "key").drop("key")
+        kept = named.join(lost, ["doc_id", "text_hash"], "left_anti").dropDuplicates(["doc_id", "text_hash"])
+        return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null"))
+    lost = jaccard_join(docs).where("doc_id <> class_id").select("doc_id").distinct()
+    kept = docs.join(lost, "doc_id", "left_anti").select(*COLUMNS)
+    if repeated:
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    return kept
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
+from cases import passage
 from test_operators_1_to_5 import packs
 from test_operators_6_to_10 import classes_by_force, judged, lines_left
 
@@ -48,3 +49,13 @@ def test_run_is_the_stages_in_order(spark, odd, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     odd.limit(0).write.parquet(f"{tmp_path}/empty/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_near_duplicates_keep_unlike_texts_of_one_id(spark):
+    a, b, c = (passage(60, 40 + i) for i in range(3))
+    rows = [(1, a), (2, a + " more"), (2, b), (2, b), (3, c), (3, c + " more"), (4, None), (4, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    third = [x for x in got if x[0] == 3]
+    assert len(third) == 1 and third[0] in rows
+    assert got == Counter([(1, a), (2, b), third[0], (4, None), (None, a)])

@@ -13,7 +13,7 @@ BASE = [("mit", "mit license"), ("apache", "apache license"), ("gpl", "general p
 
 TEXT = """
 mit | 95 | permission is hereby granted free of charge | permission is hereby granted free of charge to any person obtaining a copy of this software
-mit | 92 | software is provided as is | the above copyright notice and this permission notice (?:\\S+ )*?shall be included in all copies
+mit | 92 | this permission notice | the above copyright notice and this permission notice (?:\\S+ )*?shall be included in all copies
 mit | 80 | mit license | (?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?mit license
 mit | 78 | spdx license identifier | spdx license identifier mit
 mit | 76 | opensource org | opensource org licenses mit(?: license(?: php)?)?
@@ -58,7 +58,7 @@ apache | 58 | apache software license | apache software license
 gpl | 62 | general public license | gnu general public license
 gpl | 60 | general public license | general public license
 gpl | 56 | gnu gpl | gnu gpl
-gpl | 90 | free software foundation | this program is free software you can redistribute it and or modify it under the terms of the gnu general public license
+gpl | 90 | this program is free software | this program is free software you can redistribute it and or modify it under the terms of the gnu general public license
 gpl | 88 | without even the implied warranty | distributed in the hope that it will be useful but without any warranty without even the implied warranty
 gpl | 74 | copy of the gnu general public license | you should have received a copy of the gnu general public license
 lgpl | 90 | gnu lesser general public license | under the terms of the gnu lesser general public license
@@ -116,7 +116,7 @@ python-2.0 | 66 | psf license | psf license
 openssl | 90 | openssl toolkit | this product includes software developed by the openssl project for use in the openssl toolkit
 openssl | 68 | openssl license | openssl license
 sleepycat | 68 | sleepycat license | sleepycat license
-postgresql | 70 | postgresql license | postgresql licen[cs]e
+postgresql | 70 | postgresql licen | postgresql licen[cs]e
 curl | 68 | curl license | curl license
 ncsa | 76 | university of illinois | university of illinois(?: ncsa)? open source license
 ncsa | 70 | ncsa open source license | ncsa open source license

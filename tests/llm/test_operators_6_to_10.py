@@ -350,3 +350,15 @@ def test_line_dedup_aligns_lines_that_repeat(spark):
     rows = [(1, [long, x, y]), (2, [q, long, r, long, s])]
     got = {i: t for i, t in line_dedup(spark.createDataFrame([(i, "\n".join(t)) for i, t in rows], "doc_id long, text string")).select("doc_id", "text").collect()}
     assert got[2].split("\n") in ([q, r, long, s], [q, long, r, s])
+
+
+def test_rules_are_tried_wherever_their_pattern_matches(spark):
+    texts = [
+        "The above copyright notice and this permission notice shall be included in all copies. THE SOFTWARE IS PROVIDED \u201cAS IS\u201d.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
+        "PostgreSQL Licence",
+    ]
+    found = license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    found = {r["doc_id"]: (r["labels"].split(","), r["score"]) for r in found.collect()}
+    for i, (label, least) in enumerate([("mit", 92), ("gpl", 90), ("postgresql", 70)]):
+        assert label in found[i][0] and found[i][1] >= least / 100

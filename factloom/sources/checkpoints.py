@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Use the session's checkpoint folder; set one of our own only where none is set."""
+    """Use the session's checkpoint folder; set one of our own only where none is set and one machine does all."""
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return spark
 

@@ -1,14 +1,20 @@
 """N-gram Jaccard self-join with a MinHash LSH forest and exact verification.
 
-1. One pass makes, for each text, a fingerprint of its words and `trees` labels of `deepest` MinHash values each.  Equal
-   texts become one class; only its smallest doc_id goes on.
-2. Each tree's labels form a trie; texts that share a prefix of a label meet in its node.  The prefix starts at the full
-   label and is shortened until the expected recall, 1 - (1 - threshold ** length) ** trees, reaches the target.
-3. Texts that meet anywhere are joined to the smallest text of the node, and connected ids form a candidate set.  It
-   holds every pair that any tree proposes, but takes one row a text and node, however many texts meet.
-4. Within a candidate set all pairs are verified exactly, on the sets of shingle hashes, in blocks: a set of many texts
-   becomes pairs of blocks, each a task's small matrix product.  Only counts of links and a spanning set of links leave a
-   block, never all pairs.
+1. One pass makes, for each text, a fingerprint of its words and a signature: `trees` labels of `deepest` MinHash values.
+   Equal texts become one class; only its smallest doc_id goes on.
+2. Each tree is the trie of its sorted labels; texts with the same prefix of a label meet in a node.  The prefix starts at
+   the full label and is shortened by one value at a time, until the recall reaches the target.  The recall is measured on
+   the pairs met: a pair of similarity s meets with a known probability, so each one met stands for so many that are there.
+   At the length where even a corpus of pairs at the threshold would reach the target, shortening ends.
+3. Within a node, texts are compared by their signatures only.  The first text of the node is a leader; texts very like it
+   leave with a link to it, texts rather like it get a link and stay, and so on with the first of those that stay.  By the
+   triangle inequality of the Jaccard distance a pair at the threshold is linked, at once or through a leader.  A node of
+   many texts is dealt into parts, and then the parts' leaders meet.  A task emits a spanning forest: one link a text and
+   node at most, never all pairs.
+4. Linked texts form candidate sets.  Within a set all pairs are verified exactly, on the sets of shingle hashes, in blocks:
+   a set of many texts becomes pairs of blocks, each a task's small matrix product.  Only counts of links and a spanning set
+   of links leave a block, never all pairs.  Texts that merely share a passage meet in nodes by chance, but are told apart
+   by their signatures before any set is formed.
 5. Connected links form the near-duplicate classes.
 """
 
@@ -18,12 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import components
-from .shared import WORD_STEPS, Words, ids_of, mix, pieces, ready, saved, segments
+from .shared import Words, grams, ids_of, mix, pieces, ready, saved
 
-SHINGLE_STEP = WORD_STEPS[0]
+#: Estimated similarity from which a text leaves a node for a leader, and those from which it is linked to a leader of its
+#: part, and leaders of different parts are.  A pair at 0.8 is at most 0.15 + 0.2 (0.15 more for two leaders) away; the
+#: rest is room for the error of the estimates, of which one standard deviation is 0.03.
+LEAVE, LINK, LINK_PARTS = 0.85, 0.55, 0.42
+
+#: Texts of a part of a node.
+PART = 512
 
 
 def prefix_length(threshold: float, trees: int, deepest: int, recall: float) -> int:
@@ -34,47 +47,123 @@ def prefix_length(threshold: float, trees: int, deepest: int, recall: float) ->
     raise ValueError("too few trees for this recall")
 
 
-def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all runs of k words (of all words, where there are fewer), the text of each, and of all its words."""
+def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of k words (of all words, where there are fewer), and the text of each."""
     hashes = words.hashes()
     at = words.windows(k)
-    of = words.of()
+    values, text = grams(hashes, k)[at], words.of()[at]
     short = np.flatnonzero((words.counts > 0) & (words.counts < k))
-    starts = np.concatenate([at, words.first[short]])
-    ends = np.concatenate([at + k, words.first[short + 1]])
-    text = np.concatenate([of[at], short])
     if len(short):
+        first = words.first[short]
+        alone = np.zeros(len(short), dtype=np.uint64)
+        for i in range(k - 1):
+            more = words.counts[short] > i
+            alone[more] = mix(alone[more] * np.uint64(3) + hashes[first[more] + i], 61)
+        values, text = np.concatenate([values, alone]), np.concatenate([text, short])
         o = np.argsort(text, kind="stable")
-        starts, ends, text = starts[o], ends[o], text[o]
-    return mix(segments(hashes, starts, ends, SHINGLE_STEP)), text, hashes
+        values, text = values[o], text[o]
+    return values, text
+
+
+SIGNED = pa.schema([(c, pa.int64()) for c in ("doc_id", "text_hash", "fp1", "fp2", "n_words")] + [("signature", pa.binary())])
 
 
-def labelled(k: int, trees: int, deepest: int, length: int):
-    """Arrow function: fingerprint and tree prefixes of each text."""
+def signed(k: int, trees: int, deepest: int):
+    """Arrow function: fingerprint and signature of each text with words.
+
+    A MinHash value is kept to 16 bits: unlike values then agree with a chance of 2 ** -16, which only adds candidates.
+    """
     rng = np.random.Generator(np.random.PCG64(977))
     factors = rng.integers(1, 2**63, trees * deepest, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "text_hash", "fp1", "fp2")] + [("nodes", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, most=1 << 20):
             words = Words(batch.column("text"))
-            grams, text, hashes = shingles(words, k)
-            some = np.flatnonzero(words.counts > 0)
-            at = np.searchsorted(text, some)
-            fp = [mix(segments(mix(hashes, 11 + i), words.first[some], words.first[some + 1], step), 21 + i) for i, step in enumerate(WORD_STEPS)]
-            nodes = np.empty((len(some), trees), dtype=np.uint64)
-            for t in range(trees):
-                node = np.full(len(some), t + 1, dtype=np.uint64)
-                for d in range(length):
-                    x = grams * factors[t * deepest + d]
-                    node = mix(node ^ np.minimum.reduceat(x ^ (x >> np.uint64(32)), at), 31) if len(some) else node
-                nodes[:, t] = node
             ids, null = ids_of(batch)
-            good = ~null[some]
-            flat = pa.array(nodes[good].view(np.int64).ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, good.sum() * trees + 1, trees), type=pa.int32()), flat)
-            own = batch.column("text_hash").take(pa.array(some[good]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some][good]), own, *(pa.array(x[good].view(np.int64)) for x in fp), lists], schema=schema)
+            values, text = shingles(words, k)
+            some = np.flatnonzero((words.counts > 0) & ~null)
+            at = np.searchsorted(text, np.arange(words.n + 1))
+            values = np.concatenate([values[at[i] : at[i + 1]] for i in some]) if null.any() and len(some) else values
+            begin = np.cumsum([0, *np.diff(at)[some]])[:-1]
+            signature = np.empty((len(some), trees * deepest), dtype="<u2")
+            for i, factor in enumerate(factors):
+                x = values * factor
+                if len(some):
+                    signature[:, i] = mix(np.minimum.reduceat(x ^ (x >> np.uint64(32)), begin)) >> np.uint64(48)
+            own = batch.column("text").take(pa.array(some)).to_pylist()
+            fp = np.array([xxhash.xxh3_128_digest(b" ".join(t.encode().split())) for t in own], dtype="S16")
+            fp = np.frombuffer(fp.tobytes(), dtype="<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids[some]),
+                    batch.column("text_hash").take(pa.array(some)),
+                    pa.array(fp[:, 0]),
+                    pa.array(fp[:, 1]),
+                    pa.array(words.counts[some].astype(np.int64)),
+                    pa.array([x.tobytes() for x in signature], type=pa.binary()),
+                ],
+                schema=SIGNED,
+            )
+
+    return run
+
+
+def node(tree: Column, length: int, deepest: int) -> Column:
+    """The node of a tree that the first `length` values of its label lead to."""
+    return F.xxhash64(tree, F.substring(F.col("signature"), tree * (2 * deepest) + 1, F.lit(2 * length)))
+
+
+LED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("leader", pa.int64()), ("met", pa.float64()), ("there", pa.float64())])
+
+
+def led(length: int, trees: int, threshold: float, link: float, leaders: bool):
+    """Arrow function over rows sorted by group: links (a, b) of a spanning forest in each, the leaders of groups marked
+    `many` if asked for, and one row of sums for the recall: pairs met at the threshold, and how many they stand for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["grp"]):
+            cuts = starts(table, ["grp"])
+            rep = table["rep"].to_numpy()
+            signature = np.frombuffer(b"".join(table["signature"].to_pylist()), dtype="<u2").reshape(len(rep), -1)
+            group = np.repeat(np.arange(len(cuts)), np.diff([*cuts, len(rep)]))
+            root = np.arange(len(rep))
+            left = np.arange(len(rep))  # not yet led; sorted by group
+            made: list[tuple[np.ndarray, np.ndarray]] = []
+            leads: list[np.ndarray] = []
+            met = there = 0.0
+            while len(left):
+                new = np.ones(len(left), dtype=bool)
+                new[1:] = group[left[1:]] != group[left[:-1]]
+                hub = left[np.maximum.accumulate(np.where(new, np.arange(len(left)), 0))]
+                leads.append(left[new])
+                left, hub = left[~new], hub[~new]
+                like = np.concatenate([(signature[left[i : i + 65536]] == signature[hub[i : i + 65536]]).mean(axis=1) for i in range(0, len(left), 65536)]) if len(left) else np.zeros(0)
+                s = like[like >= threshold] ** length
+                there += float((1 / s).sum())
+                met += float(((1 - (1 - s) ** trees) / s).sum())
+                linked = np.flatnonzero((like >= link) & (root[left] != root[hub]))
+                # one link for each tree of the forest that meets the hub's
+                _, once = np.unique(root[left[linked]], return_index=True)
+                x, h = left[linked[once]], hub[linked[once]]
+                made.append((rep[x], rep[h]))
+                to = np.arange(len(rep))
+                to[root[x]] = root[h]
+                root = to[root]
+                left = left[like < LEAVE]
+            a, b = (np.concatenate(x) for x in zip(*made, strict=True))
+            yield links_of(a, b, met, there)
+            if leaders:
+                lead = np.concatenate(leads)
+                lead = lead[np.asarray(table["many"])[lead]]
+                empty = pa.nulls(len(lead), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(table["node"].to_numpy()[lead]), empty, pa.array(rep[lead]), *[pa.nulls(len(lead), pa.float64())] * 2], schema=LED)
+
+    def links_of(a: np.ndarray, b: np.ndarray, met: float, there: float) -> pa.RecordBatch:
+        n = len(a)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([*a.tolist(), None], type=pa.int64()), pa.array([*b.tolist(), None], type=pa.int64()), pa.nulls(n + 1, pa.int64()), pa.array([None] * n + [met], type=pa.float64()), pa.array([None] * n + [there], type=pa.float64())],
+            schema=LED,
+        )
 
     return run
 
@@ -84,12 +173,12 @@ class Block:
 
     def __init__(self, ids: np.ndarray, copies: np.ndarray, texts: pa.Array, k: int):
         self.ids, self.copies = ids, copies
-        grams, text, _ = shingles(Words(texts), k)
-        o = np.lexsort((grams, text))
-        grams, text = grams[o], text[o]
+        values, text = shingles(Words(texts), k)
+        o = np.lexsort((values, text))
+        values, text = values[o], text[o]
         new = np.ones(len(o), dtype=bool)
-        new[1:] = (grams[1:] != grams[:-1]) | (text[1:] != text[:-1])
-        self.grams, self.text = grams[new], text[new]
+        new[1:] = (values[1:] != values[:-1]) | (text[1:] != text[:-1])
+        self.grams, self.text = values[new], text[new]
         self.sizes = np.bincount(self.text, minlength=len(ids))
 
 
@@ -201,7 +290,37 @@ def groups(table: pa.Table, keys: list[str]) -> Iterator[pa.Table]:
         yield table.slice(a, b - a)
 
 
-def jaccard_join(documents: DataFrame, k: int = 5, threshold: float = 0.8, trees: int = 24, deepest: int = 6, recall: float = 0.9999, block_rows: int = 128) -> DataFrame:
+def proposed(classes: DataFrame, length: int, trees: int, deepest: int, threshold: float) -> tuple[DataFrame, float]:
+    """Links (a, b) between representatives that meet in nodes of prefixes of this length, and the recall estimated."""
+    each = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+    met = classes.select("rep", "signature", each).select("rep", "signature", node(F.col("tree"), length, deepest).alias("node"))
+    nodes = saved(met.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))  # written, so that a join with a hot node can be split
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    dealt = met.join(nodes, "node").select("node", "rep", "signature", (parts > 1).alias("many"), F.xxhash64("node", F.pmod(F.xxhash64("rep"), parts)).alias("grp"))
+    dealt = dealt.repartition("grp").sortWithinPartitions("grp", "rep")
+    types = "a long, b long, leader long, met double, there double"
+    found = saved(dealt.mapInArrow(led(length, trees, threshold, LINK, True), types))
+    out = found.where("b is not null").select("a", "b")
+
+    hot = found.where("leader is not null").select(F.col("a").alias("node"), F.col("leader").alias("rep"))
+    counts = hot.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    hot = hot.join(counts, "node").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts")))
+    hot = in_blocks(hot, "node", "part", "parts").join(classes.select("rep", "signature"), "rep")
+    hot = hot.select("node", "rep", "signature", F.lit(False).alias("many"), F.xxhash64("node", "low", "high").alias("grp"))
+    hot = hot.repartition("grp").sortWithinPartitions("grp", "rep")
+    more = hot.mapInArrow(led(length, trees, threshold, LINK_PARTS, False), types).where("b is not null").select("a", "b")
+
+    sums = found.agg(F.sum("met"), F.sum("there")).first()
+    return out.union(more), (sums[0] / sums[1] if sums[1] else 1.0)
+
+
+def in_blocks(rows: DataFrame, group: str, block: str, blocks: str) -> DataFrame:
+    """Every row once for each block of its group, with the pair (low, high) of its own block and that one."""
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
+    return rows.withColumns({"low": F.least(block, "other"), "high": F.greatest(block, "other")}).drop("other")
+
+
+def jaccard_join(documents: DataFrame, k: int = 5, threshold: float = 0.8, trees: int = 24, deepest: int = 6, recall: float = 0.9999, block_rows: int = 256) -> DataFrame:
     """Join documents whose sets of k-word shingles have a Jaccard similarity of threshold or more.
 
     Returns a row for each row of documents with a doc_id: doc_id, class_id (the smallest doc_id it is connected with by
@@ -209,34 +328,35 @@ def jaccard_join(documents: DataFrame, k: int = 5, threshold: float = 0.8, trees
     n_copies (documents with the same words, itself among them).  A text of fewer than k words has one shingle, all its
     words.  Null, empty and blank texts have no shingles and no links.  Rows without a doc_id are left out; rows that
     repeat a doc_id with the same words count as copies, and with other words as texts that share a class and links.
-    An empty table gives an empty result.  Only doc_id and text are read.
+    An empty table gives an empty result.  Only doc_id and text are read.  recall: expected share of the links found.
+    block_rows: texts of a block in a small candidate set; large sets have larger blocks, up to 16 times as many.
     """
     ready(documents.sparkSession)
-    length = prefix_length(threshold, trees, deepest, recall)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).where("doc_id is not null")
-    labels = saved(docs.mapInArrow(labelled(k, trees, deepest, length), "doc_id long, text_hash long, fp1 long, fp2 long, nodes array<long>"))
-    classes = labels.groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "text_hash")).alias("of"), F.count(F.lit(1)).alias("copies"), F.first("nodes").alias("nodes"))
-    classes = saved(classes.select("fp1", "fp2", F.col("of.doc_id").alias("rep"), F.col("of.text_hash").alias("text_hash"), "copies", "nodes"))
-
-    met = classes.select("rep", F.explode("nodes").alias("node"))
-    nodes = saved(met.groupBy("node").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    proposed = met.join(nodes, "node").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    sets = saved(components(proposed).withColumnsRenamed({"id": "rep", "component": "set"}))
-
-    sizes = sets.groupBy("set").agg(F.count(F.lit(1)).alias("n"))
-    members = sets.join(sizes, "set").withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    members = members.join(classes.select("rep", "text_hash", "fp1", "fp2", "copies"), "rep")
+    labels = saved(docs.mapInArrow(signed(k, trees, deepest), "doc_id long, text_hash long, fp1 long, fp2 long, n_words long, signature binary"))
+    classes = labels.groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "text_hash")).alias("of"), F.count(F.lit(1)).alias("copies"), F.first("n_words").alias("n_words"), F.first("signature").alias("signature"))
+    classes = saved(classes.select("fp1", "fp2", F.col("of.doc_id").alias("rep"), F.col("of.text_hash").alias("text_hash"), "copies", "n_words", "signature"))
+
+    shortest = prefix_length(threshold, trees, deepest, recall)
+    for length in range(deepest, shortest - 1, -1):
+        links, estimate = proposed(classes, length, trees, deepest, threshold)
+        if estimate >= recall:
+            break
+    sets = saved(components(links).withColumnsRenamed({"id": "rep", "component": "set"}))
+
+    members = sets.join(classes.select("rep", "text_hash", "copies", "n_words"), "rep")
+    sizes = members.groupBy("set").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"))
+    rows = F.least(F.greatest(F.ceil(F.col("n") / 16), F.lit(block_rows)), F.lit(16 * block_rows))
+    blocks = F.greatest(F.ceil(F.col("n") / rows), F.ceil(F.col("words") / (1 << 20))).cast("int")  # a million words a block
+    members = members.join(sizes.select("set", blocks.alias("blocks")), "set").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     texts = docs.join(members.withColumnRenamed("rep", "doc_id"), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = texts.select("set", "block", "doc_id", "copies", "text", other)
-    dealt = dealt.select("set", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "copies", "text")
+    dealt = in_blocks(texts, "set", "block", "blocks").select("set", "low", "high", "block", "doc_id", "copies", "text")
     dealt = dealt.repartition("set", "low", "high").sortWithinPartitions("set", "low", "high")
     found = saved(dealt.mapInArrow(verified(k, threshold), "doc_id long, links long, to long"))
 
     near = components(found.select(F.col("doc_id").alias("a"), F.col("to").alias("b"))).withColumnsRenamed({"id": "rep", "component": "class_id"})
     linked = found.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("links"))
-    classes = classes.drop("nodes").join(linked, "rep", "left").join(near, "rep", "left")
+    classes = classes.select("rep", "fp1", "fp2", "copies").join(linked, "rep", "left").join(near, "rep", "left")
     classes = saved(classes.select("fp1", "fp2", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies")))
     rows = labels.select("doc_id", "fp1", "fp2").join(classes, ["fp1", "fp2"]).select("doc_id", "class_id", "n_links", "n_copies")
     blank = docs.where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))

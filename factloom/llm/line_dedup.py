@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import WORD_STEPS, mix, ready, saved, segments
+from .shared import mix, ready, saved, segments
 
 
 def lines(text: Column) -> Column:
@@ -155,7 +155,7 @@ def least_runs(lines: np.ndarray, n: np.ndarray, at: np.ndarray, least_words: in
     starts = np.searchsorted(total, total[1:] - least_words, side="right") - 1
     ahead, back = ends <= at[1:][doc], starts >= at[:-1][doc]
     doc, starts, ends = np.concatenate([doc[ahead], doc[back]]), np.concatenate([i[ahead], starts[back]]), np.concatenate([ends[ahead], i[back] + 1])
-    hashes = segments(mix(lines.view(np.uint64)), starts, ends, WORD_STEPS[0]) + (ends - starts).astype(np.uint64)
+    hashes = segments(mix(lines.view(np.uint64)), starts, ends) + ((ends - starts).astype(np.uint64) << np.uint64(3))
     return doc, starts, ends, mix(hashes, 41)
 
 

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from ..sources.checkpoints import ready, saved
 
-__all__ = ["BLANK", "SPACE", "WORD_STEPS", "Words", "ids_of", "mix", "pieces", "powers", "ready", "saved", "segments", "utf8"]
+__all__ = ["BLANK", "SPACE", "Words", "grams", "ids_of", "mix", "pieces", "ready", "saved", "segments", "spans", "utf8"]
 
 #: ASCII white space; everything else belongs to a word.
 SPACE = np.zeros(256, dtype=bool)
@@ -18,27 +19,15 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: White space as the tokenizers' own patterns have it (the Unicode property White_Space), for a class in a pattern.
 BLANK = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
-#: Fixed odd multipliers and byte values of the rolling hashes, the same in every process.
-_RNG = np.random.Generator(np.random.PCG64(20240917))
-BYTE_VALUES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BYTE_STEP = 0x9E3779B97F4A7C15
-WORD_STEPS = (0xBF58476D1CE4E5B9, 0xD6E8FEB86659FD93)
+#: Odd multiplier of `joined`; prime and base of `segments`.
+STEP = 0x9E3779B97F4A7C15
+PRIME = (1 << 61) - 1
+BASE = 0x1B873593CC9E2D51 % PRIME
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(step: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """step ** i and its inverse modulo 2 ** 64 for i in 0 .. n."""
-    known = _powers.get(step)
-    if known is None or len(known[0]) <= n:
-        size = max(n + 1, 1 << 16)
-        out = []
-        for base in (step, pow(step, -1, 2**64)):
-            a = np.full(size, base, dtype=np.uint64)
-            a[0] = 1
-            out.append(np.multiply.accumulate(a))
-        known = _powers[step] = (out[0], out[1])
-    return known
+#: Masks for the first 0 to 8 bytes of a little-endian word.
+FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
+#: Spans longer than this are hashed one by one.
+LONG = 64
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -49,12 +38,56 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def segments(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int) -> np.ndarray:
-    """Polynomial hash modulo 2 ** 64 of values[start:end] for each pair, from one prefix sum."""
-    forth, back = powers(step, len(values))
-    prefix = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * forth[: len(values)], out=prefix[1:])
-    return (prefix[ends] - prefix[starts]) * back[starts]
+def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes data[start:end]: eight bytes at a time, each mixed with all before; long ones by xxh3."""
+    lengths = ends - starts
+    out = mix(lengths.astype(np.uint64), 1)
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray(buffer=padded.data, dtype="<u8", shape=(len(data) + 1,), strides=(1,))
+    for i in np.flatnonzero(lengths > LONG):
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed=5)
+    live = np.flatnonzero((lengths > 0) & (lengths <= LONG))
+    done = 0
+    while len(live):
+        left = lengths[live] - done
+        out[live] = mix(out[live] ^ (eight[starts[live] + done] & FIRST[np.minimum(left, 8)]))
+        live = live[left > 8]
+        done += 8
+    return out
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * np.uint64(STEP) + b)
+
+
+def grams(hashes: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the k words from each place on, as far as there are k; built from halves, each mixed, so that no sum over
+    words can cancel another."""
+    n = max(0, len(hashes) - k + 1)
+    out, done, power, width = None, 0, hashes, 1
+    while True:
+        if k & width:
+            part = power[done : done + n]
+            out = part if out is None else joined(out, part)
+            done += width
+        if 2 * width > k:
+            return mix(out, k)
+        power = joined(power[:-width], power[width:]) if len(power) > width else power[:0]
+        width *= 2
+
+
+def segments(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of values[start:end] for each pair: polynomials modulo the prime 2 ** 61 - 1, from one list of sums.
+
+    Powers fall from left to right, so equal segments have equal hashes wherever they are, and the work is in proportion to
+    the values and pairs, however long the segments.
+    """
+    sums, power = [0], [1]
+    for v in values.tolist():
+        sums.append((sums[-1] * BASE + v) % PRIME)
+    for _ in range(int((ends - starts).max()) if len(starts) else 0):
+        power.append(power[-1] * BASE % PRIME)
+    return np.array([(sums[b] - sums[a] * power[b - a]) % PRIME for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=np.uint64)
 
 
 class Words:
@@ -81,8 +114,7 @@ class Words:
         self.n = len(texts)
 
     def hashes(self) -> np.ndarray:
-        lengths = (self.ends - self.starts).astype(np.uint64)
-        return mix(segments(BYTE_VALUES[self.data], self.starts, self.ends, BYTE_STEP) + lengths)
+        return spans(self.data, self.starts, self.ends)
 
     def of(self) -> np.ndarray:
         return np.repeat(np.arange(self.n), self.counts)

@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import WORD_STEPS, Words, ids_of, mix, pieces, ready, segments
+from .shared import Words, grams, ids_of, mix, pieces, ready
 
 ROWS = 2
 SHARDS = 16
@@ -37,12 +37,9 @@ def keys_of(words: Words, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     at = words.windows(k)
     sub = max(1, k - SUB)
     width = k - sub + 1
-    n = len(hashes) - sub + 1
     if not len(at):
         return at, np.zeros(0, dtype=np.uint64)
-    i = np.arange(n)
-    grams = mix(segments(hashes, i, i + sub, WORD_STEPS[0]))
-    low = grams
+    low = grams(hashes, sub)
     done = 1
     while done < width:
         shift = min(done, width - done)
@@ -201,8 +198,8 @@ def candidates(k: int, bits: int, sketch, part: int, parts: int, shards: int, bu
                 seen[seen] = (table[(cells >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (cells & np.uint64(7)).astype(np.uint8))) & 1 > 0
             at, keys, own = at[seen], keys[seen], own[seen]
             if len(at):
-                a = mix(segments(hashes, at, at + k, WORD_STEPS[0]), 7)
-                b = (mix(segments(mix(hashes, 3), at, at + k, WORD_STEPS[1]), 8) >> np.uint64(32)).astype(np.uint32)
+                a = grams(hashes, k)[at]
+                b = (grams(mix(hashes, 3), k)[at] >> np.uint64(32)).astype(np.uint32)
                 got.append((keys, a, b, ids[own], texts[own], (at - words.first[own]).astype(np.uint32)))
                 n += len(at)
                 if n >= most:

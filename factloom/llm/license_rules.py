@@ -13,7 +13,7 @@ BASE = [("mit", "mit license"), ("apache", "apache license"), ("gpl", "general p
 
 TEXT = """
 mit | 95 | permission is hereby granted free of charge | permission is hereby granted free of charge to any person obtaining a copy of this software
-mit | 92 | this permission notice | the above copyright notice and this permission notice (?:\\S+ )*?shall be included in all copies
+mit | 92 | this permission notice | the above copyright notice and this permission notice (?:including the next paragraph )?shall be included in all copies
 mit | 80 | mit license | (?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?mit license
 mit | 78 | spdx license identifier | spdx license identifier mit
 mit | 76 | opensource org | opensource org licenses mit(?: license(?: php)?)?
@@ -99,7 +99,7 @@ creative-commons | 60 | creative commons attribution | creative commons attribut
 wtfpl | 92 | do what the fuck you want | do what the fuck you want to(?: public license)?
 wtfpl | 66 | wtfpl | wtfpl(?: version 2)?
 zlib | 93 | provided as is without any express | this software is provided as is without any express or implied warranty in no event will the authors be held liable
-zlib | 72 | zlib license | zlib(?: libpng)? license
+zlib | 72 | zlib | zlib(?: libpng)? license
 libpng | 76 | libpng license | libpng license(?: version 2)?
 bzip2 | 76 | bzip2 license | bzip2 license
 boost-1.0 | 84 | boost software license | boost software license version 1 0
@@ -150,7 +150,7 @@ busl-1.1 | 80 | business source license | business source license(?: 1 1)?
 elastic-2.0 | 78 | elastic license | elastic license(?: 2 0)?
 commons-clause | 82 | commons clause | commons clause(?: license condition)?(?: v1 0)?
 polyform | 76 | polyform | polyform (?:noncommercial|small business|shield|strict|internal use) license(?: 1 0 0)?
-odbl | 76 | open database license | open (?:data commons )?database license
+odbl | 76 | database license | open (?:data commons )?database license
 odc-by | 76 | open data commons attribution | open data commons attribution license
 pddl | 76 | public domain dedication and license | public domain dedication and license
 open-government | 74 | open government licen | open government licen[cs]e(?: v? ?[1-3] 0)?
@@ -165,6 +165,156 @@ copyright | 30 | copyright | copyright (?:c )?(?:19|20)[0-9]{2}
 license-hint | 20 | see the license | see the license for the specific language governing permissions
 license-hint | 20 | licensed under | licensed under
 license-hint | 20 | license file | (?:see )?(?:the )?license file
+mit | 88 | without warranty of any kind | the software is provided as is without warranty of any kind express or implied
+mit | 84 | mit license | this project is licensed under the mit license
+isc | 93 | permission to use copy modify | permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted
+bsd | 84 | copyright holders and contributors | this software is provided by the copyright holders and contributors as is
+bsd | 82 | bsd style license | (?:use of this source code|this source code) is (?:governed by|licensed under) (?:a|the) bsd style license
+bsd-1-clause | 80 | bsd 1 clause | bsd 1 clause(?: license)?
+bsd-3-clause-clear | 80 | clear bsd license | (?:the )?clear bsd license
+bsd-3-clause-lbnl | 80 | berkeley national lab | lawrence berkeley national lab(?:s|oratory) bsd(?: variant)? license
+bsd-patent | 80 | bsd plus patent | bsd plus patent(?: license)?
+bsd-protection | 78 | bsd protection license | bsd protection license
+apache-2.0 | 93 | agreed to in writing | unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+apache-2.0 | 92 | obtain a copy of the license | you may obtain a copy of the license at https? www apache org licenses license 2 0
+apache-2.0 | 88 | apache software foundation | licensed to the apache software foundation asf under one or more contributor license agreements
+lgpl | 92 | this library is free software | this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license
+lgpl | 76 | lesser general public license | you should have received a copy of the gnu lesser general public license
+agpl | 76 | affero general public license | you should have received a copy of the gnu affero general public license
+gpl | 72 | general public license | (?:released|distributed|licensed|available) under (?:the )?(?:terms of )?(?:the )?gnu general public license
+gcc-exception | 84 | gcc runtime library exception | under the terms of the gcc runtime library exception
+font-exception | 84 | font exception | gpl (?:font|with font) exception
+bison-exception | 84 | bison | as a special exception you may create a larger work that contains part or all of the bison parser skeleton
+llvm-exception | 84 | llvm exception | (?:with )?(?:the )?llvm exceptions?
+mpl-1.1 | 94 | mozilla public license | the contents of this file are subject to the mozilla public license version 1 1
+mpl-1.0 | 82 | mozilla public license version 1 0 | mozilla public license version 1 0
+epl | 93 | eclipse public license | this program and the accompanying materials are made available under the terms of the eclipse public license
+cddl | 93 | common development and distribution license | the contents of this file are subject to the terms of the common development and distribution license
+boost-1.0 | 95 | person or organization obtaining | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
+boost-1.0 | 86 | boost software license | distributed under the boost software license version 1 0
+cc0 | 90 | dedicated the work to the public domain | the person who associated a work with this deed has dedicated the work to the public domain
+cc-pdm-1.0 | 82 | public domain mark | public domain mark(?: 1 0)?
+cc-sampling-plus | 80 | sampling plus | creative commons sampling plus(?: 1 0)?(?: license)?
+cc-devnations | 80 | developing nations | creative commons developing nations(?: 2 0)?(?: license)?
+unlicense | 90 | anyone is free to copy | anyone is free to copy modify publish use compile sell or distribute this software
+zlib | 90 | origin of this software | the origin of this software must not be misrepresented
+wtfpl | 84 | do what the fuck you want | you just do what the fuck you want to
+ofl-1.1 | 82 | sil open font license | sil open font license version 1 1
+ofl-1.0 | 82 | sil open font license | sil open font license version 1 0
+openssl | 86 | openssl | openssl and ssleay licenses?
+ssleay | 84 | eric young | this product includes cryptographic software written by eric young
+artistic-1.0-perl | 82 | perl artistic license | perl artistic license(?: 1 0)?
+clarified-artistic | 80 | clarified artistic license | (?:the )?clarified artistic license
+aladdin | 78 | aladdin free public license | aladdin free public license
+adobe-2006 | 78 | adobe systems incorporated | adobe systems incorporated source code license agreement
+adobe-glyph | 78 | adobe glyph list license | adobe glyph list license
+amazon-dsl | 76 | amazon digital services license | amazon digital services license
+amazon-software | 76 | amazon software license | amazon software license
+antlr-pd | 78 | antlr software rights notice | antlr software rights notice
+arphic | 78 | arphic public license | arphic public license
+bittorrent | 78 | bittorrent open source license | bittorrent open source license(?: 1 [01])?
+caldera | 76 | caldera license | caldera license
+catosl | 78 | trusted open source license | computer associates trusted open source license(?: 1 1)?
+cern-ohl-s | 80 | cern open hardware licen | cern open hardware licen[cs]e version 2 strongly reciprocal
+cern-ohl-w | 80 | cern open hardware licen | cern open hardware licen[cs]e version 2 weakly reciprocal
+cern-ohl-p | 80 | cern open hardware licen | cern open hardware licen[cs]e version 2 permissive
+cern-ohl | 72 | cern open hardware licen | cern open hardware licen[cs]e(?: v? ?1 [12])?
+cnri-python | 78 | cnri open source license | cnri open source license agreement
+condor | 78 | condor public license | condor public license(?: 1 1)?
+copyleft-next | 78 | copyleft next | copyleft next(?: 0 3 [01])?(?: license)?
+cua-opl | 78 | cua office public license | cua office public license(?: 1 0)?
+d-fsl | 78 | german free software license | german free software license
+datalicence-de | 76 | data licence germany | data licence germany (?:attribution|zero)(?: version 2 0)?
+ecl-1.0 | 80 | educational community license | educational community license (?:version )?1 0
+ecl-2.0 | 80 | educational community license | educational community license (?:version )?2 0
+ecos-2.0 | 78 | ecos | (?:red hat )?ecos (?:public )?license(?: version 2 0)?
+efl-2.0 | 78 | eiffel forum license | eiffel forum license(?: version)?(?: 2)?
+entessa | 78 | entessa public license | entessa public license(?: 1 0)?
+epics | 78 | epics open license | epics open license
+erlang | 78 | erlang public license | erlang public license(?: version 1 1)?
+eu-datagrid | 78 | eu datagrid software license | eu datagrid software license
+fair | 76 | fair license | (?:the )?fair license
+fair-source | 76 | fair source license | fair source license
+frameworx | 78 | frameworx open license | frameworx open license(?: 1 0)?
+free-art | 78 | free art license | free art license(?: 1 3)?
+freeimage | 78 | freeimage public license | freeimage public license
+freetype | 78 | freetype | (?:the )?freetype (?:project )?license
+functional-source | 78 | functional source license | functional source license(?: version 1 [01])?
+glide | 78 | glide source code | 3dfx glide source code general public license
+gsoap | 78 | gsoap public license | gsoap public license(?: 1 3)?
+hippocratic | 78 | hippocratic license | hippocratic license(?: 2 1| 3 0)?
+hpnd | 82 | historical permission notice | historical permission notice and disclaimer
+ijg | 90 | independent jpeg group | this software is based in part on the work of the independent jpeg group
+ijg | 76 | independent jpeg group | independent jpeg group(?: s)? license
+imagemagick | 78 | imagemagick license | imagemagick license
+info-zip | 78 | info zip license | info zip license
+intel | 78 | intel open source license | intel open source license
+intel-simplified | 76 | intel simplified software license | intel simplified software license
+interbase | 78 | interbase public license | interbase public license
+ipa-font | 78 | ipa font license | ipa font license(?: agreement)?
+jasper | 78 | jasper license | jasper license(?: version 2 0)?
+latex-project | 80 | latex project public license | latex project public license(?: version| v)?(?: 1 [0-3]c?)?
+lucent | 78 | lucent public license | lucent public license(?: version 1 02?)?
+matrix-template | 78 | matrix template library | matrix template library license
+miros | 78 | miros licen | miros licen[cs]e
+motosoto | 78 | motosoto open source license | motosoto open source license
+ms-lpl | 78 | microsoft limited public license | microsoft limited public license
+multics | 78 | multics license | multics license
+nasa-1.3 | 80 | nasa open source agreement | nasa open source agreement(?: version)?(?: 1 3)?
+naumen | 78 | naumen public license | naumen public license
+netcdf | 78 | netcdf license | netcdf license
+net-boolean | 78 | net boolean public license | net boolean public license
+nethack | 78 | nethack general public license | nethack general public license
+netizen | 78 | netizen open source license | netizen open source license
+netscape | 78 | netscape public license | netscape public license(?: version)?(?: 1 [01])?
+no-limit | 78 | no limit public license | no limit public license
+non-profit-open | 78 | non profit open software license | non profit open software license(?: 3 0)?
+ntp | 76 | ntp license | ntp license
+oclc | 78 | oclc research public license | oclc research public license(?: 2 0)?
+ogc | 78 | ogc software license | ogc software license
+open-group-test | 78 | open group test suite license | open group test suite license
+openldap | 80 | openldap public license | openldap public license(?: version)?(?: 2 [0-8])?
+open-public | 76 | open public license | open public license(?: v? ?1 0)?
+open-publication | 76 | open publication license | open publication license(?: v? ?1 0)?
+opencontent | 76 | opencontent license | opencontent license(?: opl)?
+oset | 78 | oset public license | oset public license
+parity | 78 | parity public license | (?:the )?parity public license(?: 7 0 0)?
+prosperity | 78 | prosperity public license | (?:the )?prosperity public license(?: 3 0 0)?
+qhull | 76 | qhull license | qhull license
+qpl | 80 | q public license | (?:the )?q public license(?: version)?(?: 1 0)?
+realnetworks | 78 | realnetworks public source license | realnetworks public source license(?: v1 0)?
+ricoh | 78 | ricoh source code public license | ricoh source code public license
+scea | 78 | scea shared source license | scea shared source license
+sgi-b | 78 | sgi free software license | sgi free software license b(?: version)?(?: 2 0| 1 [01])?
+simple-public | 78 | simple public license | simple public license(?: 2 0)?
+sun-industry | 78 | sun industry standards source license | sun industry standards source license(?: version)?(?: 1 [12])?
+sun-public | 78 | sun public license | sun public license(?: version)?(?: 1 0)?
+sugarcrm | 78 | sugarcrm public license | sugarcrm public license(?: version)?(?: 1 1 3)?
+standard-ml | 78 | standard ml of new jersey | standard ml of new jersey (?:copyright notice license|license)
+tapr-ohl | 78 | tapr open hardware license | tapr open hardware license(?: v? ?1 0)?
+trusster | 78 | trusster open source license | trusster open source license
+vovida | 78 | vovida software license | vovida software license(?: v? ?1 0)?
+watcom | 78 | watcom public license | (?:sybase )?open watcom public license(?: 1 0)?
+xerox | 76 | xerox license | xerox license
+xfree86 | 80 | xfree86 license | xfree86 license(?: 1 1)?
+xinetd | 78 | xinetd license | xinetd license
+yahoo | 78 | yahoo public license | yahoo public license(?: v? ?1 [01])?
+zed | 76 | zed license | zed license
+zend | 78 | zend | zend (?:engine )?license(?: v? ?2 0)?
+zimbra | 78 | zimbra public license | zimbra public license(?: version)?(?: 1 [34])?
+gemma | 78 | gemma terms of use | gemma terms of use
+rail-m | 78 | responsible ai license | (?:open )?responsible ai licenses?
+bigcode | 78 | bigcode | bigcode openrail m(?: v1)?(?: license)?
+cdla-permissive | 80 | community data license agreement | community data license agreement permissive(?: version)?(?: [12] 0)?
+cdla-sharing | 80 | community data license agreement | community data license agreement sharing(?: version)?(?: 1 0)?
+odc-odbl | 82 | open data commons open database license | open data commons open database license(?: v1 0)?
+proprietary | 76 | without the express written | may not be (?:copied|reproduced|distributed) without the express written (?:permission|consent)
+proprietary | 70 | evaluation license | evaluation license agreement
+proprietary | 70 | commercial license | (?:a )?commercial license is required
+dual-license | 60 | dual license | (?:is )?dual licensed? under
+license-hint | 24 | license | (?:released|distributed|made available) under the terms of (?:the|this) license
+license-hint | 22 | license terms | (?:see )?(?:the )?license terms
+license-hint | 22 | license agreement | (?:subject to )?(?:the )?(?:terms of the )?license agreement
 """
 
 

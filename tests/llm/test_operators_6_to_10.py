@@ -9,7 +9,7 @@ from cases import odd_rows, passage, words
 from factloom.llm.components import components
 from factloom.llm.jaccard_join import jaccard_join, prefix_length
 from factloom.llm.license_rules import BASE, rules
-from factloom.llm.license_scans import license_scan
+from factloom.llm.license_scans import MARGIN, license_scan
 from factloom.llm.line_dedup import line_dedup, longest_block, patience
 from factloom.llm.repetition_rules import longest_repeats, repetition_rules
 from factloom.llm.source_mixing import mixed
@@ -362,3 +362,49 @@ def test_rules_are_tried_wherever_their_pattern_matches(spark):
     found = {r["doc_id"]: (r["labels"].split(","), r["score"]) for r in found.collect()}
     for i, (label, least) in enumerate([("mit", 92), ("gpl", 90), ("postgresql", 70)]):
         assert label in found[i][0] and found[i][1] >= least / 100
+
+
+def samples(parsed):
+    """Words of every way through a pattern; a run of any characters is one letter."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            ways = [chr(arg)]
+        elif name == "IN":
+            ways = [chr(arg[0][1] if str(arg[0][0]) != "CATEGORY" else ord("x"))] if str(arg[0][0]) != "LITERAL" else [chr(c) for _, c in arg]
+        elif name == "SUBPATTERN":
+            ways = samples(arg[-1])
+        elif name == "BRANCH":
+            ways = [w for x in arg[1] for w in samples(x)]
+        else:
+            assert name in ("MAX_REPEAT", "MIN_REPEAT"), name
+            low, high, inner = arg
+            one = samples(inner)
+            ways = [""] * (low == 0) + (one if high else []) + ["".join(one[:1] * int(high))] * (1 < int(high) < 99)
+        out = [a + b for a in out for b in ways]
+    return out
+
+
+def test_every_match_holds_its_keyword_and_is_short():
+    for _, _, keyword, pattern in rules():
+        for text in samples(re._parser.parse(pattern)):
+            assert re.fullmatch(pattern, text) and keyword in text and text.count(" ") < MARGIN, (keyword, pattern, text)
+
+
+def test_license_scan_of_long_texts(spark):
+    notice = "The above copyright notice and this permission notice shall be included in all copies. The software is provided as is."
+    filler = "word " * 497
+    texts = [
+        f"{notice} {'word ' * 200_000} this permission notice",
+        " ".join(filler[: 5 * n] + "Licensed under the MIT License" for n in (490, 495, 497, 10, 508)),
+        "licensed under " * 3000,
+        "mit license " * 2000 + "GNU General Public License version 3",
+    ]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_kept"]
+    got = sorted(tuple(r) for r in license_scan(df).select(*columns).collect())
+    assert got[:2] == [(i, *scanned(t)) for i, t in rows[:2]]
+    assert got[2][1:] == (6000, 0, None, None, "", "license-hint", 0.2, 3000)
+    assert got[3][1:8] == (4006, 2001, 0, 4001, "gpl,mit", "gpl,gpl-3,mit", 0.84)

@@ -19,6 +19,7 @@ import os
 import re
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +30,16 @@ from .shared import pieces, saved
 
 #: Texts of these characters only are split alike by every version of the Unicode tables.
 SETTLED = re.compile("[\x00-\u024f\u2010-\u2027\u2030-\u203a\u20ac]*")
+#: The second library's pattern backtracks over white space, one stack frame a character.
+WIDE = re.compile(r"\s{1000}")
 
 
 class Encoder:
     """Ids of texts, as the tokenizer's file has them.
 
     ranks: the same vocabulary for a second library, which is several times faster and has the same merges.  It gets
-    the texts without special strings whose characters both libraries surely split alike; the first gets all others.
+    the texts without special strings or very long white space whose characters both libraries surely split alike; the
+    first gets all others.
     """
 
     def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
@@ -54,7 +58,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        if self.fast and SETTLED.fullmatch(text) and not self.special.search(text):
+        if self.fast and SETTLED.fullmatch(text) and not WIDE.search(text) and not self.special.search(text):
             return np.array(self.fast.encode_ordinary(text), dtype="<u4")
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
@@ -135,21 +139,32 @@ def sweeps(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, i
     return runs
 
 
+def by_bucket(runs: list[tuple[int, int, int, int, int, int]], counts: dict[int, int]) -> tuple[dict[int, int], list[tuple[int, ...]]]:
+    """Runs by bucket of ranks, so that a piece is held against the few runs of its bucket: the width of a length's
+    buckets, and a row (length, bucket, *run) for each bucket that a run meets, a few times as many as runs."""
+    number = Counter(r[0] for r in runs)
+    width = {x: max(1, n // (4 * number[x])) for x, n in counts.items()}
+    return width, [(r[0], b, *r[1:]) for r in runs for b in range(r[1] // width[r[0]], (r[2] - 1) // width[r[0]] + 1)]
+
+
 def pack(items: DataFrame, capacity: int, order: list[str]) -> DataFrame:
     """Adds sequence_id and offset to rows with a `length` of 1 to capacity; order: what else sorts the rows."""
     spark = items.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    by = ["length", *order]
-    ordered = items.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    by = ["length", *order, "tie"]  # the tie splits rows that repeat over partitions; items are written, so it comes out alike again
+    ordered = items.withColumn("tie", F.rand(7)).repartitionByRange(parts, *by).sortWithinPartitions(*by).drop("tie")
     ordered = saved(ordered.withColumn("place", F.monotonically_increasing_id()))  # partition, place in it
     ordered = ordered.withColumn("part", F.shiftright("place", 33))
     ranges = ordered.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("least"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("least")).select("length", "part", "base", "n")
     counts = {r["length"]: r["n"] for r in ranges.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    plan = spark.createDataFrame(sweeps(counts, capacity), "length long, low long, high long, each long, first long, at long")
-    ranked = ordered.join(ranges.drop("n"), ["length", "part"]).withColumn("rank", F.col("place") + F.col("base"))
-    found = ranked.join(F.broadcast(plan), "length").where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    width, plan = by_bucket(sweeps(counts, capacity), counts)
+    plan = spark.createDataFrame(plan, "length long, bucket long, low long, high long, each long, first long, at long")
+    ranges = ranges.drop("n").join(F.broadcast(spark.createDataFrame(list(width.items()), "length long, width long")), "length")
+    ranked = ordered.join(ranges, ["length", "part"]).withColumn("rank", F.col("place") + F.col("base"))
+    ranked = ranked.withColumn("bucket", F.floor(F.col("rank") / F.col("width")))
+    found = ranked.join(F.broadcast(plan), ["length", "bucket"]).where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     nth = F.col("rank") - F.col("low")
     return found.select(
         *items.columns,

@@ -7,7 +7,7 @@ import pytest
 from cases import odd_rows, words
 
 from factloom.llm import sharding
-from factloom.llm.best_fit_packing import best_fit_packing, sweeps
+from factloom.llm.best_fit_packing import best_fit_packing, by_bucket, sweeps
 from factloom.llm.exact_topk import exact_topk
 from factloom.llm.queries import ORACLE_SQL, QUERIES, byte_bpe, tokenizer
 from factloom.llm.substring_dedup import packed, substring_dedup, unpacked
@@ -184,3 +184,20 @@ def test_map_versions(documents, spark):
     before = dict(pairs(sharding.sharded(documents, slots=256, slot_map=first), "doc_id", "shard"))
     after = dict(pairs(sharding.sharded(documents, slots=256, slot_map=more), "doc_id", "shard"))
     assert all(after[i] in (s, 4) for i, s in before.items())
+
+
+def test_packing_of_white_space_and_of_many_alike_rows(spark):
+    texts = [(1, " " * 1_000_001 + "a\n" * 50_000), (2, "x" * 300_000), *[(3, "")] * 700, *[(None, "one two three")] * 300, *[(i, "w " * (i % 61)) for i in range(4, 600)]]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    used, least = packs(best_fit_packing(df, **byte_bpe()).collect(), texts)
+    assert used <= 1.02 * least
+
+
+def test_runs_by_bucket_cover_every_rank_once():
+    counts = {1: 5000, 7: 41, 30: 77, 64: 3}
+    runs = sweeps(counts, 64)
+    width, rows = by_bucket(runs, counts)
+    for length, n in counts.items():
+        for rank in range(n):
+            assert sum(1 for x, bucket, low, high, *_ in rows if x == length and bucket == rank // width[length] and low <= rank < high) == 1
+    assert len(rows) <= 6 * len(runs) + 4

@@ -123,7 +123,7 @@ def led(length: int, trees: int, threshold: float, link: float, leaders: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["grp"]):
             cuts = starts(table, ["grp"])
-            rep = table["rep"].to_numpy()
+            rep, times = table["rep"].to_numpy(), table["times"].to_numpy()
             signature = np.frombuffer(b"".join(table["signature"].to_pylist()), dtype="<u2").reshape(len(rep), -1)
             group = np.repeat(np.arange(len(cuts)), np.diff([*cuts, len(rep)]))
             root = np.arange(len(rep))
@@ -139,8 +139,9 @@ def led(length: int, trees: int, threshold: float, link: float, leaders: bool):
                 left, hub = left[~new], hub[~new]
                 like = np.concatenate([(signature[left[i : i + 65536]] == signature[hub[i : i + 65536]]).mean(axis=1) for i in range(0, len(left), 65536)]) if len(left) else np.zeros(0)
                 s = like[like >= threshold] ** length
-                there += float((1 / s).sum())
-                met += float(((1 - (1 - s) ** trees) / s).sum())
+                often = times[left[like >= threshold]] / s
+                there += float(often.sum())
+                met += float((often * (1 - (1 - s) ** trees)).sum())
                 linked = np.flatnonzero((like >= link) & (root[left] != root[hub]))
                 # one link for each tree of the forest that meets the hub's
                 _, once = np.unique(root[left[linked]], return_index=True)
@@ -291,13 +292,21 @@ def groups(table: pa.Table, keys: list[str]) -> Iterator[pa.Table]:
 
 
 def proposed(classes: DataFrame, length: int, trees: int, deepest: int, threshold: float) -> tuple[DataFrame, float]:
-    """Links (a, b) between representatives that meet in nodes of prefixes of this length, and the recall estimated."""
+    """Links (a, b) between representatives that meet in nodes of prefixes of this length, and the recall estimated.
+
+    Nodes with the same texts, as alike texts have in most trees, are looked at once.  Signatures join only the texts that
+    meet others.
+    """
     each = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    met = classes.select("rep", "signature", each).select("rep", "signature", node(F.col("tree"), length, deepest).alias("node"))
-    nodes = saved(met.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))  # written, so that a join with a hot node can be split
+    met = classes.select("rep", "signature", each).select("rep", node(F.col("tree"), length, deepest).alias("node"))
+    texts = (F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(9))).alias("y"))
+    nodes = met.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *texts).where("n > 1")
+    nodes = nodes.groupBy("n", "x", "y").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("times")).select("node", "n", "times")
+    nodes = saved(nodes)  # written, so that a join with a hot node can be split
     parts = F.ceil(F.col("n") / PART).cast("int")
-    dealt = met.join(nodes, "node").select("node", "rep", "signature", (parts > 1).alias("many"), F.xxhash64("node", F.pmod(F.xxhash64("rep"), parts)).alias("grp"))
-    dealt = dealt.repartition("grp").sortWithinPartitions("grp", "rep")
+    dealt = met.join(nodes, "node").select("node", "rep", "times", (parts > 1).alias("many"), F.xxhash64("node", F.pmod(F.xxhash64("rep"), parts)).alias("grp"))
+    signatures = classes.select("rep", "signature")
+    dealt = dealt.join(signatures, "rep").repartition("grp").sortWithinPartitions("grp", "rep")
     types = "a long, b long, leader long, met double, there double"
     found = saved(dealt.mapInArrow(led(length, trees, threshold, LINK, True), types))
     out = found.where("b is not null").select("a", "b")
@@ -305,8 +314,8 @@ def proposed(classes: DataFrame, length: int, trees: int, deepest: int, threshol
     hot = found.where("leader is not null").select(F.col("a").alias("node"), F.col("leader").alias("rep"))
     counts = hot.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
     hot = hot.join(counts, "node").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts")))
-    hot = in_blocks(hot, "node", "part", "parts").join(classes.select("rep", "signature"), "rep")
-    hot = hot.select("node", "rep", "signature", F.lit(False).alias("many"), F.xxhash64("node", "low", "high").alias("grp"))
+    hot = in_blocks(hot, "node", "part", "parts").join(signatures, "rep")
+    hot = hot.select("node", "rep", "signature", F.lit(0).cast("long").alias("times"), F.lit(False).alias("many"), F.xxhash64("node", "low", "high").alias("grp"))
     hot = hot.repartition("grp").sortWithinPartitions("grp", "rep")
     more = hot.mapInArrow(led(length, trees, threshold, LINK_PARTS, False), types).where("b is not null").select("a", "b")
 

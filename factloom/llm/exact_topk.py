@@ -1,7 +1,7 @@
 """Exact top-k by inner product with the threshold algorithm.
 
-Vectors are dealt into blocks, and every block keeps one list for each dimension, sorted by that component.  A query
-goes to every block.  It reads all lists downward from the end that its weight prefers, scores each newly seen vector
+Vectors are dealt into blocks, and every block keeps one list for each dimension, sorted by that component.  Queries are
+dealt into blocks too, and each block of queries goes to every block of vectors.  A query reads all lists downward from the end that its weight prefers, scores each newly seen vector
 in full, and stops when the bound for unseen vectors, the sum of weight times the value read last, is below its kth
 score: nothing unseen can then enter.  The blocks' answers are merged.
 """
@@ -52,14 +52,14 @@ class Lists:
                 new = np.arange(self.n)
                 to = self.n
             rows.append(new)
-            scores.append(self.vectors[new] @ weights)
+            scores.append(products(self.vectors[new], weights))
             depth, step = to, step * 2
             all_scores = np.concatenate(scores)
             have = self.copies[np.concatenate(rows)]
             if have.sum() > k:  # one may be the query itself
                 o = np.argsort(-all_scores, kind="stable")
                 kth = all_scores[o[np.searchsorted(np.cumsum(have[o]), k + 1)]]
-                bound = int(self.vectors[got[:, -1], dims] @ weights[dims]) if len(dims) else 0
+                bound = int(products(self.vectors[got[:, -1], dims][None, :], weights[dims])[0]) if len(dims) else 0
                 if kth > bound:
                     break
                 best = all_scores >= kth
@@ -72,6 +72,15 @@ class Lists:
         return [(-s, i) for s, i in sorted(hits)[:k]]
 
 
+def products(vectors: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Inner products of rows with weights; those beyond 64 bits become the largest or smallest 64-bit integer."""
+    most = float(np.abs(vectors.astype(np.float64)).max(initial=0)) * float(np.abs(weights.astype(np.float64)).max(initial=0))
+    if most * max(1, len(weights)) < 2.0**62:
+        return vectors @ weights
+    exact = vectors.astype(object) @ weights.astype(object)
+    return np.array([min(max(x, -(2**63)), 2**63 - 1) for x in exact], dtype=np.int64)
+
+
 def matrix(lists: pa.Array) -> np.ndarray:
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()
@@ -80,7 +89,7 @@ def matrix(lists: pa.Array) -> np.ndarray:
 
 
 def searched(k: int):
-    """Arrow function over the (queries, candidates) of one block and one width."""
+    """Arrow function over the (queries, candidates) of one pair of blocks and one width."""
 
     def run(key: tuple, queries: pa.Table, candidates: pa.Table) -> pa.Table:
         if not candidates.num_rows or not queries.num_rows:
@@ -107,19 +116,24 @@ def exact_topk(embeddings: DataFrame, k: int = 10, every: int = 100, scale: int
     Components become floor(scale * x).  Returns query_id, rank (from 1), vec_id, score; ties go to the smaller
     vec_id; fewer than k rows if there are fewer.  Rows with a null id, a null or empty vector, or a null or
     non-finite component take no part.  Only vectors of the same width are compared.  Rows that repeat a vec_id are
-    one candidate if their vectors are equal, and the best of them counts otherwise.  Other columns are not read.
+    one candidate if their vectors are equal, and the best of them counts otherwise.  Components and scores beyond 64 bits
+    become the nearest 64-bit integer.  Other columns are not read.
     """
     ready(embeddings.sparkSession)
     vectors = scaled(embeddings, scale)
-    n = vectors.count()
-    blocks = max(1, round(n / block_rows))
-    block = F.pmod(F.xxhash64("vec_id", F.lit(41)), F.lit(blocks)).cast("int")
-    candidates = vectors.withColumn("block", block)
-    queries = vectors.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "x"])
-    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = F.col("vec_id") % every == 0
+    n, n_asked = vectors.agg(F.count(F.lit(1)), F.count(F.when(asked, 1))).first()
+    blocks, asked_blocks = (max(1, round(x / block_rows)) for x in (n, n_asked))
+
+    def dealt(rows: DataFrame, own: str, salt: int, of: int, other: str, others: int) -> DataFrame:
+        """Rows by their own block, once for each block of the other side."""
+        return rows.withColumns({own: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(of)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(others - 1)))})
+
+    candidates = dealt(vectors, "block", 41, blocks, "asked_block", asked_blocks)
+    queries = dealt(vectors.where(asked).dropDuplicates(["vec_id", "x"]), "asked_block", 43, asked_blocks, "block", blocks)
     hits = (
-        queries.groupBy("block", "width")
-        .cogroup(candidates.groupBy("block", "width"))
+        queries.groupBy("block", "asked_block", "width")
+        .cogroup(candidates.groupBy("block", "asked_block", "width"))
         .applyInArrow(searched(k), "query_id long, vec_id long, score long")
         .groupBy("query_id", "vec_id")
         .agg(F.max("score").alias("score"))

@@ -8,7 +8,8 @@ The sketch is sized from the corpus and bounded by `most_bits`; it is the only t
 keys for one sketch is sketched in up to `most_slices` slices of its keys, one after the other.  Beyond that bound the
 sketches let more windows through, and never lose one.
 
-Pass 2 groups exactly the windows that all rows estimate as repeated, by a 96-bit fingerprint of their words.  A task
+Pass 2 groups exactly the windows that all rows estimate as repeated, by a 96-bit fingerprint of the 64-bit hashes of their
+words.  A task
 first settles what it can alone: of the holders of a window it has seen, only the one with the smallest doc_id goes
 on, so that a passage in a third of all texts costs one entry a task.  The group's smallest doc_id keeps its words.
 """
@@ -25,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import Words, grams, ids_of, mix, pieces, ready
+from .shared import Words, grams, ids_of, mix, pieces, ready, saved
 
 ROWS = 2
 SHARDS = 16
@@ -313,6 +314,9 @@ def substring_dedup(documents: DataFrame, k: int = 13, keep_text: bool = False,
     for part in range(parts):
         sketch = spark.sparkContext.broadcast(repeated_cells(docs.select("text"), k, bits, part, parts))
         slices.append(hashed.mapInArrow(candidates(k, bits, sketch, part, parts, shards, buckets), "shard int, bucket int, docs binary, starts binary"))
+        if parts > 1:  # one sketch at a time is held
+            slices[-1] = saved(slices[-1])
+            sketch.unpersist()
     found = reduce(DataFrame.unionByName, slices)
     repeats = found.groupBy("shard").applyInArrow(settled(buckets), "bucket int, docs binary, starts binary")
     repeats = repeats.groupBy("bucket").applyInArrow(of_text, "doc_id long, text_hash long, starts binary")

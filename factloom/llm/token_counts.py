@@ -125,8 +125,8 @@ class Prefixes:
 FIELDS = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("limit_chars", pa.int64())]
 
 
-def counted(path: str, limit: int, prefixes: bool):
-    schema = pa.schema([*FIELDS, *([("prefix_chars", pa.list_(pa.int32())), ("prefix_tokens", pa.list_(pa.int32()))] if prefixes else [])])
+def counted(path: str, limit: int, chars: bool):
+    schema = pa.schema([*FIELDS, ("prefix_tokens", pa.list_(pa.int32())), *([("prefix_chars", pa.list_(pa.int32()))] if chars else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
@@ -134,28 +134,42 @@ def counted(path: str, limit: int, prefixes: bool):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             chunks = [chunks_of(x) for x in texts]
             count.learn(set().union(*chunks))
-            out: list[tuple] = []
-            for doc, text, own in zip(batch.column("doc_id").to_pylist(), texts, chunks, strict=True):
-                sums = np.cumsum(np.array(count.counts(own), dtype=np.int64))
-                total = int(sums[-1]) if own else 0
-                known = Prefixes(text, count) if prefixes or total > limit else None
-                chars = known.within(limit) if known else len(text)
-                row = (doc, len(text.encode()), total, total > limit, chars)
-                out.append((*row, known.ends, known.sums[1:]) if prefixes else row)
-            yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            ends = np.cumsum([0, *map(len, chunks)])
+            each = np.fromiter((n for own in chunks for n in count.counts(own)), dtype=np.int64, count=ends[-1])
+            sums = np.concatenate([[0], np.cumsum(each)])  # the prefix sums of all texts in a row
+            total = sums[ends[1:]] - sums[ends[:-1]]
+            prefix = (sums[1:] - np.repeat(sums[ends[:-1]], np.diff(ends))).astype(np.int32)
+            long = [Prefixes(x, count) if chars or n > limit else None for x, n in zip(texts, total.tolist(), strict=True)]
+            columns = [
+                batch.column("doc_id").cast(pa.int64()),
+                pa.array([len(x.encode()) for x in texts], type=pa.int64()),
+                pa.array(total, type=pa.int64()),
+                pa.array(total > limit),
+                pa.array([p.within(limit) if p else len(x) for p, x in zip(long, texts, strict=True)], type=pa.int64()),
+                pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(prefix)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns + ([pa.array([p.ends for p in long], type=pa.list_(pa.int32()))] if chars else []), schema=schema)
 
     return run
 
 
 def token_counts(documents: DataFrame, tokenizer: str, limit: int = 2048, prefixes: bool = False) -> DataFrame:
-    """Count the tokens of every text.
+    """Count the tokens of every text and of its prefixes.
 
-    Returns doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) and limit_chars, the characters of the longest
-    prefix of at most `limit` tokens; with `prefixes` also prefix_chars and prefix_tokens, the stored table: the end of
-    every chunk and the tokens up to there.  A null text counts as empty: 0 bytes, 0 tokens.  A null doc_id is
-    returned as it is, repeated rows each give a row, an empty table gives an empty result; only doc_id and text are
-    read.  tokenizer: path of the tokenizer's file on every executor; it must drop white space.
+    Returns doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit), limit_chars (the characters of the longest prefix of
+    at most `limit` tokens) and prefix_tokens, the stored table: the tokens up to the end of each chunk; with `prefixes`
+    also prefix_chars, the characters up to there.  A null text counts as empty: 0 bytes, 0 tokens, an empty table.  A null
+    doc_id is returned as it is, repeated rows each give a row, an empty table gives an empty result; only doc_id and text
+    are read.  tokenizer: path of the tokenizer's file on every executor; it must drop white space.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, limit_chars long"
-    return docs.mapInArrow(counted(tokenizer, limit, prefixes), out + ", prefix_chars array<int>, prefix_tokens array<int>" * prefixes)
+    out = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, limit_chars long, prefix_tokens array<int>"
+    return docs.mapInArrow(counted(tokenizer, limit, prefixes), out + ", prefix_chars array<int>" * prefixes)
+
+
+def within_budget(counts: DataFrame, budget: int) -> DataFrame:
+    """From the stored table, without encoding again: how many whole chunks of each text fit a budget of tokens, the tokens
+    that they take, and, where prefix_chars is stored, the characters up to there."""
+    fits = F.size(F.filter("prefix_tokens", lambda x: x <= budget))
+    at = [F.when(fits > 0, F.element_at(c, fits)).otherwise(0).cast("long").alias(n) for c, n in (("prefix_tokens", "tokens"), ("prefix_chars", "chars")) if c in counts.columns]
+    return counts.select("doc_id", fits.cast("long").alias("chunks"), *at)

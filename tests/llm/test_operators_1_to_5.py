@@ -11,7 +11,7 @@ from factloom.llm.best_fit_packing import best_fit_packing, by_bucket, sweeps
 from factloom.llm.exact_topk import exact_topk
 from factloom.llm.queries import ORACLE_SQL, QUERIES, byte_bpe, tokenizer
 from factloom.llm.substring_dedup import packed, substring_dedup, unpacked
-from factloom.llm.token_counts import Prefixes, counter, token_counts
+from factloom.llm.token_counts import Prefixes, counter, token_counts, within_budget
 
 
 def pairs(df, *columns):
@@ -201,3 +201,28 @@ def test_runs_by_bucket_cover_every_rank_once():
         for rank in range(n):
             assert sum(1 for x, bucket, low, high, *_ in rows if x == length and bucket == rank // width[length] and low <= rank < high) == 1
     assert len(rows) <= 6 * len(runs) + 4
+
+
+def test_budgets_from_stored_prefixes(documents, odd):
+    count = counter(tokenizer("word_bpe_49k.json"))
+    for df in (odd, documents):
+        stored = token_counts(df, tokenizer("word_bpe_49k.json"), prefixes=True)
+        texts = {(r["doc_id"], r["chunks"]): r for r in within_budget(stored, 40).collect()}
+        for r in df.where("doc_id % 3 = 1").collect():
+            p = Prefixes(r["text"] or "", count)
+            n = sum(1 for x in p.sums[1:] if x <= 40)
+            got = texts[(r["doc_id"], n)]
+            assert (got["tokens"], got["chars"]) == (p.sums[n], p.ends[n - 1] if n else 0)
+
+
+def test_topk_in_blocks_of_queries_and_beyond_64_bits(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(400)] + [(400 + i, [x] * 4) for i, x in enumerate([3e12, -3e12, 2.9e12, 1e300, -1e300])]
+    good = {i: [max(min(int(np.floor(1024 * x)), 2**63 - 1), -(2**63)) for x in v] for i, v in rows}
+    want = []
+    for q in good:
+        if q % 2 == 0:
+            scores = sorted((-max(min(sum(a * b for a, b in zip(good[q], v, strict=True)), 2**63 - 1), -(2**63)), i) for i, v in good.items() if i != q)
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:10])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert pairs(exact_topk(df, every=2, block_rows=64), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)

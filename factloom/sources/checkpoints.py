@@ -20,3 +20,9 @@ def saved(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared checkpoint folder and without lineage."""
     ready(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share."""
+    ready(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,6 +13,7 @@ from .jaccard_join import jaccard_join
 from .license_scans import license_scan
 from .line_dedup import line_dedup
 from .repetition_rules import repetition_rules
+from .shared import shared_folder
 from .sharding import sharded
 from .source_mixing import mixed
 from .substring_dedup import substring_dedup
@@ -51,7 +53,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharded(table(spark, sf_dir, "documents"))
+    return sharded(table(spark, sf_dir, "documents"), maps=f"{shared_folder(spark)}/slot-maps-{uuid.uuid4().hex}")
 
 
 def op6_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +65,8 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents"))
+    """As many tokens as the corpus has, drawn at the tempered weights."""
+    return mixed(table(spark, sf_dir, "documents"), budget_ratio=1.0)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

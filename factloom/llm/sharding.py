@@ -1,15 +1,18 @@
 """Sharding by fixed virtual slots.
 
 Records are hashed into a fixed number of slots, thousands of them; bytes and rows are summed by slot, and a versioned
-map assigns slots to shards.  Growing or rebalancing edits the map: a record's slot never changes, and only whole slots
-move.  The map has one row a slot, whatever the corpus; it is the only thing that is collected or broadcast.
+map assigns slots to shards.  The map is a table: every version is written once, and the newest is read back and used.
+Growing or rebalancing edits it into a next version: a record's slot never changes, and only whole slots move.  The map
+has one row a slot, whatever the corpus; it is the only thing that is collected or broadcast.
 """
 
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+from bisect import bisect_left, insort
+from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 SLOTS = 8192
@@ -79,6 +82,52 @@ def grown(old: SlotMap) -> SlotMap:
     return SlotMap(old.version + 1, new + 1, tuple(shard), old.size, old.rows)
 
 
+def rebalanced(old: SlotMap, size: list[int], rows: list[int], tolerance: float = 0.02) -> SlotMap:
+    """The next version for new sizes: slots move from the fullest shard to the emptiest, each time the largest that narrows
+    the two, until the fullest holds at most 1 + tolerance times the mean or no slot narrows them.  The old one, with the
+    new sizes, if none has to move."""
+    shard = list(old.shard)
+    now = SlotMap(old.version, old.shards, old.shard, tuple(size), tuple(rows))
+    loads = now.loads()
+    own: list[list[tuple[int, int]]] = [[] for _ in loads]
+    for slot, s in enumerate(shard):
+        own[s].append((size[slot], slot))
+    for x in own:
+        x.sort()
+    mean = sum(loads) / len(loads)
+    while max(loads) > (1 + tolerance) * mean:
+        a, b = loads.index(max(loads)), loads.index(min(loads))
+        i = bisect_left(own[a], ((loads[a] - loads[b] + 1) // 2 + 1, 0)) - 1  # the largest of at most half the difference
+        if i < 0 or own[a][i][0] == 0:
+            break
+        n, slot = own[a].pop(i)
+        insort(own[b], (n, slot))
+        shard[slot] = b
+        loads[a] -= n
+        loads[b] += n
+    return now if shard == list(old.shard) else SlotMap(old.version + 1, old.shards, tuple(shard), tuple(size), tuple(rows))
+
+
+def stored(spark: SparkSession, folder: str, slot_map: SlotMap) -> SlotMap:
+    """Write a version beside the others; one that is there stays as it is."""
+    rows = [(i, s, b, n) for i, (s, b, n) in enumerate(zip(slot_map.shard, slot_map.size, slot_map.rows, strict=True))]
+    table = spark.createDataFrame(rows, "virtual_slot int, shard int, bytes long, n_rows long").withColumn("shards", F.lit(slot_map.shards))
+    table.coalesce(1).write.mode("ignore").parquet(f"{folder}/version={slot_map.version}")
+    return slot_map
+
+
+def latest(spark: SparkSession, folder: str) -> SlotMap | None:
+    """The newest version, if there is any."""
+    try:
+        table = spark.read.parquet(folder)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    newest = table.where(F.col("version") == table.agg(F.max("version")).first()[0]).orderBy("virtual_slot").collect()  # a row a slot
+    return SlotMap(newest[0]["version"], newest[0]["shards"], *(tuple(r[c] for r in newest) for c in ("shard", "bytes", "n_rows")))
+
+
 def virtual_slot(slots: int = SLOTS) -> Column:
     return F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int")
 
@@ -98,18 +147,28 @@ def slot_totals(records: DataFrame, slots: int) -> tuple[list[int], list[int]]:
     return size, rows
 
 
-def sharded(documents: DataFrame, shards: int = 40, slots: int = SLOTS, overhead: int = 16, slot_map: SlotMap | None = None) -> DataFrame:
+def sharded(documents: DataFrame, shards: int = 40, slots: int = SLOTS, overhead: int = 16, slot_map: SlotMap | None = None, maps: str | None = None) -> DataFrame:
     """Put every record into a shard of near equal bytes.
 
     Returns doc_id, size (bytes of the text plus overhead), text_crc32, law ("bytes"), shard, slot (the record's place
     in its shard, from 0 without gaps), grown_shard (null: this law does not promise one), virtual_slot and
     map_version.  Null texts count as empty.  Null doc_ids are hashed like others; repeated rows go to one virtual
     slot, in any order among themselves.  An empty table gives an empty result.  Only doc_id and text are read.
-    slot_map: a stored map to use; else the first version is made from the records.
+    maps: folder of the stored map.  Its newest version is used, edited first where the shards are fewer than asked for or
+    the records have grown uneven; without one the first version is made from the records and stored.
+    slot_map: a map to use as it is.
     """
     records = sized(documents, overhead, slots)
     size, rows = slot_totals(records, slots)
-    if slot_map is None:
+    spark = documents.sparkSession
+    if slot_map is None and maps is not None:
+        slot_map = latest(spark, maps) or stored(spark, maps, first_map(size, rows, shards))
+        edited = slot_map = SlotMap(slot_map.version, slot_map.shards, slot_map.shard, tuple(size), tuple(rows))
+        while edited.shards < shards:
+            edited = grown(edited)
+        edited = rebalanced(edited, size, rows)
+        slot_map = slot_map if edited.shard == slot_map.shard else stored(spark, maps, replace(edited, version=slot_map.version + 1))
+    elif slot_map is None:
         slot_map = first_map(size, rows, shards)
     else:
         slot_map = SlotMap(slot_map.version, slot_map.shards, slot_map.shard, tuple(size), tuple(rows))

@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from ..sources.checkpoints import ready, saved
+from ..sources.checkpoints import ready, saved, shared_folder
 
-__all__ = ["BLANK", "SPACE", "Words", "grams", "ids_of", "mix", "pieces", "ready", "saved", "segments", "spans", "utf8"]
+__all__ = ["BLANK", "SPACE", "Words", "grams", "ids_of", "mix", "pieces", "ready", "saved", "segments", "shared_folder", "spans", "utf8"]
 
 #: ASCII white space; everything else belongs to a word.
 SPACE = np.zeros(256, dtype=bool)

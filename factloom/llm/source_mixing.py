@@ -67,19 +67,23 @@ def mixed(
     entropy: float | None = None,
     most_repeats: float | None = 2.0,
     budget: int | None = None,
+    budget_ratio: float | None = None,
     seed: int = 17,
     blocks: int | None = None,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """How often each document is drawn.
+    """How often each document is drawn, and where.
 
     Returns doc_id, source, n_tokens, exponent, weight (of its source), repeats (the source's budget over its tokens),
-    copies (whole epochs, and one more where the document is within the part of the last) and the columns named by keep.
+    copies (whole epochs, and one more where the document is within the part of the last), place (tokens before it in its
+    source's permutation), position (the place over the source's drawn tokens: copy c, from 0, comes at position + c /
+    repeats, and in the order of positions all sources are mixed at their weights throughout) and the columns named by keep.
     tokens: what to count, else words.  entropy: target in nats; else most_repeats limits the most repeated source over
-    the least.  budget: tokens to draw in all; without it the least repeated source is drawn exactly once, so that no
-    document is left out.  Null sources are a source of their own.  Texts without tokens, null ones among them, are drawn
-    as often as whole epochs are.  Null doc_ids and repeated rows are drawn like others.  An empty table gives an
-    empty result.
+    the least.  budget: tokens to draw in all, or budget_ratio: over those of the corpus; with neither the least repeated
+    source is drawn exactly once, so that no document is left out.  Null sources are a source of their own.  Texts without
+    tokens, null ones among them, are drawn as often as whole epochs are.  Null doc_ids are drawn like others; so are
+    repeated rows, each on its own, but with keep those that share doc_id, text and source have their copies evened out.
+    An empty table gives an empty result.
     """
     ready(documents.sparkSession)
     if tokens is None:
@@ -96,21 +100,24 @@ def mixed(
     a = exponent(shares, entropy, None if entropy is not None else most_repeats) if whole else 1.0
     raised = shares.withColumn("w", F.pow("p", F.lit(a)))
     z, least = raised.agg(F.sum("w"), F.min(F.col("w") / F.col("p"))).first() if whole else (1.0, 1.0)
+    if budget is None and budget_ratio is not None:
+        budget = round(budget_ratio * whole)
     drawn = float(budget) if budget is not None else whole * (z or 1.0) / (least or 1.0)
     plan = raised.select("source", (F.col("w") / z).alias("weight"), (F.col("w") / z * drawn / F.col("total")).alias("repeats"))
     plan = plan.withColumn("repeats", F.round("repeats", 9)).withColumn("epochs", F.floor("repeats"))
-    plan = plan.join(shares.select("source", "total"), plan["source"].eqNullSafe(shares["source"])).select(plan["source"], "weight", "repeats", "epochs", F.round((F.col("repeats") - F.col("epochs")) * F.col("total")).alias("part"))
+    plan = plan.join(shares.select("source", "total"), plan["source"].eqNullSafe(shares["source"])).select(plan["source"], "weight", "repeats", "epochs", "total", F.round((F.col("repeats") - F.col("epochs")) * F.col("total")).alias("part"))
 
     sums = docs.groupBy("source", "block").agg(F.sum("tokens").alias("n"))
     permuted = Window.partitionBy("source").orderBy(keyed(seed + 1, "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source", "block", F.coalesce(F.sum("n").over(permuted), F.lit(0)).alias("start"))
-    plan = starts.join(plan, starts["source"].eqNullSafe(plan["source"]), "left").select(starts["source"], "block", "start", "weight", "repeats", "epochs", "part")
+    plan = starts.join(plan, starts["source"].eqNullSafe(plan["source"]), "left").select(starts["source"], "block", "start", "weight", "repeats", "epochs", "total", "part")
 
     inner = Window.partitionBy("source", "block").orderBy(keyed(seed + 2, "doc_id", "text_hash"), "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     placed = docs.withColumn("before", F.coalesce(F.sum("tokens").over(inner), F.lit(0)))
     d, p = placed.alias("d"), plan.alias("p")
     joined = d.join(p, F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.block") == F.col("p.block")))
-    extra = F.col("start") + F.col("before") + F.col("tokens") <= F.coalesce(F.col("part"), F.lit(0))
+    place = F.col("start") + F.col("before")
+    extra = place + F.col("tokens") <= F.coalesce(F.col("part"), F.lit(0))
     out = joined.select(
         "d.doc_id",
         "d.source",
@@ -119,11 +126,15 @@ def mixed(
         F.coalesce("weight", F.lit(0.0)).alias("weight"),
         F.coalesce("repeats", F.lit(1.0)).alias("repeats"),
         (F.coalesce("epochs", F.lit(1)) + F.when(extra & (F.col("tokens") > 0), 1).otherwise(0)).cast("long").alias("copies"),
+        place.cast("long").alias("place"),
+        F.coalesce(place / F.greatest(F.col("total") * F.col("repeats"), F.lit(1.0)), F.lit(0.0)).alias("position"),
         "text_hash",
     )
     if not keep:
         return out.drop("text_hash")
-    once = out.groupBy("doc_id", "text_hash").agg(*[F.first(c).alias(c) for c in ("n_tokens", "exponent", "weight", "repeats", "copies")])
+    figures = ("n_tokens", "exponent", "weight", "repeats", "place", "position")
+    once = out.groupBy("doc_id", "text_hash", "source").agg(*[F.min(c).alias(c) for c in figures], F.round(F.avg("copies")).cast("long").alias("copies"))
     full = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", *keep).withColumn("hash", F.xxhash64("text"))
     f, o = full.alias("f"), once.alias("o")
-    return f.join(o, F.col("f.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("f.hash") == F.col("o.text_hash"))).select("f.doc_id", "f.source", "n_tokens", "exponent", "weight", "repeats", "copies", *[F.col(f"f.{c}") for c in keep])
+    same = F.col("f.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("f.hash") == F.col("o.text_hash")) & F.col("f.source").eqNullSafe(F.col("o.source"))
+    return f.join(o, same).select("f.doc_id", "f.source", "n_tokens", "exponent", "weight", "repeats", "copies", "place", "position", *[F.col(f"f.{c}") for c in keep])

@@ -226,3 +226,27 @@ def test_topk_in_blocks_of_queries_and_beyond_64_bits(spark):
             want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:10])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert pairs(exact_topk(df, every=2, block_rows=64), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+
+
+def test_stored_map_is_read_and_edited(documents, spark, tmp_path):
+    folder = str(tmp_path / "maps")
+    first = dict(pairs(sharding.sharded(documents, shards=4, slots=256, maps=folder), "doc_id", "shard"))
+    again = dict(pairs(sharding.sharded(documents.where("doc_id % 10 <> 3"), shards=4, slots=256, maps=folder, overhead=16), "doc_id", "shard"))
+    version = sharding.latest(spark, folder).version
+    moved = sum(first[i] != s for i, s in again.items())
+    assert moved == 0 if version == 1 else moved < 0.3 * len(again)
+    rows = sharding.sharded(documents, shards=5, slots=256, maps=folder).collect()
+    assert {r["map_version"] for r in rows} == {version + 1} and {r["shard"] for r in rows} == set(range(5))
+    assert sharding.sharded(documents, shards=5, slots=256, maps=folder).first()["map_version"] == version + 1
+    assert spark.read.parquet(folder).select("version").distinct().count() == version + 1
+
+
+def test_rebalancing_moves_few_slots():
+    rng = np.random.default_rng(6)
+    size = rng.integers(1, 1000, 400).tolist()
+    old = sharding.first_map(size, [1] * 400, 8)
+    assert sharding.rebalanced(old, size, [1] * 400).shard == old.shard
+    grown = [x * 3 if s == 2 else x for x, s in zip(size, old.shard, strict=True)]
+    new = sharding.rebalanced(old, grown, [1] * 400)
+    assert new.version == 2 and max(new.loads()) <= 1.02 * sum(grown) / 8
+    assert sum(a != b for a, b in zip(old.shard, new.shard, strict=True)) < 80

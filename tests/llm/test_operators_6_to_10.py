@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from cases import odd_rows, passage, words
+from pyspark.sql import functions as F
 
 from factloom.llm.components import components
 from factloom.llm.jaccard_join import jaccard_join, prefix_length
@@ -408,3 +409,41 @@ def test_license_scan_of_long_texts(spark):
     assert got[:2] == [(i, *scanned(t)) for i, t in rows[:2]]
     assert got[2][1:] == (6000, 0, None, None, "", "license-hint", 0.2, 3000)
     assert got[3][1:8] == (4006, 2001, 0, 4001, "gpl,mit", "gpl,gpl-3,mit", 0.84)
+
+
+def test_documents_drawn_by_brute_force(spark, documents):
+    """Every source's permutation walked document by document: whole epochs, then as many tokens as are left."""
+    from factloom.llm.source_mixing import keyed
+
+    repeated = documents.limit(5)
+    df = documents.unionByName(repeated).unionByName(documents.limit(7).withColumn("source", F.lit("twin")))
+    blocks, seed = 5, 17
+    rows = df.select("doc_id", "source", "text", F.xxhash64("text").alias("h"), F.pmod(keyed(seed, "doc_id", F.xxhash64("text")), F.lit(blocks)).cast("int").alias("block"))
+    rows = rows.select("*", keyed(seed + 1, "block").alias("k1"), keyed(seed + 2, "doc_id", "h").alias("k2")).collect()
+    total = Counter()
+    for r in rows:
+        total[r["source"]] += len(words(r["text"]))
+    for kw in (dict(budget_ratio=1.0), dict(budget=5000, entropy=1.0), {}):
+        got = mixed(df, blocks=blocks, seed=seed, **kw).collect()
+        a = got[0]["exponent"]
+        all_tokens = sum(total.values())
+        p = {s: n / all_tokens for s, n in total.items()}
+        z = sum(x**a for x in p.values())
+        drawn = kw.get("budget") or (all_tokens if "budget_ratio" in kw else all_tokens * z / min(x ** (a - 1) for x in p.values()))
+        want = []
+        for s, n in total.items():
+            repeats = round(p[s] ** a / z * drawn / n, 9)
+            part, before = round((repeats - math.floor(repeats)) * n), 0
+            for r in sorted((r for r in rows if r["source"] == s), key=lambda r: (r["k1"], r["block"], r["k2"], r["doc_id"], r["h"])):
+                t = len(words(r["text"]))
+                want.append((r["doc_id"], s, math.floor(repeats) + int(0 < t and before + t <= part), before))
+                before += t
+        assert Counter((r["doc_id"], r["source"], r["copies"], r["place"]) for r in got) == Counter(want)
+
+
+def test_mixing_keeps_sources_of_repeated_rows_apart(spark):
+    rows = [(1, "a b c", "small"), (1, "a b c", "big")] + [(i, "a b c d", "big") for i in range(2, 900)] + [(i, "a b c d", "small") for i in range(900, 910)]
+    df = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, source string, lang string")
+    got = mixed(df, keep=("text", "lang")).collect()
+    weight = {r["source"]: r["weight"] for r in got if r["doc_id"] != 1}
+    assert {(r["source"], r["weight"], r["copies"]) for r in got if r["doc_id"] == 1} == {("small", weight["small"], 2), ("big", weight["big"], 1)}

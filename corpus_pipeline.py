@@ -14,7 +14,7 @@ from factloom.llm.jaccard_join import jaccard_join
 from factloom.llm.line_dedup import line_dedup
 from factloom.llm.queries import byte_bpe
 from factloom.llm.repetition_rules import repetition_rules
-from factloom.llm.shared import ready, saved
+from factloom.llm.shared import saved, shared_folder
 from factloom.llm.source_mixing import mixed
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -85,9 +85,7 @@ ORACLE_SQL = None
 
 def folder(spark: SparkSession) -> str:
     """A new folder in the one that all executors share."""
-    ready(spark)
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{shared}/pipeline-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,10 @@
    the shortest run with `least_words` words.  Each run's hash names its first holder, the smallest doc_id, and every
    later holder is paired with it: one pair a holder, however many hold the run, and never all pairs of its holders.  A
    rare run thereby pairs just the documents that overlap; one that a third of all documents hold costs one pair each.
-3. Every pair is aligned with patience diff: lines that both documents hold exactly once anchor the alignment, in the
-   longest increasing chain; the gaps between are aligned likewise, and a gap without such lines by its common start
-   and end or its longest common block.  Equal lines in a row make common blocks.
+3. Every pair is aligned with patience diff; the earlier document's lines travel once for up to PAIRS later ones.  Lines
+   that both documents hold exactly once anchor the alignment, in the longest increasing chain; the gaps between are
+   aligned likewise, and a gap without such lines by its common start and end or its longest common block.  Equal lines
+   in a row make common blocks.
 4. Aligned blocks of at least `least_words` words are deleted from the later document, and so are its least runs that
    the earlier one holds out of order.  Only a run that the later document repeats, that one earlier document alone
    holds, and less often, goes no more often than the alignment places it.
@@ -202,18 +203,25 @@ def held_anywhere(a: list[int], b: list[int], n: list[int], alone: list[int], le
 
 
 def aligned(least_words: int):
-    """Arrow function: for each (earlier, later) pair, the lines to delete from the later document."""
+    """Arrow function over rows sorted by earlier document: its own lines first (`leads`), then those of each later one.
+
+    For each later document the lines to delete; only one earlier document is held at a time.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("gone", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a: list[int] = []
+        known: set[int] = set()
         for batch in batches:
             out: list[tuple] = []
-            for doc, text, a, b, n, alone in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "first_lines", "lines", "n_words", "alone")), strict=True):
+            for leads, doc, text, b, n, alone in zip(*(batch.column(c).to_pylist() for c in ("leads", "doc_id", "text_hash", "lines", "n_words", "alone")), strict=True):
+                if leads:
+                    a, known = b, set(b)
+                    continue
                 gone: set[int] = set()
                 for _, start, length in patience(a, b):
                     if sum(n[start : start + length]) >= least_words:
                         gone.update(range(start, start + length))
-                known = set(a)
                 if any(x in known for i, x in enumerate(b) if i not in gone):  # the alignment leaves some over
                     gone.update(held_anywhere(a, b, n, alone or [], least_words).tolist())
                 if gone:
@@ -223,6 +231,10 @@ def aligned(least_words: int):
     return run
 
 
+#: Pairs of one earlier document that a task's group holds; more of them are dealt out, each group with its lines once.
+PAIRS = 256
+
+
 def line_dedup(documents: DataFrame, least_words: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
     """Delete from every document the blocks of consecutive lines that it shares with any earlier one.
 
@@ -254,14 +266,22 @@ def line_dedup(documents: DataFrame, least_words: int = 10, keep: tuple[str, ...
     alone = again.join(seconds, "run").where("first_id < doc_id and second_id >= doc_id").groupBy("doc_id", "text_hash").agg(F.collect_list("run").alias("alone"))
 
     held = held.drop("runs", "repeated").join(saved(alone), ["doc_id", "text_hash"], "left")
-    left = held.select(F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash"), F.col("lines").alias("first_lines"))
-    both = pairs.join(held, ["doc_id", "text_hash"]).join(left, ["first_id", "first_hash"])
-    gone = both.select("doc_id", "text_hash", "first_lines", "lines", "n_words", "alone").mapInArrow(aligned(least_words), "doc_id long, text_hash long, gone array<int>")
+    pairs = saved(pairs)
+    counts = pairs.groupBy("first_id", "first_hash").agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias("parts"))
+    counts = saved(counts)
+    later = pairs.join(counts, ["first_id", "first_hash"]).withColumn("part", F.pmod(F.xxhash64("doc_id", "text_hash"), F.col("parts")).cast("int"))
+    later = later.join(held, ["doc_id", "text_hash"]).select("first_id", "first_hash", "part", F.lit(False).alias("leads"), "doc_id", "text_hash", "lines", "n_words", "alone")
+    firsts = counts.withColumnsRenamed({"first_id": "doc_id", "first_hash": "text_hash"}).join(held, ["doc_id", "text_hash"])
+    firsts = firsts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    firsts = firsts.select(F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash"), "part", F.lit(True).alias("leads"), "doc_id", "text_hash", "lines", F.lit(None).cast("array<int>").alias("n_words"), F.lit(None).cast("array<long>").alias("alone"))
+    both = later.unionByName(firsts).repartition("first_id", "first_hash", "part").sortWithinPartitions("first_id", "first_hash", "part", F.desc("leads"))
+    gone = both.mapInArrow(aligned(least_words), "doc_id long, text_hash long, gone array<int>")
     gone = gone.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
     out = docs.join(gone, ["doc_id", "text_hash"], "left")
     all_lines = lines(F.col("text"))
-    left_over = F.filter(all_lines, lambda x, i: ~F.array_contains(F.col("gone"), i.cast("int")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("gone"))
+    left_over = F.transform(F.array(all_lines), lambda own: F.transform(stay, lambda i: F.get(own, i)))[0]  # split once
     count = F.size(F.filter(all_lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
     out = out.select("doc_id", *keep, F.col("text").alias("was"), count.alias("n_lines"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left_over, "\n")).alias("text"))
     left_count = F.size(F.filter(lines(F.col("text")), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))

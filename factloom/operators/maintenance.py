@@ -32,7 +32,7 @@ def run(spark: SparkSession, manifest: str, kind: str) -> Iterator[dict]:
 def succeeded(rows: DataFrame, runs: DataFrame) -> DataFrame:
     """Rows of succeeded runs, and rows of none."""
     bad = runs.where("status <> 'succeeded'").select("run_id")
-    return rows.join(F.broadcast(bad), "run_id", "left_anti")
+    return rows.join(bad, "run_id", "left_anti")
 
 
 def rolled_back(facts: DataFrame, run_id: int) -> DataFrame:
@@ -82,7 +82,7 @@ def enumerated(listed: DataFrame, parts: DataFrame, categories: DataFrame) -> Da
     exact = parts.select("sku", F.lit(True).alias("_exact")).distinct()
     folded = parts.select(F.upper("sku").alias("_up"), F.lit(True).alias("_folded")).distinct()
     known = categories.select("category", F.lit(True).alias("_mapped")).distinct()
-    out = listed.withColumn("_up", F.upper("sku")).join(exact, "sku", "left").join(folded, "_up", "left").join(F.broadcast(known), "category", "left")
+    out = listed.withColumn("_up", F.upper("sku")).join(exact, "sku", "left").join(folded, "_up", "left").join(known, "category", "left")
     what = F.when(F.col("refused"), "refused").when(F.col("_exact"), "existing").when(F.col("_folded"), "case_variant").when(F.col("_mapped").isNull(), "unmapped_category").otherwise("new")
     return out.select("sku", "category", what.alias("outcome"))
 

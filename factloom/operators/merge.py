@@ -6,9 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Outcomes of the fold, by the order in which they are tried.
-ACTIONS = ("insert", "protected", "agree", "corroborate", "revision_change", "supersede", "list_union", "conflict_lower_tier_kept", "conflict_held")
-
 
 def history(readings: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Supersession: each reading with the id and time of the one that replaced it; the last of a key is current."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -15,9 +18,11 @@ def window_stats(log: DataFrame, at: str, kind: str, source: str, minutes: int =
 def medians(log: DataFrame, source: str, value: str, at: str, now: Column, recent: str, longer: str, least: int) -> DataFrame:
     """Median of the recent and the longer window, and drift where the first is below half the second."""
     age = now - F.col(at)
+    kinds = log.select(source).distinct()
+    log = log.where(age <= F.expr(f"interval {longer}"))
     recent_v = F.when(age <= F.expr(f"interval {recent}"), F.col(value))
-    longer_v = F.when(age <= F.expr(f"interval {longer}"), F.col(value))
-    out = log.groupBy(source).agg(F.count(recent_v).alias("n_recent"), F.percentile(recent_v, 0.5).alias("recent_median"), F.percentile(longer_v, 0.5).alias("longer_median"))
+    out = log.groupBy(source).agg(F.count(recent_v).alias("n_recent"), F.percentile(recent_v, 0.5).alias("recent_median"), F.percentile(value, 0.5).alias("longer_median"))
+    out = kinds.join(out, source, "left").withColumn("n_recent", F.coalesce("n_recent", F.lit(0)))
     drift = (F.col("n_recent") >= least) & (F.col("recent_median") < 0.5 * F.col("longer_median"))
     return out.withColumn("drift", F.coalesce(drift, F.lit(False)))
 
@@ -39,11 +44,28 @@ def duplicates(log: DataFrame, key: list[str], at: str) -> DataFrame:
     return log.groupBy(*key, F.to_date(at).alias("day")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def alarms(log: DataFrame, key: list[str], at: str, minutes: int = 60) -> DataFrame:
-    """Events without another of their key in the minutes before."""
-    w = Window.partitionBy(*key).orderBy(at, "event_id")
-    gap = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.lag(at).over(w).cast("timestamp"))
-    return log.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") > minutes * 60_000_000)).drop("_gap")
+def alarms(log: DataFrame, key: list[str], at: str, tie: str = "event_id", minutes: int = 60) -> DataFrame:
+    """Alarms that are written: the first of each key, and each one at least so many minutes after the last one written.
+
+    Which ones are written depends on those before, so keys are dealt out and a task goes through its rows in order, with
+    the time of one key's last alarm in hand; a key may have any number of events.
+    """
+    span = minutes * 60_000_000
+    dealt = log.withColumn("_at", F.unix_micros(F.col(at).cast("timestamp"))).repartition(*key).sortWithinPartitions(*key, "_at", tie)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: tuple | None = None
+        last = 0
+        for pdf in batches:
+            written = []
+            for k, t in zip(zip(*(pdf[c] for c in key), strict=True), pdf["_at"].tolist(), strict=True):
+                first = k != now
+                written.append(first or t >= last + span)
+                if written[-1]:
+                    now, last = k, t
+            yield pdf[written].drop(columns="_at")
+
+    return dealt.mapInPandas(run, log.schema)
 
 
 def sessions(log: DataFrame, key: str, at: str, minutes: int = 30) -> DataFrame:

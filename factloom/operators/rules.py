@@ -23,7 +23,7 @@ def capable(parts: DataFrame, capabilities: DataFrame, category: str) -> DataFra
     Two equi joins instead of one with OR: the wildcard rows are few and match all parts.
     """
     own = parts.select("part_id", category).join(capabilities.where(F.col(category).isNotNull()), category).select("part_id", "source", "field_key")
-    anywhere = parts.select("part_id").crossJoin(F.broadcast(capabilities.where(F.col(category).isNull()).select("source", "field_key")))
+    anywhere = parts.select("part_id").crossJoin(capabilities.where(F.col(category).isNull()).select("source", "field_key"))
     return own.unionByName(anywhere).distinct()
 
 

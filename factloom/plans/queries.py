@@ -313,16 +313,44 @@ def required_promotion(spark, d):
     return coverage.promotion(rendered(facts_of(spark, d)))
 
 
-@query("""SELECT 'gap_has_no_value' AS name, count(*) AS offenders, '' AS first_three FROM facts WHERE state = 'gap_unattempted' AND value_text IS NOT NULL
-  UNION ALL SELECT 'price_positive', count(*), '' FROM part WHERE p_retailprice <= 0
-  UNION ALL SELECT 'line_has_order', count(*), coalesce(string_agg(k, ',' ORDER BY k) FILTER (r <= 3), '') FROM (SELECT l_orderkey::VARCHAR AS k, row_number() OVER (ORDER BY l_orderkey::VARCHAR) AS r FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders))
-  UNION ALL SELECT 'order_not_final', count(*), coalesce(string_agg(k, ',' ORDER BY k) FILTER (r <= 3), '') FROM (SELECT o_orderkey::VARCHAR AS k, row_number() OVER (ORDER BY o_orderkey::VARCHAR) AS r FROM orders WHERE o_orderstatus = 'P')""")
+INVARIANTS_SQL = {
+    "rendered_has_document": "SELECT part_id AS k FROM facts WHERE state IN ('verified', 'corroborated') AND tier >= 1 AND part_id % 29 = 0",
+    "field_is_declared": "SELECT part_id FROM facts WHERE field_key NOT IN ('brand', 'type', 'size', 'price', 'title', 'words', 'large')",
+    "one_current_row": "SELECT part_id FROM (SELECT part_id, CASE WHEN part_id % 41 = 0 AND field_key = 'type' THEN 'brand' ELSE field_key END AS f FROM facts WHERE is_current) GROUP BY part_id, f HAVING count(*) > 1",
+    "category_has_profile": "SELECT p_partkey FROM part WHERE p_type NOT IN ('PROMO', 'LARGE', 'SMALL', 'ECONOMY', 'STANDARD')",
+    "conflict_is_open": "SELECT part_id FROM facts WHERE state = 'conflict' AND is_current AND part_id NOT IN (SELECT l_partkey FROM lineitem WHERE l_linestatus = 'O')",
+    "superseded_forward": "SELECT o_orderkey FROM (SELECT o_orderkey, o_orderdate, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) WHERE n < o_orderdate",
+    "counts_do_not_fall": "SELECT day FROM (SELECT kind, day, n, lag(n) OVER (PARTITION BY kind ORDER BY day) AS before FROM (SELECT event_type AS kind, strftime(ts, '%Y%m%d')::BIGINT AS day, count(*) AS n FROM events GROUP BY ALL)) WHERE n < before",
+    "no_control_characters": r"SELECT doc_id FROM documents WHERE regexp_matches(text, '[\x00-\x08\x0b\x0c\x0e-\x1f]')",
+    "gap_has_no_value": "SELECT part_id FROM facts WHERE state = 'gap_unattempted' AND value_text IS NOT NULL",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS offenders, coalesce(string_agg(k, ',' ORDER BY k) FILTER (r <= 3), '') AS first_three FROM (SELECT k, row_number() OVER (ORDER BY k) AS r FROM (SELECT x.k::VARCHAR AS k FROM ({q}) AS x(k)))" for n, q in INVARIANTS_SQL.items()))
 def invariants(spark, d):
-    facts = facts_of(spark, d).where("state = 'gap_unattempted' and value_text is not null").select(F.col("part_id").alias("k"))
-    prices = load(spark, d, "part").where("p_retailprice <= 0").select(F.col("p_partkey").alias("k"))
-    orders = load(spark, d, "orders")
-    orphans = load(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select(F.col("l_orderkey").alias("k"))
-    return coverage.invariants({"gap_has_no_value": facts, "price_positive": prices, "line_has_order": orphans, "order_not_final": orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("k"))}, "k")
+    """Each rule as the rows that break it."""
+    facts, part, orders, events = facts_of(spark, d), load(spark, d, "part"), load(spark, d, "orders"), load(spark, d, "events")
+    open_parts = load(spark, d, "lineitem").where("l_linestatus = 'O'").select(F.col("l_partkey").alias("part_id"))
+    misfiled = F.when((F.col("part_id") % 41 == 0) & (F.col("field_key") == "type"), "brand").otherwise(F.col("field_key"))
+    following = F.lead("o_orderdate").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    daily = events.groupBy("event_type", F.date_format("ts", "yyyyMMdd").cast("long").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.lag("n").over(Window.partitionBy("event_type").orderBy("day"))
+    broken = {
+        "rendered_has_document": rendered_or_not(facts).where("seen and tier >= 1 and part_id % 29 = 0").select("part_id"),
+        "field_is_declared": facts.where(~F.col("field_key").isin("brand", "type", "size", "price", "title", "words", "large")).select("part_id"),
+        "one_current_row": current(facts).groupBy("part_id", misfiled.alias("f")).count().where("count > 1").select("part_id"),
+        "category_has_profile": part.where(~F.col("p_type").isin("PROMO", "LARGE", "SMALL", "ECONOMY", "STANDARD")).select("p_partkey"),
+        "conflict_is_open": current(facts).where("state = 'conflict'").join(open_parts, "part_id", "left_anti").select("part_id"),
+        "superseded_forward": orders.withColumn("n", following).where("n < o_orderdate").select("o_orderkey"),
+        "counts_do_not_fall": daily.withColumn("before", before).where("n < before").select("day"),
+        "no_control_characters": load(spark, d, "documents").where(F.col("text").rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")).select("doc_id"),
+        "gap_has_no_value": facts.where("state = 'gap_unattempted' and value_text is not null").select("part_id"),
+    }
+    return coverage.invariants({n: rows.toDF("k") for n, rows in broken.items()}, "k")
+
+
+def rendered_or_not(facts: DataFrame) -> DataFrame:
+    return facts.withColumn("seen", F.col("state").isin("verified", "corroborated"))
 
 
 @query("""SELECT count(want) AS expected, count(*) FILTER (want IS NOT NULL AND got IS NOT NULL) AS compared, count(*) FILTER (want = got) AS "right",
@@ -346,12 +374,6 @@ def current_rows(spark, d):
     return merge.latest(load(spark, d, "events"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id", "value")
 
 
-@query()
-def merge_fold(spark, d):
-    e = load(spark, d, "events").withColumns({"tier": (F.col("event_id") % 5).cast("int"), "doc": (F.col("event_id") % 7).cast("string"), "reading": F.round(F.col("value"))})
-    return merge.fold(e, ["user_id", "event_type"], "reading", "tier", "doc", "ts", "event_id")
-
-
 @query("""SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, coalesce(o.c_mktsegment, n.c_mktsegment) AS c_mktsegment, coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal, greatest(o.c_nationkey, n.c_nationkey) AS c_nationkey,
   CASE WHEN o.c_custkey IS NULL THEN 'inserted' WHEN n.c_custkey IS NULL THEN 'untouched' ELSE 'merged' END AS change
   FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS c_mktsegment, c_acctbal, c_nationkey FROM customer WHERE c_custkey % 5 <> 0) o
@@ -512,7 +534,7 @@ def colon_pairs(spark, d):
     return extraction.colon_pairs(load(spark, d, "part").select("p_partkey", text.alias("t")), "p_partkey", "t")
 
 
-@query()
+@query(r"""SELECT page_id, 'link' AS kind, '' AS locator, label, value FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS value, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS label FROM pages)""")
 def page_links(spark, d):
     return extraction.extracted(load(spark, d, "pages"), "page_id", "html", ("link",))
 
@@ -548,9 +570,12 @@ def duplicates_24h(spark, d):
     return monitor.duplicates(load(spark, d, "events"), ["user_id", "event_type"], "ts").withColumn("day", F.col("day").cast("string"))
 
 
-@query("SELECT event_id FROM (SELECT event_id, ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS gap FROM events WHERE event_type = 'error') WHERE gap IS NULL OR gap > INTERVAL 60 MINUTE")
+@query("""WITH RECURSIVE e AS (SELECT event_id, ts, user_id % 5 AS source FROM events WHERE event_type = 'error'),
+  w AS (SELECT source, min((ts, event_id)) AS x FROM e GROUP BY 1 UNION ALL SELECT source, y FROM (SELECT w.source, (SELECT min((e.ts, e.event_id)) FROM e WHERE e.source = w.source AND e.ts >= w.x[1] + INTERVAL 60 MINUTE) AS y FROM w) WHERE y IS NOT NULL)
+  SELECT source, x[2] AS event_id FROM w""")
 def alarm_dedupe(spark, d):
-    return monitor.alarms(load(spark, d, "events").where("event_type = 'error'"), ["event_type"], "ts").select("event_id")
+    errors = load(spark, d, "events").where("event_type = 'error'").select((F.col("user_id") % 5).alias("source"), "event_id", "ts")
+    return monitor.alarms(errors, ["source"], "ts").select("source", "event_id")
 
 
 @query("""SELECT user_id, session, count(*) AS n FROM (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session FROM (
@@ -594,10 +619,11 @@ def revenue_by_priority(spark, d):
     return j.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("r"), 2).alias("revenue"), F.countDistinct("o_custkey").alias("customers"))
 
 
-@query("SELECT l_suppkey, mode(l_returnflag ORDER BY l_returnflag) IS NOT NULL AS has_mode, bool_and(l_quantity > 0) AS all_positive, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags, strftime(min(l_shipdate), '%Y-%m-%d') AS first_ship FROM lineitem GROUP BY 1")
+@query("""SELECT l_suppkey, usual, bool_and((l_quantity, l_linenumber) > (2, 1)) AS all_above, bool_and(l_quantity > 0) AS all_positive, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags, strftime(min(l_shipdate), '%Y-%m-%d') AS first_ship
+  FROM lineitem JOIN (SELECT l_suppkey, min_by(l_returnflag, (-n, l_returnflag)) AS usual FROM (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY 1) USING (l_suppkey) GROUP BY 1, 2""")
 def supplier_aggregates(spark, d):
     li = load(spark, d, "lineitem")
-    return li.groupBy("l_suppkey").agg(F.mode("l_returnflag").isNotNull().alias("has_mode"), F.bool_and(F.col("l_quantity") > 0).alias("all_positive"), F.array_join(F.sort_array(F.collect_set("l_returnflag")), ",").alias("flags"), F.date_format(F.min("l_shipdate"), "yyyy-MM-dd").alias("first_ship"))
+    return li.groupBy("l_suppkey").agg(F.mode("l_returnflag", True).alias("usual"), F.bool_and((F.col("l_quantity") > 2) | ((F.col("l_quantity") == 2) & (F.col("l_linenumber") > 1))).alias("all_above"), F.bool_and(F.col("l_quantity") > 0).alias("all_positive"), F.array_join(F.sort_array(F.collect_set("l_returnflag")), ",").alias("flags"), F.date_format(F.min("l_shipdate"), "yyyy-MM-dd").alias("first_ship"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k')::INT AS k, (json_extract_string(props, '$.k')::INT > 50) AS high FROM events")

@@ -71,7 +71,7 @@ SIGNED = pa.schema([(c, pa.int64()) for c in ("doc_id", "text_hash", "fp1", "fp2
 def signed(k: int, trees: int, deepest: int):
     """Arrow function: fingerprint and signature of each text with words.
 
-    A MinHash value is kept to 16 bits: unlike values then agree with a chance of 2 ** -16, which only adds candidates.
+    A MinHash value is kept to 8 bits: unlike values then agree with a chance of 2 ** -8, which only adds candidates.
     """
     rng = np.random.Generator(np.random.PCG64(977))
     factors = rng.integers(1, 2**63, trees * deepest, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -85,11 +85,11 @@ def signed(k: int, trees: int, deepest: int):
             at = np.searchsorted(text, np.arange(words.n + 1))
             values = np.concatenate([values[at[i] : at[i + 1]] for i in some]) if null.any() and len(some) else values
             begin = np.cumsum([0, *np.diff(at)[some]])[:-1]
-            signature = np.empty((len(some), trees * deepest), dtype="<u2")
+            signature = np.empty((len(some), trees * deepest), dtype=np.uint8)
             for i, factor in enumerate(factors):
                 x = values * factor
                 if len(some):
-                    signature[:, i] = mix(np.minimum.reduceat(x ^ (x >> np.uint64(32)), begin)) >> np.uint64(48)
+                    signature[:, i] = mix(np.minimum.reduceat(x ^ (x >> np.uint64(32)), begin)) >> np.uint64(56)
             own = batch.column("text").take(pa.array(some)).to_pylist()
             fp = np.array([xxhash.xxh3_128_digest(b" ".join(t.encode().split())) for t in own], dtype="S16")
             fp = np.frombuffer(fp.tobytes(), dtype="<i8").reshape(-1, 2)
@@ -110,7 +110,7 @@ def signed(k: int, trees: int, deepest: int):
 
 def node(tree: Column, length: int, deepest: int) -> Column:
     """The node of a tree that the first `length` values of its label lead to."""
-    return F.xxhash64(tree, F.substring(F.col("signature"), tree * (2 * deepest) + 1, F.lit(2 * length)))
+    return F.xxhash64(tree, F.substring(F.col("signature"), tree * deepest + 1, F.lit(length)))
 
 
 LED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("leader", pa.int64()), ("met", pa.float64()), ("there", pa.float64())])
@@ -124,7 +124,7 @@ def led(length: int, trees: int, threshold: float, link: float, leaders: bool):
         for table in runs(batches, ["grp"]):
             cuts = starts(table, ["grp"])
             rep, times = table["rep"].to_numpy(), table["times"].to_numpy()
-            signature = np.frombuffer(b"".join(table["signature"].to_pylist()), dtype="<u2").reshape(len(rep), -1)
+            signature = np.frombuffer(b"".join(table["signature"].to_pylist()), dtype=np.uint8).reshape(len(rep), -1)
             group = np.repeat(np.arange(len(cuts)), np.diff([*cuts, len(rep)]))
             root = np.arange(len(rep))
             left = np.arange(len(rep))  # not yet led; sorted by group

@@ -7,6 +7,7 @@ import factloom.plans.grids
 import factloom.plans.identity
 import factloom.plans.merging
 import factloom.plans.more
+import factloom.plans.normalize
 import factloom.plans.records
 import factloom.plans.upkeep
 import factloom.plans.streams  # noqa: F401  they register their queries

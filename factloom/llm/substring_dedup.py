@@ -152,9 +152,11 @@ def candidates(k: int, bits: int, sketch, part: int, parts: int, shards: int, bu
     schema = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("docs", pa.binary()), ("starts", pa.binary())])
 
     def emit(got: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        key, a, b, doc, text, pos = (np.concatenate(x) for x in zip(*got, strict=True))
-        o = np.lexsort((doc, b, a))
-        key, a, b, doc, text, pos = (x[o] for x in (key, a, b, doc, text, pos))
+        columns = list(zip(*got, strict=True))
+        got.clear()  # what is joined is let go at once
+        joined = [np.concatenate(columns.pop(0)) for _ in range(6)]
+        o = np.lexsort((joined[3], joined[2], joined[1]))
+        key, a, b, doc, text, pos = (joined.pop(0)[o] for _ in range(6))
         new = np.ones(len(a), dtype=bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         least = doc[np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))]
@@ -205,7 +207,7 @@ def candidates(k: int, bits: int, sketch, part: int, parts: int, shards: int, bu
                 n += len(at)
                 if n >= most:
                     yield from emit(got)
-                    got, n = [], 0
+                    n = 0
         if got:
             yield from emit(got)
 
@@ -274,7 +276,7 @@ def cut(k: int, keep_text: bool):
     schema = pa.schema([*fields, ("kept", pa.string())] if keep_text else fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, most=8 << 20):
+        for batch in pieces(batches, most=2 << 20):
             out: list[tuple] = []
             for doc, text, starts in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("starts").to_pylist(), strict=True):
                 words = (text or "").encode().split()
@@ -286,7 +288,7 @@ def cut(k: int, keep_text: bool):
                     np.add.at(edges, at + k, -1)
                     words = [w for w, gone in zip(words, np.cumsum(edges[:n]) > 0, strict=True) if not gone]
                 kept = b" ".join(words)
-                out.append((doc, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode()))
+                out.append((doc, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if keep_text else None))
             columns = list(zip(*out, strict=True))[: len(schema)]
             yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 

@@ -43,7 +43,7 @@ def query(sql: str | None = None, name: str | None = None):
         key = name or f.__name__
         QUERIES[key] = f
         if sql:
-            ORACLE_SQL[key] = f"WITH {FACTS} {sql}" if "shown" in sql or "facts" in sql else sql
+            ORACLE_SQL[key] = f"WITH {FACTS} {sql}" if ("shown" in sql or "facts" in sql) and not sql.lstrip().startswith("WITH") else sql
         return f
 
     return add

@@ -11,6 +11,7 @@ import factloom.plans.normalize
 import factloom.plans.records
 import factloom.plans.upkeep
 import factloom.plans.watch
+import factloom.plans.writes
 import factloom.plans.streams  # noqa: F401  they register their queries
 from factloom.plans.queries import ORACLE_SQL, QUERIES
 

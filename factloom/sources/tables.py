@@ -138,3 +138,37 @@ def read_snapshot(spark: SparkSession, base: str) -> DataFrame:
     manifest = spark.read.schema("version string, stats string, written_at timestamp").json(f"{base}/manifest")
     last = manifest.orderBy(F.desc("written_at")).first()
     return spark.read.parquet(f"{base}/versions/{last['version']}")
+
+
+BULLETINS = (
+    "records array<struct<vendor string, family_match string, doc_id string, source_url string, verified_at string, affected_pids array<struct<pid string, successor string>>, "
+    "lifecycle struct<announce_date string, end_of_sale_date string, last_ship_date string, end_of_sw_maint string, end_of_vuln_support string, last_day_of_support string, status string>>>"
+)
+COMPATIBILITY = (
+    "records array<struct<vendor string, type string, sku string, family_query string, product_family string, datasheet_url string, end_of_sale string, modules array<string>, "
+    "compatible_optics array<struct<sku string, source_url string>>, compat array<struct<sku string, relation string, source_url string, note string>>>>"
+)
+
+
+def read_bulletins(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each number that a bulletin replaces, with the bulletin's dates."""
+    rows = spark.read.schema(BULLETINS).option("multiLine", True).json(path).select(F.explode("records").alias("b"))
+    return rows.select("b.vendor", "b.doc_id", "b.source_url", "b.lifecycle.*", F.explode_outer("b.affected_pids").alias("x")).select("*", "x.*").drop("x")
+
+
+def read_compatibility(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Platforms with each optic that they take, and optics with each number that they go with."""
+    rows = spark.read.schema(COMPATIBILITY).option("multiLine", True).json(path).select(F.explode("records").alias("r")).select("r.*")
+    platforms = rows.where("type = 'platform-compat'").select("vendor", "family_query", "modules", F.explode("compatible_optics").alias("o")).select("vendor", "family_query", "modules", F.col("o.sku").alias("optic"), "o.source_url")
+    optics = rows.where("type = 'transceiver'").select("vendor", "sku", "end_of_sale", F.explode_outer("compat").alias("c")).select("vendor", "sku", "end_of_sale", F.col("c.sku").alias("target"), "c.relation")
+    return platforms, optics
+
+
+def read_config(spark: SparkSession, path: str, *required: str) -> dict:
+    """A small configuration file as a dict; a missing key is named in the error."""
+    text = spark.read.option("wholetext", True).text(path).first()["value"]  # one file, one row
+    config = json.loads(text)
+    missing = [k for k in required if k not in config]
+    if missing:
+        raise KeyError(f"configuration {path} lacks {', '.join(missing)}")
+    return config

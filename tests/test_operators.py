@@ -211,3 +211,58 @@ def test_tool_definitions_are_refused(spark):
     for given in ({"brand": ["a", "b"]}, {"size": "3"}, {"type": "a,b"}, {"size_min": "x"}):
         with pytest.raises(ValueError):
             parameters(TOOL, given, KINDS)
+
+
+def test_bulletins_and_compatibility_files(spark, tmp_path):
+    import json
+
+    from factloom.sources import tables
+
+    bulletin = {"records": [{"vendor": "v", "doc_id": "E1", "affected_pids": [{"pid": "A-1", "successor": "B-1"}, {"pid": "A-2", "successor": None}], "lifecycle": {"end_of_sale_date": "2020-01-01"}}, {"vendor": "v", "doc_id": "E2", "affected_pids": []}]}
+    (tmp_path / "b.json").write_text(json.dumps(bulletin))
+    rows = sorted((r["doc_id"], r["pid"], r["successor"], r["end_of_sale_date"]) for r in tables.read_bulletins(spark, str(tmp_path / "b.json")).where("pid is not null").collect())
+    assert rows == [("E1", "A-1", "B-1", "2020-01-01"), ("E1", "A-2", None, "2020-01-01")]
+    compat = {"records": [{"type": "platform-compat", "vendor": "v", "family_query": "F", "modules": ["M"], "compatible_optics": [{"sku": "O-1"}]}, {"type": "transceiver", "vendor": "v", "sku": "O-1", "compat": [{"sku": "X-1", "relation": "equivalent"}]}]}
+    (tmp_path / "c.json").write_text(json.dumps(compat))
+    platforms, optics = tables.read_compatibility(spark, str(tmp_path / "c.json"))
+    assert platforms.select("family_query", "optic").first() == ("F", "O-1") and optics.select("sku", "target", "relation").first() == ("O-1", "X-1", "equivalent")
+    (tmp_path / "k.json").write_text('{"a": 1}')
+    assert tables.read_config(spark, str(tmp_path / "k.json"), "a") == {"a": 1}
+    with pytest.raises(KeyError, match="b"):
+        tables.read_config(spark, str(tmp_path / "k.json"), "a", "b")
+
+
+def test_part_numbers_refused_and_kept(spark):
+    from factloom.functions.identity import part_number_refusal
+
+    cases = {
+        None: "empty", "  ": "empty", "A,B-1": "bad_char", "A B-1": "whitespace", "10-2834-01": None, "1030033": None, "8201=": None, "2024-10-31=": "date", "9800-40": None, "2024-10": "quantity", "886VA": None, "850VA": "quantity", "1-JAN-2020": "date",
+        "24x10G": "quantity", "1X100GBE=": None, "0.75K=": "quantity", "4-Port": "quantity", "1.Ports": "footnote", "802.3af": "standard", "10GBASE-SR": "standard", "17.9.4a": "version", "SFP+": "connector", "IPv6": "protocol", "CE-10GSFP-SR": "protocol",
+        "CE-10GSFP-SR=": None, "#-123": "no_letter", "A1": "too_short", "Router": "bare_word", "4G-LTE-ANTM-D": None, "C9300-24T": None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", part_number_refusal(F.col("t")).alias("r"))
+    assert {r["t"]: r["r"] for r in df.collect()} == cases
+    short = spark.createDataFrame([("UX",), ("U",), ("UXGX",)], "t string").select(part_number_refusal(F.col("t"), F.lit(True)).alias("r"))
+    assert [r["r"] for r in short.collect()] == [None, "too_short", "bare_word"]
+
+
+def test_merging_asks_in_order():
+    from factloom.operators.merging import merged
+
+    def reading(**kw):
+        return dict(num=None, items=None, text=None, unit=None, tier=2, doc="d", revision=None, reader="1.0", read_on="2020-01-01", raw="r") | kw
+
+    held = reading(num=10.0) | {"state": "verified"}
+    assert merged(None, reading(num=1.0, tier=3))[0]["state"] == "unverified"
+    assert merged(held | {"tier": 0}, reading(num=11.0, tier=1))[1] == "protected"
+    assert merged(held | {"unit": "mm"}, reading(num=10.1, doc="e"))[1:] == ("corroborate", "numeric_tolerance")
+    assert merged(held | {"unit": "dB"}, reading(num=10.1, doc="e"))[1] == "conflict_held"
+    assert merged(held | {"revision": "a"}, reading(num=11.0, revision="b"))[1] == "revision_change"
+    assert merged(held, reading(num=11.0, reader="1.10"))[1] == "supersede" and merged(held, reading(num=11.0, reader="0.9"))[1] == "conflict_held"
+    lists = reading(items=["a", "B"]) | {"state": "verified"}
+    assert merged(lists, reading(items=["b", "A "], doc="e"))[1:] == ("corroborate", "set_equal")
+    state, action, _ = merged(lists, reading(items=["b", "c"]))
+    assert action == "list_union" and state["items"] == ["a", "B", "c"]
+    long = "word " * 40
+    assert merged(reading(text=long[:160]) | {"state": "verified"}, reading(text=long))[1:] == ("agree_same_doc", "prefix_truncated")
+    assert merged(held, reading(num=11.0, tier=1, doc="e"))[1] == "conflict_lower_tier_wins" and merged(held, reading(num=11.0, tier=4, doc="e"))[1] == "conflict_higher_tier_rejected"

@@ -2,10 +2,10 @@
 
 1. One pass makes, for each text, a fingerprint of its words and a signature: `trees` labels of `deepest` MinHash values.
    Equal texts become one class; only its smallest doc_id goes on.
-2. Each tree is the trie of its sorted labels; texts with the same prefix of a label meet in a node.  The prefix starts at
-   the full label and is shortened by one value at a time, until the recall reaches the target.  The recall is measured on
-   the pairs met: a pair of similarity s meets with a known probability, so each one met stands for so many that are there.
-   At the length where even a corpus of pairs at the threshold would reach the target, shortening ends.
+2. Each tree is a trie of labels; texts with the same prefix of a label meet in a node of it, found by grouping prefixes.
+   The prefix starts at the full label and is shortened by one value at a time, until the recall reaches the target.  The
+   recall is measured on the pairs met: a pair of similarity s meets with a known probability, so each one met stands for so
+   many that are there.  At the length where even a corpus of pairs at the threshold would reach the target, shortening ends.
 3. Within a node, texts are compared by their signatures only.  The first text of the node is a leader; texts very like it
    leave with a link to it, texts rather like it get a link and stay, and so on with the first of those that stay.  By the
    triangle inequality of the Jaccard distance a pair at the threshold is linked, at once or through a leader.  A node of

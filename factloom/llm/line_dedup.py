@@ -232,7 +232,7 @@ def aligned(least_words: int):
 
 
 #: Pairs of one earlier document that a task's group holds; more of them are dealt out, each group with its lines once.
-PAIRS = 256
+PAIRS = 64
 
 
 def line_dedup(documents: DataFrame, least_words: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -36,8 +36,8 @@ def with_tables(sql: str, *names: str) -> str:
     return f"WITH {', '.join(WAREHOUSE[n].strip() for n in names)} {sql}"
 
 
-def sku(key: Column = F.col("p_partkey")) -> Column:
-    return F.concat(F.col("p_type"), F.lit("-"), key.cast("string"), F.when(F.col("p_size") % 5 == 0, "=").otherwise(""))
+def sku() -> Column:
+    return F.concat(F.col("p_type"), F.lit("-"), F.col("p_partkey").cast("string"), F.when(F.col("p_size") % 5 == 0, "=").otherwise(""))
 
 
 def parts(spark: SparkSession, d: str) -> DataFrame:

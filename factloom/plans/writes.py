@@ -9,7 +9,9 @@ from ..sources.tables import load
 from . import warehouse as w
 from .queries import FACTS, facts_of, query
 
-LINES = F.count(F.lit(1))
+
+def lines():
+    return F.count(F.lit(1))
 
 
 @query("""SELECT l_partkey, CASE WHEN reviewed THEN 'long_operator_reviewed' WHEN independent > 0 THEN 'long_has_independent_evidence' WHEN pdf_docs = 0 THEN 'long_no_pdf_evidence' WHEN pdf_docs > 1 THEN 'long_multiple_pdfs' WHEN NOT shared THEN 'base_not_named_by_that_pdf' WHEN chained THEN 'footnote_chain' WHEN series > 2 THEN 'numeric_series' ELSE 'retire:pdf_footnote_digit' END AS verdict
@@ -23,7 +25,7 @@ def fabricated_verdicts(spark, d):
 
 @query(w.with_tables("SELECT vendor, family, min_by(part_id, (part_id % 7 <> 0, sku <> upper(sku), -n, part_id)) AS survivor, count(*) AS members FROM parts JOIN (SELECT l_partkey AS part_id, count(*) AS n FROM lineitem GROUP BY 1) USING (part_id) GROUP BY 1, 2 HAVING count(*) > 1", "parts"))
 def twin_survivors(spark, d):
-    n = load(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("part_id")).agg(LINES.alias("n_facts"))
+    n = load(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("part_id")).agg(lines().alias("n_facts"))
     rows = w.parts(spark, d).join(n, "part_id").withColumns({"id": F.col("part_id"), "reviewed": F.col("part_id") % 7 == 0})
     return x.survivors(rows, ["vendor", "family"]).where("members > 1")
 
@@ -118,7 +120,7 @@ def replay_outcomes(spark, d):
 @query(f"SELECT event_type, count(*) AS n, round(count(*) FILTER (outcome = 'changed') / count(*), 6) AS changed_share, count(*) FILTER (outcome = 'protected') AS protected, count(*) FILTER (outcome = 'changed') * 100 <= count(*) * 20 AND count(*) FILTER (outcome = 'refused') * 100 <= count(*) * 20 AS passed FROM ({REPLAY_SQL}) GROUP BY 1")
 def change_gate(spark, d):
     """Whether so few rows change or are refused that a replay may be written."""
-    r = replayed(spark, d).groupBy("event_type").agg(LINES.alias("n"), F.count_if(F.col("outcome") == "changed").alias("changed"), F.count_if(F.col("outcome") == "protected").alias("protected"), F.count_if(F.col("outcome") == "refused").alias("refused"))
+    r = replayed(spark, d).groupBy("event_type").agg(lines().alias("n"), F.count_if(F.col("outcome") == "changed").alias("changed"), F.count_if(F.col("outcome") == "protected").alias("protected"), F.count_if(F.col("outcome") == "refused").alias("refused"))
     return r.select("event_type", "n", F.round(F.col("changed") / F.col("n"), 6).alias("changed_share"), "protected", ((F.col("changed") * 100 <= F.col("n") * 20) & (F.col("refused") * 100 <= F.col("n") * 20)).alias("passed"))
 
 
@@ -231,7 +233,7 @@ def hygiene_report(spark, d):
     from pyspark.sql import Window
 
     rows = replayed(spark, d)
-    counts = rows.groupBy(F.col("outcome").alias("rule")).agg(LINES.alias("n"))
+    counts = rows.groupBy(F.col("outcome").alias("rule")).agg(lines().alias("n"))
     first = rows.withColumn("r", F.row_number().over(Window.partitionBy("outcome").orderBy("event_id"))).where("r <= 5")
     first = first.groupBy(F.col("outcome").alias("rule")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda i: i.cast("string")), ",").alias("examples"))
     return counts.join(first, "rule")
@@ -243,14 +245,14 @@ def reread_gate(spark, d):
     docs = load(spark, d, "documents").where("text is not null and length(text) > 10")
     word = F.when(F.col("doc_id") % 60 == 11, "no such value").otherwise(F.substring("text", 3, 8))
     found = F.contains("text", word) | ((F.col("doc_id") % 50 == 7) & F.contains("text", F.substring(word, 1, 1)))
-    return docs.groupBy("source").agg(LINES.alias("sampled"), F.count_if(found).alias("found")).withColumn("passed", F.col("found") >= 0.98 * F.col("sampled"))
+    return docs.groupBy("source").agg(lines().alias("sampled"), F.count_if(found).alias("found")).withColumn("passed", F.col("found") >= 0.98 * F.col("sampled"))
 
 
 @query(w.with_tables("SELECT status, count(*) AS parts, count(*) FILTER (announced <= end_of_sale AND end_of_sale <= last_ship) AS in_order, round(count(successor_sku) / count(*), 4) AS with_successor, count(*) FILTER (announced <= end_of_sale AND end_of_sale <= last_ship) = count(*) AS passed FROM life GROUP BY 1", "life"))
 def lifecycle_gate(spark, d):
     """Dates of each status found again in their order."""
     ordered = F.count_if((F.col("announced") <= F.col("end_of_sale")) & (F.col("end_of_sale") <= F.col("last_ship")))
-    return w.life(spark, d).groupBy("status").agg(LINES.alias("parts"), ordered.alias("in_order"), F.round(F.count("successor_sku") / LINES, 4).alias("with_successor"), (ordered == LINES).alias("passed"))
+    return w.life(spark, d).groupBy("status").agg(lines().alias("parts"), ordered.alias("in_order"), F.round(F.count("successor_sku") / lines(), 4).alias("with_successor"), (ordered == lines()).alias("passed"))
 
 
 @query("""SELECT field, count(*) AS compared, count(*) FILTER (same) AS same, count(*) FILTER (same) = count(*) AS passed FROM (SELECT unnest(['name', 'nation', 'balance']) AS field, unnest([a.s_name IS NOT DISTINCT FROM b.n, a.s_nationkey IS NOT DISTINCT FROM b.k, a.s_acctbal IS NOT DISTINCT FROM b.v]) AS same
@@ -261,7 +263,7 @@ def enumeration_audit(spark, d):
     b = a.select("s_suppkey", F.when(key % 31 == 5, F.lower("s_name")).otherwise(F.col("s_name")).alias("n"), F.col("s_nationkey").alias("k"), F.when(key % 17 > 0, F.col("s_acctbal")).alias("v"))
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(p).eqNullSafe(F.col(q)).alias("same")) for f, p, q in (("name", "s_name", "n"), ("nation", "s_nationkey", "k"), ("balance", "s_acctbal", "v"))])
     rows = a.join(b, "s_suppkey").select(F.explode(pairs).alias("x")).select("x.*")
-    return rows.groupBy("field").agg(LINES.alias("compared"), F.count_if("same").alias("same")).withColumn("passed", F.col("same") == F.col("compared"))
+    return rows.groupBy("field").agg(lines().alias("compared"), F.count_if("same").alias("same")).withColumn("passed", F.col("same") == F.col("compared"))
 
 
 @query("SELECT source, field_key, count(*) AS parts FROM (SELECT DISTINCT 'source' || part_id % 6 AS source, field_key, part_id FROM shown WHERE value_text IS NOT NULL UNION SELECT DISTINCT 'source' || l_suppkey % 6, 'weight', l_partkey FROM lineitem) GROUP BY ALL")
@@ -270,7 +272,7 @@ def capability_matrix(spark, d):
     f = facts_of(spark, d).where("is_current and state in ('verified', 'corroborated') and value_text is not null")
     a = f.select(F.concat(F.lit("source"), (F.col("part_id") % 6).cast("string")).alias("source"), "field_key", "part_id")
     b = load(spark, d, "lineitem").select(F.concat(F.lit("source"), (F.col("l_suppkey") % 6).cast("string")).alias("source"), F.lit("weight").alias("field_key"), F.col("l_partkey").alias("part_id"))
-    return a.unionByName(b).distinct().groupBy("source", "field_key").agg(LINES.alias("parts"))
+    return a.unionByName(b).distinct().groupBy("source", "field_key").agg(lines().alias("parts"))
 
 
 @query(w.with_tables("SELECT part_id, sku, CASE WHEN part_id % 9 = 0 THEN 'retired:duplicate' ELSE 'alias:' || CASE WHEN n > 0 THEN 'exists' ELSE 'created' END END AS outcome FROM parts LEFT JOIN (SELECT upper(sku) AS u, count(*) AS n FROM parts WHERE part_id % 9 <> 0 AND sku LIKE '%=' GROUP BY 1) ON u = upper(sku) || '=' WHERE part_id % 9 < 2", "parts"))

@@ -373,7 +373,7 @@ def samples(parsed):
         if name == "LITERAL":
             ways = [chr(arg)]
         elif name == "IN":
-            ways = [chr(arg[0][1] if str(arg[0][0]) != "CATEGORY" else ord("x"))] if str(arg[0][0]) != "LITERAL" else [chr(c) for _, c in arg]
+            ways = [chr(x) if str(kind) == "LITERAL" else chr(x[0]) if str(kind) == "RANGE" else "x" for kind, x in arg]
         elif name == "SUBPATTERN":
             ways = samples(arg[-1])
         elif name == "BRANCH":
@@ -382,7 +382,8 @@ def samples(parsed):
             assert name in ("MAX_REPEAT", "MIN_REPEAT"), name
             low, high, inner = arg
             one = samples(inner)
-            ways = [""] * (low == 0) + (one if high else []) + ["".join(one[:1] * int(high))] * (1 < int(high) < 99)
+            times = {int(low), 1, int(high)} - {0} if int(high) < 99 else {1}
+            ways = [""] * (low == 0) + [w * n for w in one for n in sorted(times) if n >= low]
         out = [a + b for a in out for b in ways]
     return out
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 
+from pyspark.sql import DataFrame
+
 from ..sources.checkpoints import ready, saved, shared_folder
 
-__all__ = ["BLANK", "SPACE", "Words", "grams", "ids_of", "mix", "pieces", "ready", "saved", "segments", "shared_folder", "spans", "utf8"]
+__all__ = ["BLANK", "SPACE", "Words", "grams", "ids_of", "kept_table", "mix", "pieces", "ready", "saved", "segments", "shared_folder", "spans", "utf8"]
 
 #: ASCII white space; everything else belongs to a word.
 SPACE = np.zeros(256, dtype=bool)
@@ -90,6 +93,16 @@ def segments(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return np.array([(sums[b] - sums[a] * power[b - a]) % PRIME for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=np.uint64)
 
 
+def kept_table(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written once as Parquet to a new folder of the shared one, which goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.parquet(path)
+
+
 class Words:
     """Words of some texts: hashes, and where each text's words begin and end.
 

@@ -65,8 +65,9 @@ def unsourced_facts(spark, d):
 
 # What a merge writes: every thirteenth event states a gap; all others are readings
 
-EFFECTS_SQL = f"""
-{READINGS_SQL.strip()}, e AS (SELECT * REPLACE (CASE WHEN event_id % 13 > 0 THEN num END AS num, CASE WHEN event_id % 13 > 0 THEN items END AS items, CASE WHEN event_id % 13 > 0 THEN text END AS text), event_id % 13 = 0 OR coalesce(num IS NULL AND items IS NULL AND text IS NULL, true) AS gap,
+def effects_sql(readings_sql: str, gap: str) -> str:
+    """The fold over `readings`, one reading after the other; gap: a condition that makes a reading state a gap."""
+    return f"""{readings_sql}, e AS (SELECT * REPLACE (CASE WHEN NOT ({gap}) THEN num END AS num, CASE WHEN NOT ({gap}) THEN items END AS items, CASE WHEN NOT ({gap}) THEN text END AS text), ({gap}) OR coalesce(num IS NULL AND items IS NULL AND text IS NULL, true) AS gap,
   row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM readings),
 m AS (SELECT user_id, event_type, r, event_id, ts, CASE WHEN gap THEN 'gap_stored' WHEN tier BETWEEN 1 AND 2 AND doc IS NULL THEN 'refused_no_document' ELSE 'insert' END AS action, NULL::VARCHAR AS rule, false AS withheld,
     CASE WHEN gap OR tier BETWEEN 1 AND 2 AND doc IS NULL THEN 0 ELSE 1 END AS seq, gap AS has_gap, num, items, text, unit, tier, doc, revision, version, read_on, raw, CASE WHEN tier <= 2 THEN 'verified' ELSE 'unverified' END AS state, []::VARCHAR[] AS docs,
@@ -87,12 +88,15 @@ m AS (SELECT user_id, event_type, r, event_id, ts, CASE WHEN gap THEN 'gap_store
         WHEN tier = 0 AND agreed IS NULL THEN 'protected' WHEN agreed IS NOT NULL AND doc IS DISTINCT FROM n_doc AND tier <= 2 AND n_tier <= 2 AND NOT list_contains(docs, coalesce(n_doc, '-')) THEN 'corroborate' WHEN agreed IS NOT NULL THEN 'agree_same_doc'
         WHEN doc = n_doc AND revision <> n_revision THEN 'revision_change' WHEN doc = n_doc AND tier = n_tier AND (version < n_version OR version = n_version AND read_on < n_read_on) AND raw = n_raw THEN 'supersede'
         WHEN doc = n_doc AND tier = n_tier AND items IS NOT NULL THEN 'list_union' WHEN n_tier < tier THEN 'conflict_lower_tier_wins' WHEN n_tier > tier THEN 'conflict_higher_tier_rejected' ELSE 'conflict_held' END AS act
-      FROM (SELECT *, CASE WHEN abs(num - n_num) < 1e-6 OR items = n_items OR text = n_text THEN 'exact' WHEN coalesce(unit, n_unit) = 'mm' AND num * n_num > 0 AND abs(num - n_num) <= 0.02 * greatest(abs(num), abs(n_num)) THEN 'numeric_tolerance'
+      FROM (SELECT *, CASE WHEN abs(num - n_num) < 1e-6 OR items = n_items OR text = n_text THEN 'exact' WHEN coalesce(unit, n_unit) NOT IN ('°C', '°F', 'dBm', 'dB') AND num * n_num > 0 AND abs(num - n_num) <= 0.02 * greatest(abs(num), abs(n_num)) THEN 'numeric_tolerance'
           WHEN list_sort(list_distinct(list_transform(items, lambda x: trim(lower(x))))) = list_sort(list_distinct(list_transform(n_items, lambda x: trim(lower(x))))) THEN 'set_equal' WHEN text IS NOT NULL AND {CUT_SQL} THEN 'prefix_truncated' END AS agreed
         FROM (SELECT m.user_id, m.event_type, e.r, e.event_id, e.ts, e.gap, m.seq, m.has_gap, m.docs, m.num, m.items, m.text, m.unit, m.tier, m.doc, m.revision, m.version, m.read_on, m.raw, m.state, e.num AS n_num, e.items AS n_items, e.text AS n_text, e.unit AS n_unit, e.tier AS n_tier, e.doc AS n_doc, e.revision AS n_revision,
             e.version AS n_version, e.read_on AS n_read_on, e.raw AS n_raw, CASE WHEN length(m.text) <= length(e.text) THEN m.text ELSE e.text END AS short, CASE WHEN length(m.text) <= length(e.text) THEN e.text ELSE m.text END AS long
           FROM m JOIN e ON e.user_id = m.user_id AND e.event_type = m.event_type AND e.r = m.r + 1)))))
 """
+
+
+EFFECTS_SQL = effects_sql(READINGS_SQL.strip(), "event_id % 13 = 0")
 ROWS_SQL = """f AS (SELECT user_id, event_type, seq, min_by(event_id, r) AS since, arg_max(struct_pack(num := num, items := items, text := text, tier := tier, doc := doc, raw := raw, state := state), r) AS v FROM m WHERE seq > 0 GROUP BY ALL
   UNION ALL SELECT user_id, event_type, 0, event_id, struct_pack(num := NULL, items := NULL, text := NULL, tier := NULL, doc := NULL, raw := NULL, state := 'gap_confirmed') FROM m WHERE action = 'gap_stored')"""
 

@@ -2,6 +2,7 @@
 
 import pytest
 
+import factloom.plans.acquired
 import factloom.plans.cells
 import factloom.plans.finders
 import factloom.plans.grids

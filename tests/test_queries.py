@@ -5,6 +5,7 @@ import pytest
 import factloom.plans.acquired
 import factloom.plans.cells
 import factloom.plans.finders
+import factloom.plans.finding
 import factloom.plans.grids
 import factloom.plans.identity
 import factloom.plans.merging

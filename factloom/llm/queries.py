@@ -16,7 +16,7 @@ from .periodic_runs import periodic_runs
 from .repetition_rules import repetition_rules
 from .secret_scans import secret_scan, spelt
 from .shared import shared_folder
-from .sharding import sharded
+from .sharding import sharded, store_map
 from .source_mixing import mixed
 from .substring_dedup import substring_dedup
 from .token_alignment import alignment_scores
@@ -56,7 +56,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharded(table(spark, sf_dir, "documents"), maps=f"{shared_folder(spark)}/slot-maps-{uuid.uuid4().hex}")
+    """The map is stored for 39 shards, read back, and edited for the fortieth."""
+    maps = f"{shared_folder(spark)}/slot-maps-{uuid.uuid4().hex}"
+    documents = table(spark, sf_dir, "documents")
+    store_map(documents, maps, shards=39)
+    return sharded(documents, shards=40, maps=maps)
 
 
 def op6_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 Records are hashed into a fixed number of slots, thousands of them; bytes and rows are summed by slot, and a versioned
 map assigns slots to shards.  The map is a table: every version is written once, and the newest is read back and used.
+Rows that are the same are numbered, and all but the first are hashed with their number, so that they spread as well.
 Growing or rebalancing edits it into a next version: a record's slot never changes, and only whole slots move.  The map
 has one row a slot, whatever the corpus; it is the only thing that is collected or broadcast.
 """
@@ -9,11 +10,14 @@ has one row a slot, whatever the corpus; it is the only thing that is collected
 from __future__ import annotations
 
 import heapq
+import uuid
 from bisect import bisect_left, insort
 from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from .shared import saved
 
 SLOTS = 8192
 
@@ -108,35 +112,71 @@ def rebalanced(old: SlotMap, size: list[int], rows: list[int], tolerance: float
     return now if shard == list(old.shard) else SlotMap(old.version + 1, old.shards, tuple(shard), tuple(size), tuple(rows))
 
 
+def shrunk(old: SlotMap, shards: int) -> SlotMap:
+    """The next version, with fewer shards: the slots of those that go move, largest first, to the lightest of the others."""
+    shard, loads = list(old.shard), old.loads()
+    heap = [(load, s) for s, load in enumerate(loads[:shards])]
+    heapq.heapify(heap)
+    for slot in sorted((i for i, s in enumerate(shard) if s >= shards), key=lambda i: (-old.size[i], i)):
+        load, s = heapq.heappop(heap)
+        shard[slot] = s
+        heapq.heappush(heap, (load + old.size[slot], s))
+    return SlotMap(old.version + 1, shards, tuple(shard), old.size, old.rows)
+
+
 def stored(spark: SparkSession, folder: str, slot_map: SlotMap) -> SlotMap:
-    """Write a version beside the others; one that is there stays as it is."""
+    """Write a version beside the others, whole or not at all; one that is there stays as it is, and is what counts."""
     rows = [(i, s, b, n) for i, (s, b, n) in enumerate(zip(slot_map.shard, slot_map.size, slot_map.rows, strict=True))]
     table = spark.createDataFrame(rows, "virtual_slot int, shard int, bytes long, n_rows long").withColumn("shards", F.lit(slot_map.shards))
-    table.coalesce(1).write.mode("ignore").parquet(f"{folder}/version={slot_map.version}")
-    return slot_map
+    waiting, version = f"{folder}/_new-{uuid.uuid4().hex}", f"{folder}/version={slot_map.version}"
+    table.coalesce(1).write.parquet(waiting)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    source, target = hadoop.Path(waiting), hadoop.Path(version)
+    fs = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    never = spark.sparkContext._gateway.new_array(getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+    try:
+        if not fs.exists(target):
+            hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(source), fs.makeQualified(target), never)
+    except Exception:  # another run was first, or the folder cannot be written
+        if not fs.exists(target):
+            raise
+    fs.delete(source, True)
+    return latest(spark, folder, slot_map.version)
 
 
-def latest(spark: SparkSession, folder: str) -> SlotMap | None:
-    """The newest version, if there is any."""
+def latest(spark: SparkSession, folder: str, version: int | None = None) -> SlotMap | None:
+    """The newest version, if there is any, or one by number."""
     try:
         table = spark.read.parquet(folder)
     except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):  # only folders of runs that were lost
             raise
         return None
-    newest = table.where(F.col("version") == table.agg(F.max("version")).first()[0]).orderBy("virtual_slot").collect()  # a row a slot
+    if version is None:
+        version = table.agg(F.max("version")).first()[0]
+    newest = table.where(F.col("version") == version).orderBy("virtual_slot").collect()  # a row a slot
     return SlotMap(newest[0]["version"], newest[0]["shards"], *(tuple(r[c] for r in newest) for c in ("shard", "bytes", "n_rows")))
 
 
-def virtual_slot(slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int")
-
-
 def sized(documents: DataFrame, overhead: int, slots: int) -> DataFrame:
+    """doc_id, size, text_crc32 and virtual_slot of every row, written once, so that all that follows sees the same numbers.
+
+    Rows with the same id and text are numbered without being brought together: by their place in their partition, after
+    those of the partitions before.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     docs = docs.select("doc_id", (F.octet_length("text") + F.lit(overhead)).cast("long").alias("size"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"))
-    return docs.withColumn("virtual_slot", virtual_slot(slots))
+    docs = saved(docs.withColumns({"same": F.xxhash64("doc_id", "text_crc32"), "part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}))
+    by_part = docs.groupBy("same", "part").agg(F.count(F.lit(1)).alias("n"))
+    often = by_part.groupBy("same").agg(F.sum("n").alias("all")).where("all > 1").select("same")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("same").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = saved(by_part.join(often, "same", "left_semi").select("same", "part", before.alias("before")))
+    within = F.row_number().over(Window.partitionBy("same", "part").orderBy("row")) - 1
+    copies = docs.join(before, ["same", "part"]).withColumn("number", F.col("before") + within).select("row", "number").where("number > 0")
+    numbered = docs.join(copies, "row", "left")
+    slot = F.when(F.col("number").isNull(), F.col("same")).otherwise(F.xxhash64("doc_id", "text_crc32", "number"))
+    return saved(numbered.select("doc_id", "size", "text_crc32", F.pmod(slot, F.lit(slots)).cast("int").alias("virtual_slot")))
 
 
 def slot_totals(records: DataFrame, slots: int) -> tuple[list[int], list[int]]:
@@ -147,15 +187,22 @@ def slot_totals(records: DataFrame, slots: int) -> tuple[list[int], list[int]]:
     return size, rows
 
 
+def store_map(documents: DataFrame, maps: str, shards: int, slots: int = SLOTS, overhead: int = 16) -> SlotMap:
+    """Store the first version of a map for these records."""
+    return stored(documents.sparkSession, maps, first_map(*slot_totals(sized(documents, overhead, slots), slots), shards))
+
+
 def sharded(documents: DataFrame, shards: int = 40, slots: int = SLOTS, overhead: int = 16, slot_map: SlotMap | None = None, maps: str | None = None) -> DataFrame:
     """Put every record into a shard of near equal bytes.
 
     Returns doc_id, size (bytes of the text plus overhead), text_crc32, law ("bytes"), shard, slot (the record's place
     in its shard, from 0 without gaps), grown_shard (null: this law does not promise one), virtual_slot and
-    map_version.  Null texts count as empty.  Null doc_ids are hashed like others; repeated rows go to one virtual
-    slot, in any order among themselves.  An empty table gives an empty result.  Only doc_id and text are read.
-    maps: folder of the stored map.  Its newest version is used, edited first where the shards are fewer than asked for or
-    the records have grown uneven; without one the first version is made from the records and stored.
+    map_version.  Null texts count as empty.  Null doc_ids are hashed like others.  Repeated rows are numbered and
+    spread over the slots; they are alike, so which of them goes where says nothing.  An empty table gives an empty result.
+    Only doc_id and text are read.
+    maps: folder of the stored map.  Its newest version is used, edited first where it has more or fewer shards than asked
+    for or the records have grown uneven; without one the first version is made from the records and stored.  A stored map
+    with another number of slots is refused: records cannot change slots.
     slot_map: a map to use as it is.
     """
     records = sized(documents, overhead, slots)
@@ -163,14 +210,20 @@ def sharded(documents: DataFrame, shards: int = 40, slots: int = SLOTS, overhead
     spark = documents.sparkSession
     if slot_map is None and maps is not None:
         slot_map = latest(spark, maps) or stored(spark, maps, first_map(size, rows, shards))
+        if len(slot_map.shard) != slots:
+            raise ValueError(f"the map in {maps} has {len(slot_map.shard)} slots, not {slots}")
         edited = slot_map = SlotMap(slot_map.version, slot_map.shards, slot_map.shard, tuple(size), tuple(rows))
         while edited.shards < shards:
             edited = grown(edited)
+        if edited.shards > shards:
+            edited = shrunk(edited, shards)
         edited = rebalanced(edited, size, rows)
-        slot_map = slot_map if edited.shard == slot_map.shard else stored(spark, maps, replace(edited, version=slot_map.version + 1))
+        slot_map = slot_map if (edited.shard, edited.shards) == (slot_map.shard, slot_map.shards) else stored(spark, maps, replace(edited, version=slot_map.version + 1))
     elif slot_map is None:
         slot_map = first_map(size, rows, shards)
     else:
+        if len(slot_map.shard) != slots:
+            raise ValueError(f"the map has {len(slot_map.shard)} slots, not {slots}")
         slot_map = SlotMap(slot_map.version, slot_map.shards, slot_map.shard, tuple(size), tuple(rows))
     places = F.broadcast(slot_map.frame(documents.sparkSession))
     within = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32")) - 1

@@ -250,3 +250,43 @@ def test_rebalancing_moves_few_slots():
     new = sharding.rebalanced(old, grown, [1] * 400)
     assert new.version == 2 and max(new.loads()) <= 1.02 * sum(grown) / 8
     assert sum(a != b for a, b in zip(old.shard, new.shard, strict=True)) < 80
+
+
+def test_sharding_of_repeated_rows(spark):
+    """Two thousand identical rows spread like any others."""
+    rows = [(None, "")] * 2000 + [(7, "seven words " * 20)] * 500 + [(i, "w " * (i % 50)) for i in range(3000)]
+    out = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), shards=10).collect()
+    assert len(out) == len(rows)
+    loads, alike, by = defaultdict(int), defaultdict(int), defaultdict(list)
+    for r in out:
+        loads[r["shard"]] += r["size"]
+        by[r["shard"]].append(r["slot"])
+        alike[r["shard"]] += r["doc_id"] is None
+    mean = sum(loads.values()) / 10
+    assert all(abs(x - mean) <= 0.02 * mean for x in loads.values())
+    assert len(alike) == 10 and max(alike.values()) < 400
+    assert all(sorted(x) == list(range(len(x))) for x in by.values())
+
+
+def test_maps_shrink_and_refuse(documents, spark, tmp_path):
+    folder = f"{tmp_path}/maps"
+    more = dict(pairs(sharding.sharded(documents, shards=9, slots=256, maps=folder), "doc_id", "shard"))
+    assert set(more.values()) == set(range(9))
+    less = dict(pairs(sharding.sharded(documents, shards=6, slots=256, maps=folder), "doc_id", "shard"))
+    assert set(less.values()) == set(range(6))
+    stay = [i for i, s in more.items() if s < 6]
+    assert sum(less[i] == more[i] for i in stay) > 0.7 * len(stay)
+    assert (sharding.latest(spark, folder).version, sharding.latest(spark, folder).shards) == (2, 6)
+    with pytest.raises(ValueError, match="256 slots"):
+        sharding.sharded(documents, shards=6, slots=128, maps=folder)
+    (tmp_path / "lost" / "_new-run").mkdir(parents=True)  # what a lost run leaves
+    assert sharding.latest(spark, f"{tmp_path}/lost") is None
+    assert sharding.sharded(documents, shards=3, slots=64, maps=f"{tmp_path}/lost").count() == documents.count()
+    assert sharding.latest(spark, f"{tmp_path}/lost").version == 1
+
+
+def test_first_stored_version_counts(documents, spark, tmp_path):
+    folder = f"{tmp_path}/maps"
+    one = sharding.store_map(documents, folder, 4, slots=64)
+    assert sharding.store_map(documents, folder, 5, slots=64) == one
+    assert [p.name for p in (tmp_path / "maps").iterdir() if not p.name.startswith(".")] == ["version=1"]

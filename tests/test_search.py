@@ -1,5 +1,6 @@
 """Search by index, and parts named by vendor and number."""
 
+import math
 import random
 import re
 
@@ -30,7 +31,7 @@ def test_search_by_hand(spark):
         for i, *texts in items:
             matched = next((n for n, c in enumerate(texts, 1) if t.lower() in (c or "").lower()), 0)
             if matched or alike(texts[0], t) >= 0.3:
-                want[t, i] = (round(1.0 if texts[0].upper() == t.upper() else max(alike(texts[0], t), alike(texts[1], t)), 3), matched)
+                want[t, i] = (math.floor(1000 * (1.0 if texts[0].upper() == t.upper() else max(alike(texts[0], t), alike(texts[1], t))) + 0.5) / 1000, matched)
     assert {(r["term"], r["id"]): (r["score"], r["matched"]) for r in got.collect()} == want
 
 

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .quantiles import exact_quantiles
+
 
 def window_stats(log: DataFrame, at: str, kind: str, source: str, minutes: int = 60) -> DataFrame:
     """Per source and tumbling window: attempts of each kind, and the share of errors."""
@@ -20,18 +22,20 @@ def medians(log: DataFrame, source: str, value: str, at: str, now: Column, recen
     age = now - F.col(at)
     kinds = log.select(source).distinct()
     log = log.where(age <= F.expr(f"interval {longer}"))
-    recent_v = F.when(age <= F.expr(f"interval {recent}"), F.col(value))
-    out = log.groupBy(source).agg(F.count(recent_v).alias("n_recent"), F.percentile(recent_v, 0.5).alias("recent_median"), F.percentile(value, 0.5).alias("longer_median"))
-    out = kinds.join(out, source, "left").withColumn("n_recent", F.coalesce("n_recent", F.lit(0)))
+    recently = exact_quantiles(log.where(age <= F.expr(f"interval {recent}")), source, value).select(source, F.col("n").alias("n_recent"), F.col("quantile").alias("recent_median"))
+    out = exact_quantiles(log, source, value).select(source, F.col("quantile").alias("longer_median"))
+    out = kinds.join(out, source, "left").join(recently, source, "left").withColumn("n_recent", F.coalesce("n_recent", F.lit(0)))
     drift = (F.col("n_recent") >= least) & (F.col("recent_median") < 0.5 * F.col("longer_median"))
     return out.withColumn("drift", F.coalesce(drift, F.lit(False)))
 
 
 def streaks(log: DataFrame, source: str, at: list[str], bad: Column) -> DataFrame:
-    """Length of each source's latest unbroken run of bad attempts."""
-    w = Window.partitionBy(source).orderBy(*[F.desc(c) for c in at])
-    ranked = log.select(source, bad.alias("bad"), F.row_number().over(w).alias("r"))
-    return ranked.groupBy(source).agg((F.coalesce(F.min(F.when(~F.col("bad"), F.col("r"))), F.max("r") + 1) - 1).cast("long").alias("streak"))
+    """Length of each source's latest unbroken run of bad attempts: those after its last good one, by two aggregates."""
+    when = F.struct(*at)
+    marked = log.select(source, when.alias("at"), bad.alias("bad"))
+    last_good = marked.groupBy(source).agg(F.max(F.when(~F.col("bad"), F.col("at"))).alias("good"))
+    after = F.col("good").isNull() | (F.col("at") > F.col("good"))
+    return marked.join(last_good, source).groupBy(source).agg(F.count_if(after).alias("streak"))
 
 
 def latest_events(log: DataFrame, key: list[str], at: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ import factloom.plans.cells
 import factloom.plans.finders
 import factloom.plans.finding
 import factloom.plans.grids
+import factloom.plans.hygiene
 import factloom.plans.identity
 import factloom.plans.merging
 import factloom.plans.more

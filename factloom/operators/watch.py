@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .quantiles import exact_quantiles
+
 # Limits of the alarms.
 HUNG_MINUTES, STALE_MINUTES, STALL_MINUTES, STEAL_MINUTES = 20, 90, 15, 30
 ZERO_YIELD_DONE, NOT_LISTED_SHARE, DEAD_DISCOVERY_DONE, BLOCKS = 10, 0.6, 20, 5
@@ -90,4 +92,7 @@ def throughput(queue: DataFrame) -> DataFrame:
     age = minutes(F.col("now"), F.col("at"))
     q = queue.where((F.col("outcome") == "ok") & (age <= 7 * 1440)).withColumn("age", age)
     hour, day = F.col("age") <= 60, F.col("age") <= 1440
-    return q.groupBy("source").agg(F.count_if(hour).alias("done_1h"), F.count_if(day).alias("done_24h"), F.count(F.lit(1)).alias("done_7d"), F.round(F.coalesce(F.sum(F.when(day, F.col("facts"))), F.lit(0.0)), 2).alias("facts_24h"), F.percentile(F.when(day, F.col("facts")), 0.5).alias("median_24h"), F.percentile("facts", 0.5).alias("median_7d"))
+    counts = q.groupBy("source").agg(F.count_if(hour).alias("done_1h"), F.count_if(day).alias("done_24h"), F.count(F.lit(1)).alias("done_7d"), F.round(F.coalesce(F.sum(F.when(day, F.col("facts"))), F.lit(0.0)), 2).alias("facts_24h"))
+    for name, rows in (("median_24h", q.where(day)), ("median_7d", q)):
+        counts = counts.join(exact_quantiles(rows, "source", "facts").select("source", F.col("quantile").alias(name)), "source", "left")
+    return counts

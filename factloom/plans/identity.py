@@ -182,7 +182,7 @@ def not_listed_streak(spark, d):
     return streaks(real, "user_id", ["ts", "event_id"], F.col("event_type") != "signup").select("user_id", "streak", most.alias("most"), (F.col("streak") >= most).alias("alarm"))
 
 
-@query("SELECT doc_id, source, contains(translate(upper(left(text, 400)), '+= ', ''), translate(upper(w), '+= ', '')) AND translate(upper(w), '+= ', '') <> '' AS named FROM (SELECT doc_id, source, text, [source, left(text, 6) || '+', 'no such ' || doc_id, '= +'][1 + doc_id % 4] AS w FROM documents)")
+@query("SELECT doc_id, source, contains(translate(upper(text), '+= ', ''), translate(upper(w), '+= ', '')) AND translate(upper(w), '+= ', '') <> '' AS named FROM (SELECT doc_id, source, text, [source, left(text, 6) || '+', 'no such ' || doc_id, '= +'][1 + doc_id % 4] AS w FROM documents)")
 def sku_mentions(spark, d):
     word = F.element_at(F.array(F.col("source"), F.concat(F.substring("text", 1, 6), F.lit("+")), F.concat(F.lit("no such "), F.col("doc_id").cast("string")), F.lit("= +")), (F.col("doc_id") % 4 + 1).cast("int"))
-    return load(spark, d, "documents").select("doc_id", "source", identity.names_sku(F.substring("text", 1, 400), word).alias("named"))
+    return load(spark, d, "documents").select("doc_id", "source", identity.names_sku(F.col("text"), word).alias("named"))

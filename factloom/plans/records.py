@@ -96,30 +96,34 @@ edges AS (SELECT src, dst, min((via, coalesce(dst_id, -1)))[1] AS via, nullif(mi
   UNION ALL SELECT l.part_id, upper(l.successor_sku), h.id, 2 FROM life l JOIN parts p ON p.part_id = l.part_id LEFT JOIN holders h ON h.vendor = p.vendor AND h.sku_norm = upper(l.successor_sku) WHERE l.successor_sku IS NOT NULL) GROUP BY ALL)"""
 
 
+#: Parts whose chains are asked for.
+REQUESTED = (3, 14, 15, 92, 107, 150)
+
+
 def chain_sql(edges: str) -> str:
-    hops = ["h0 AS (SELECT part_id AS start, sku_norm AS dst, part_id AS dst_id, 0 AS hops, 0 AS via FROM parts WHERE part_id % 100 = 7), s0 AS (SELECT * FROM h0)"]
-    for i in range(1, 4):
+    hops = [f"h0 AS (SELECT part_id AS start, sku_norm AS dst, part_id AS dst_id, 0 AS hops, 0 AS via FROM parts WHERE part_id IN (3, 14, 15, 92, 107, 150)), s0 AS (SELECT * FROM h0)"]
+    for i in range(1, 7):
         hops.append(f"h{i} AS (SELECT start, dst, nullif(min((via, coalesce(dst_id, -1)))[2], -1) AS dst_id, {i} AS hops, min((via, coalesce(dst_id, -1)))[1] AS via FROM (SELECT h.start, e.dst, e.dst_id, e.via FROM h{i - 1} h JOIN {edges} e ON e.src = h.dst_id) x WHERE (start, dst) NOT IN (SELECT start, dst FROM s{i - 1}) GROUP BY start, dst), s{i} AS (SELECT * FROM s{i - 1} UNION ALL SELECT * FROM h{i})")
     return ", ".join(hops)
 
 
-@query(w.with_tables(f", {EDGES}, {chain_sql('edges')} SELECT start, dst, hops, via FROM s3 WHERE hops > 0", "parts", "life", "relations"))
+@query(w.with_tables(f", {EDGES}, {chain_sql('edges')} SELECT start, dst, hops, via FROM s6 WHERE hops > 0", "parts", "life", "relations"))
 def successors_of_parts(spark, d):
-    """Successors up to three hops of every hundredth part."""
+    """Successors, up to six hops, of the parts that are asked for."""
     p = w.parts(spark, d)
     edges = records.chain_edges(p, w.relations(spark, d), w.life(spark, d))
-    return records.chains(p.where("part_id % 100 = 7").select(F.col("part_id").alias("start"), "part_id"), edges, p, 3)
+    return records.chains(p.where(F.col("part_id").isin(*REQUESTED)).select(F.col("part_id").alias("start"), "part_id"), edges, p)
 
 
 BACK = "back AS (SELECT e.dst_id AS src, p.sku_norm AS dst, p.part_id AS dst_id, e.via FROM edges e JOIN parts p ON p.part_id = e.src WHERE e.dst_id IS NOT NULL)"
 
 
-@query(w.with_tables(f", {EDGES}, {BACK}, {chain_sql('back')} SELECT start, dst, hops, via FROM s3 WHERE hops > 0", "parts", "life", "relations"))
+@query(w.with_tables(f", {EDGES}, {BACK}, {chain_sql('back')} SELECT start, dst, hops, via FROM s6 WHERE hops > 0", "parts", "life", "relations"))
 def predecessors_of_parts(spark, d):
     p = w.parts(spark, d)
     edges = records.chain_edges(p, w.relations(spark, d), w.life(spark, d)).where("dst_id is not null")
     back = edges.join(p.select(F.col("part_id").alias("src"), "sku_norm"), "src").select(F.col("dst_id").alias("src"), F.col("sku_norm").alias("dst"), F.col("src").alias("dst_id"), "via")
-    return records.chains(p.where("part_id % 100 = 7").select(F.col("part_id").alias("start"), "part_id"), back, p, 3)
+    return records.chains(p.where(F.col("part_id").isin(*REQUESTED)).select(F.col("part_id").alias("start"), "part_id"), back, p)
 
 
 @query(sql_of("""SELECT part_id, CASE WHEN class <> 'hardware' THEN 'not_hardware' WHEN required IS NULL THEN 'never_scored' ELSE 'scored' END AS head, CASE WHEN class = 'hardware' AND required IS NOT NULL THEN present ELSE 0 END AS present, CASE WHEN class = 'hardware' AND required IS NOT NULL THEN array_to_string(missing, ',') ELSE '' END AS missing
@@ -240,11 +244,11 @@ def finder_lifecycle(spark, d):
     return paging.page(some.withColumn("end_of_sale", F.date_format("end_of_sale", "yyyy-MM-dd")), [("end_of_sale", False), ("part_id", False)], 25).select("part_id", "sku", "end_of_sale")
 
 
-@query(w.with_tables("""SELECT r.from_id, r.to_id, p.sku AS target, p.part_id IS NOT NULL AS held FROM relations r LEFT JOIN (SELECT * FROM parts WHERE class = 'hardware') p ON p.part_id = r.to_id WHERE r.kind = 'compatible' AND r.from_id % 10 = 4""", "parts", "relations"))
+@query(w.with_tables("""SELECT r.from_id, r.to_id, p.sku AS target, p.part_id IS NOT NULL AS held FROM relations r LEFT JOIN (SELECT * FROM parts WHERE class = 'hardware') p ON p.part_id = r.to_id WHERE r.kind = 'compatible'""", "parts", "relations"))
 def finder_relations(spark, d):
-    """One hop from every tenth part; targets that the catalogue does not hold are listed too."""
+    """One hop from every part; targets that the catalogue does not hold are listed too."""
     targets = w.parts(spark, d).where("class = 'hardware'").select(F.col("part_id").alias("to_id"), F.col("sku").alias("target"))
-    some = w.relations(spark, d).where("kind = 'compatible' and from_id % 10 = 4")
+    some = w.relations(spark, d).where("kind = 'compatible'")
     return some.join(targets, "to_id", "left").select("from_id", "to_id", "target", F.col("target").isNotNull().alias("held"))
 
 

@@ -1,4 +1,5 @@
-"""A product warehouse derived from the test tables, as DataFrames and as SQL.
+"""A product warehouse derived from the test tables, as DataFrames and as SQL.  Every fifth part has no life cycle, so that its
+absence can be asked for.
 
 parts, life cycles, relations, checks, evidence, conflicts, images, runs and documents of a catalogue: every row is taken
 from a row of the given tables, so all of them grow with those.

@@ -51,9 +51,9 @@ def source_verdicts(spark, d):
 
 
 @query("""SELECT c_custkey, entries, matched, written, CASE WHEN entries < 20 THEN NULL WHEN matched = 0 THEN 'no_landing' WHEN written = 0 AND matched >= 20 THEN 'no_facts_landed' WHEN matched / entries < 0.3 THEN 'low_landing' END AS verdict
-  FROM (SELECT o_custkey AS c_custkey, count(*) AS entries, count(*) FILTER (o_orderstatus = 'F' AND o_custkey % 7 <> 0) AS matched, count(*) FILTER (o_orderstatus = 'F' AND o_custkey % 5 <> 0) AS written FROM (SELECT o_custkey % 40 AS o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0) GROUP BY 1)""")
+  FROM (SELECT o_custkey AS c_custkey, count(*) AS entries, count(*) FILTER (o_orderstatus = 'F' AND o_custkey % 7 <> 0) AS matched, count(*) FILTER (o_orderstatus = 'F' AND o_custkey % 5 <> 0) AS written FROM (SELECT o_custkey % 40 AS o_custkey, o_orderstatus FROM orders) GROUP BY 1)""")
 def landing_verdicts(spark, d):
-    o = load(spark, d, "orders").where("o_orderkey % 2 = 0").groupBy((F.col("o_custkey") % 40).alias("c_custkey"))
+    o = load(spark, d, "orders").groupBy((F.col("o_custkey") % 40).alias("c_custkey"))
     done, key = F.col("o_orderstatus") == "F", F.col("o_custkey") % 40
     o = o.agg(F.count(F.lit(1)).alias("entries"), F.count_if(done & (key % 7 != 0)).alias("matched"), F.count_if(done & (key % 5 != 0)).alias("written"))
     return o.withColumn("verdict", watch.landing(F.col("entries"), F.col("matched"), F.col("written")))

@@ -60,7 +60,7 @@ def promotion_reasons(spark, d):
 
 
 PIDS_SQL = """
-bulletins AS (SELECT l_orderkey AS bulletin_id, ['WS-C', 'C', '', 'C1-'][1 + l_linenumber % 4] || (1000 + l_partkey) || '-' || l_suppkey % 3 || ['', '-E', '-S', '/K9', '=', ''][1 + l_suppkey % 6] AS pid, CASE WHEN l_quantity > 20 THEN 'NEW-' || l_suppkey END AS successor, l_linenumber % 4 AS n_dates, strftime(l_shipdate, '%Y-%m-%d') AS end_of_sale FROM lineitem WHERE l_linenumber < 5),
+bulletins AS (SELECT l_orderkey AS bulletin_id, ['WS-C', 'C', '', 'C1-'][1 + l_linenumber % 4] || (1000 + l_partkey) || '-' || l_suppkey % 3 || ['', '-E', '-S', '/K9', '=', ''][1 + l_suppkey % 6] AS pid, CASE WHEN l_quantity > 20 THEN 'NEW-' || l_suppkey END AS successor, l_linenumber % 4 AS n_dates, strftime(l_shipdate, '%Y-%m-%d') AS end_of_sale FROM lineitem),
 mine AS (SELECT p_partkey AS part_id, (1000 + p_partkey) || '-' || p_size % 3 || ['', '-E', '-L'][1 + p_size % 3] AS sku FROM part),
 norm AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper(pid), '/K9(\\+\\+)?$', ''), '[+=]+$', ''), '^(WS-C|WSC|WS-|WS|C1-)', ''), '^C([0-9])', '\\1') AS whole FROM bulletins),
 best AS (SELECT core, max_by((bulletin_id, successor, end_of_sale), (n_dates, end_of_sale, -bulletin_id, pid)) AS b FROM (SELECT *, regexp_replace(whole, '-([ESLA])$', '') AS core FROM norm) WHERE contains(core, '-') GROUP BY core),
@@ -70,7 +70,7 @@ exact AS (SELECT whole, min_by(successor, (bulletin_id, pid)) FILTER (successor
 
 @query(f"WITH {PIDS_SQL.strip()} SELECT part_id, b[1] AS bulletin_id, b[3] AS end_of_sale, CASE WHEN e.exact IS NOT NULL THEN e.exact WHEN e.whole IS NULL THEN b[2] END AS successor FROM mine JOIN best ON core = regexp_replace(sku, '-([ESLA])$', '') LEFT JOIN exact e ON e.whole = mine.sku")
 def bulletin_lifecycles(spark, d):
-    li = load(spark, d, "lineitem").where("l_linenumber < 5")
+    li = load(spark, d, "lineitem")
 
     def turn(by, *items):
         return F.element_at(F.array(*[F.lit(i) for i in items]), (by % len(items) + 1).cast("int"))
@@ -275,10 +275,10 @@ def capability_matrix(spark, d):
     return a.unionByName(b).distinct().groupBy("source", "field_key").agg(lines().alias("parts"))
 
 
-@query(w.with_tables("SELECT part_id, sku, CASE WHEN part_id % 9 = 0 THEN 'retired:duplicate' ELSE 'alias:' || CASE WHEN n > 0 THEN 'exists' ELSE 'created' END END AS outcome FROM parts LEFT JOIN (SELECT upper(sku) AS u, count(*) AS n FROM parts WHERE part_id % 9 <> 0 AND sku LIKE '%=' GROUP BY 1) ON u = upper(sku) || '=' WHERE part_id % 9 < 2", "parts"))
+@query(w.with_tables("SELECT part_id, sku, CASE WHEN part_id % 9 = 0 THEN 'retired:duplicate' ELSE 'alias:' || CASE WHEN n > 0 THEN 'exists' ELSE 'created' END END AS outcome FROM parts LEFT JOIN (SELECT upper(sku) AS u, count(*) AS n FROM parts WHERE part_id % 9 <> 0 AND sku LIKE '%=' GROUP BY 1) ON u = upper(sku) || '='", "parts"))
 def retirements(spark, d):
     """Parts that go with a reason, and spare numbers linked as aliases of those that stay."""
     p = w.parts(spark, d)
     spare = p.where("part_id % 9 <> 0 and sku like '%='").select(F.upper("sku").alias("u")).distinct().withColumn("known", F.lit(True))
-    out = p.where("part_id % 9 < 2").withColumn("u", F.concat(F.upper("sku"), F.lit("="))).join(spare, "u", "left")
+    out = p.withColumn("u", F.concat(F.upper("sku"), F.lit("="))).join(spare, "u", "left")
     return out.select("part_id", "sku", F.when(F.col("part_id") % 9 == 0, "retired:duplicate").when(F.col("known"), "alias:exists").otherwise("alias:created").alias("outcome"))

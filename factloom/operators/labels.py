@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.normalize import Field, is_heading, normalized
@@ -56,13 +57,24 @@ def mapped_labels(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     return pairs.withColumn("_s", F.coalesce("section", F.lit("\0"))).join(best.select("label", "_s", "field"), ["label", "_s"], "left").drop("_s")
 
 
+_rules: dict[tuple[str, Field], Column] = {}
+
+
+def rule(field: Field) -> Column:
+    """The rules of a field over the columns raw and label; put together once a session, as they are large."""
+    key = (SparkContext.getOrCreate().applicationId, field)
+    if key not in _rules:
+        _rules[key] = normalized(F.col("raw"), F.col("label"), field)
+    return _rules[key]
+
+
 def typed(rows: DataFrame, fields: dict[str, Field]) -> DataFrame:
     """v: each row's raw text by the rules of its field; null where the field has no rules."""
-    rules = {k: normalized(F.col("raw"), F.col("label"), f) for k, f in fields.items() if f.kind != "ls"}
+    rules = {k: rule(f) for k, f in fields.items() if f.kind != "ls"}
     lists = {k: f for k, f in fields.items() if f.kind == "ls"}
     value = reduce(lambda acc, x: acc.when(F.col("field") == x[0], x[1]), rules.items(), F.when(F.lit(False), next(iter(rules.values()))))
     parts = [rows.where(F.col("field").isNull() | ~F.col("field").isin(*lists)).withColumn("v", value)]
-    parts += [rows.where(F.col("field") == k).withColumn("v", normalized(F.col("raw"), F.col("label"), f)) for k, f in lists.items()]
+    parts += [rows.where(F.col("field") == k).withColumn("v", rule(f)) for k, f in lists.items()]
     return reduce(DataFrame.unionByName, parts)
 
 

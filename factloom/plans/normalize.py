@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import normalize as n
+from ..operators import labels
 from ..sources.tables import load
 from .queries import query
 
@@ -79,11 +78,7 @@ def raw_texts(spark, d) -> DataFrame:
 
 def typed(rows: DataFrame) -> DataFrame:
     """Each row by the rules of its own field."""
-    rules = {k: n.normalized(F.col("raw"), F.col("label"), f) for k, f in FIELDS.items() if f.kind != "ls"}
-    (first, rule), *rest = rules.items()
-    value = reduce(lambda acc, x: acc.when(F.col("field") == x[0], x[1]), rest, F.when(F.col("field") == first, rule))
-    lists = [rows.where(F.col("field") == k).withColumn("v", n.normalized(F.col("raw"), F.col("label"), f)) for k, f in FIELDS.items() if f.kind == "ls"]
-    return reduce(lambda a, b: a.unionByName(b), lists, rows.where(F.col("field").isin(*rules)).withColumn("v", value))
+    return labels.typed(rows, FIELDS)
 
 
 @query(CASE_SQL)
@@ -107,7 +102,7 @@ def map_facts(spark, d):
     rows = load(spark, d, "part").select("p_partkey", label.alias("label"), raw.alias("raw"))
     field = F.when(F.col("label").rlike("(?i)power"), "power_max").when(F.col("label").rlike("(?i)^weight"), "weight")
     rows = rows.withColumn("field", field)
-    values = F.when(F.col("field") == "power_max", n.normalized(F.col("raw"), F.col("label"), FIELDS["power_max"])).when(F.col("field") == "weight", n.normalized(F.col("raw"), F.col("label"), FIELDS["weight"]))
+    values = F.when(F.col("field") == "power_max", labels.rule(FIELDS["power_max"])).when(F.col("field") == "weight", labels.rule(FIELDS["weight"]))
     rows = rows.withColumn("v", values)
     outcome = F.when(n.is_heading(F.col("label"), F.col("raw")), "section").when(F.col("field").isNull(), "unmapped").otherwise(F.coalesce("v.reason", F.lit("ok")))
     return rows.select("p_partkey", outcome.alias("outcome"), F.col("v.num").alias("value"))

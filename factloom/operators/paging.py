@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import base64
 import json
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.checkpoints import saved
+
 
 def encode_cursor(values: list) -> str:
     return base64.urlsafe_b64encode(json.dumps(values, separators=(",", ":"), default=str).encode()).decode().rstrip("=")
@@ -42,6 +45,30 @@ def page(df: DataFrame, keys: list[tuple[str, bool]], limit: int, cursor: list |
     return df.orderBy(*[F.desc(c) if down else F.asc(c) for c, down in keys]).limit(limit + 1)
 
 
+def filled(df: DataFrame, keys: list[tuple[str, bool]], keep: Callable[[DataFrame], DataFrame], limit: int, batch: int | None = None) -> DataFrame:
+    """The first `limit` rows, in the order of keys, that a filter keeps; no more rows pass it than it takes to fill the page.
+
+    Batches are taken by keyset, each twice as large as the one before, so that a filter that keeps few costs few rounds; only
+    the last key of a batch and two counts come to the driver.  keep: from rows to those of them that stay, such as an anti join.
+    """
+    order = [F.desc(c) if down else F.asc(c) for c, down in keys]
+    back = [F.asc(c) if down else F.desc(c) for c, down in keys]
+    size, n, cursor, kept = batch or 2 * limit, 0, None, []
+    while n < limit:
+        rows = saved(page(df, keys, size - 1, cursor))
+        last = rows.orderBy(*back).first()
+        if last is None:
+            break
+        kept.append(saved(keep(rows)))
+        n += kept[-1].count()
+        if rows.count() < size:
+            break
+        size, cursor = 2 * size, [last[c] for c, _ in keys]
+    if not kept:
+        return df.limit(0)
+    return reduce(DataFrame.unionByName, kept).orderBy(*order).limit(limit)
+
+
 def split_page(rows: list, limit: int, keys: list[str]) -> tuple[list, str | None]:
     """A collected page's rows and the cursor of the next one."""
     if len(rows) <= limit:

@@ -15,6 +15,7 @@ import factloom.plans.more
 import factloom.plans.normalize
 import factloom.plans.records
 import factloom.plans.replays
+import factloom.plans.rereads
 import factloom.plans.upkeep
 import factloom.plans.watch
 import factloom.plans.writes

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import paging, reread as x
+from ..operators import furniture, paging, reread as x
 from ..operators.cells import cells
+from ..operators.extraction import extracted
 from ..sources.tables import load
 from .cells import row
 from .queries import query
@@ -63,3 +64,26 @@ def filled_page(spark, d):
     """The 75 largest balances without an open order, taken in batches until there are enough."""
     late = load(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return paging.filled(load(spark, d, "customer").select("c_custkey", "c_acctbal"), [("c_acctbal", True), ("c_custkey", False)], lambda rows: rows.join(late, "c_custkey", "left_anti"), 75, batch=40)
+
+
+LINKS_SQL = r"""sites AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^(www[0-9]*|m|mobile|amp|blog)\.', '') AS site FROM pages),
+links AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS item FROM pages),
+rare AS (SELECT site, item, count(DISTINCT page_id) AS pages, any_value(n) AS of FROM links JOIN sites USING (page_id) JOIN (SELECT site, count(*) AS n FROM sites GROUP BY 1) USING (site) GROUP BY ALL HAVING count(DISTINCT page_id) >= 3 AND count(DISTINCT page_id) >= 0.03 * any_value(n))"""
+
+
+def site_links(spark, d) -> tuple[DataFrame, DataFrame]:
+    p = load(spark, d, "pages")
+    links = extracted(p, "page_id", "html", ("link",)).select("page_id", F.col("value").alias("item"), "label")
+    return links, p.select("page_id", furniture.site_of(F.col("url")).alias("site"))
+
+
+@query(f"WITH {LINKS_SQL} SELECT site, item, pages, of FROM rare")
+def site_furniture(spark, d):
+    """Links that at least three pages of a site and three in a hundred have."""
+    return furniture.furniture(*site_links(spark, d), least_share=0.03)
+
+
+@query(f"WITH {LINKS_SQL} SELECT page_id, count(*) AS links FROM links JOIN sites USING (page_id) ANTI JOIN rare USING (site, item) GROUP BY 1")
+def content_links(spark, d):
+    """How many links of each page are its own."""
+    return furniture.without_furniture(*site_links(spark, d), least_share=0.03).groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from factloom.operators import paging, reread as x
+from factloom.operators import furniture, paging, reread as x
 
 
 def test_filled_reads_little(spark):
@@ -32,3 +32,15 @@ def test_sample_is_the_same_each_time(spark):
     a, b = (sorted(tuple(r) for r in x.sampled(rows.repartition(n), "g", ["id"], 20, "s").collect()) for n in (2, 7))
     assert a == b and len(a) == 60
     assert a != sorted(tuple(r) for r in x.sampled(rows, "g", ["id"], 20, "t").collect())
+
+
+def test_furniture(spark):
+    pages = spark.createDataFrame([(i, "a") for i in range(10)] + [(i, "b") for i in range(10, 14)] + [(20, None)], "page_id long, site string")
+    items = [(i, "/home") for i in range(14)] + [(0, "/home"), (20, "/home")] + [(i, "/half") for i in range(5)] + [(i, "/few") for i in range(4)] + [(10, "/x"), (11, "/x")] + [(0, None)]
+    df = spark.createDataFrame(items, "page_id long, item string")
+    got = {(r["site"], r["item"]): (r["pages"], r["of"]) for r in furniture.furniture(df, pages).collect()}
+    assert got == {("a", "/home"): (10, 10), ("b", "/home"): (4, 4), ("a", "/half"): (5, 10)}
+    left = sorted((r["page_id"], r["item"]) for r in furniture.without_furniture(df, pages).where("item is not null").collect())
+    assert left == [(0, "/few"), (1, "/few"), (2, "/few"), (3, "/few"), (10, "/x"), (11, "/x"), (20, "/home")]
+    urls = spark.createDataFrame([("https://www.x.org/a",), ("http://M.Shop.de:80/",), ("https://m.de/",), ("nothing",), (None,)], "u string")
+    assert [r[0] for r in urls.select(furniture.site_of(F.col("u"))).collect()] == ["x.org", "shop.de", "m.de", "", None]

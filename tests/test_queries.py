@@ -10,6 +10,7 @@ import factloom.plans.finding
 import factloom.plans.grids
 import factloom.plans.hygiene
 import factloom.plans.identity
+import factloom.plans.images
 import factloom.plans.inherit
 import factloom.plans.merging
 import factloom.plans.more

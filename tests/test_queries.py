@@ -4,6 +4,7 @@ import pytest
 
 import factloom.plans.acquired
 import factloom.plans.cells
+import factloom.plans.compat
 import factloom.plans.dictionary
 import factloom.plans.finders
 import factloom.plans.finding

@@ -110,7 +110,7 @@ def read_pages(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 def read_first(spark: SparkSession, path: str, key: list[str], schema: str) -> DataFrame:
     """Line-delimited JSON, of each key the first row, and how many rows it had."""
-    rows = spark.read.schema(schema).json(path).withColumn("_at", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()))
+    rows = spark.read.schema(schema).json(path).withColumn("_at", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
     columns = [c for c in rows.columns if c not in (*key, "_at")]
     return rows.groupBy(*key).agg(*[F.min_by(c, "_at").alias(c) for c in columns], F.count(F.lit(1)).alias("n_seen"))
 

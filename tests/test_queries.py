@@ -6,6 +6,7 @@ import factloom.plans.acquired
 import factloom.plans.cells
 import factloom.plans.compat
 import factloom.plans.dictionary
+import factloom.plans.files
 import factloom.plans.finders
 import factloom.plans.finding
 import factloom.plans.grids

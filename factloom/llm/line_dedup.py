@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import mix, ready, saved, segments
+from .shared import hidden, mix, ready, saved, segments
 
 
 def lines(text: Column) -> Column:
@@ -244,11 +244,12 @@ def line_dedup(documents: DataFrame, least_words: int = 10, keep: tuple[str, ...
     document holds it; of a block that one earlier document alone holds, and less often, the copies that the alignment
     does not place stay.  Documents are judged on the input: a block goes even if the earlier document loses it to one before.  Null texts have no
     lines.  Rows without a doc_id pair with none and stay as they are; rows that share a doc_id are not aligned with each
-    other.  An empty table gives an empty result.
+    other.  A column to keep that is named like one of the result is refused.  An empty table gives an empty
+    result.
     """
     ready(documents.sparkSession)
-    keep = tuple(c for c in keep if c not in ("doc_id", "text"))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).withColumn("text_hash", F.xxhash64("text"))
+    names = hidden(tuple(c for c in keep if c not in ("doc_id", "text")), ("n_lines", "n_removed"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(n) for c, n in names.items()]).withColumn("text_hash", F.xxhash64("text"))
     held = docs.where("doc_id is not null and text is not null").select("doc_id", "text_hash", lines(F.col("text")).alias("l"))
     held = held.select("doc_id", "text_hash", F.transform("l", lambda x: F.xxhash64(x)).alias("lines"), F.transform("l", words).alias("n_words"))
     held = held.dropDuplicates(["doc_id", "text_hash"])
@@ -283,6 +284,6 @@ def line_dedup(documents: DataFrame, least_words: int = 10, keep: tuple[str, ...
     stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("gone"))
     left_over = F.transform(F.array(all_lines), lambda own: F.transform(stay, lambda i: F.get(own, i)))[0]  # split once
     count = F.size(F.filter(all_lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
-    out = out.select("doc_id", *keep, F.col("text").alias("was"), count.alias("n_lines"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left_over, "\n")).alias("text"))
+    out = out.select("doc_id", *names.values(), F.col("text").alias("was"), count.alias("n_lines"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left_over, "\n")).alias("text"))
     left_count = F.size(F.filter(lines(F.col("text")), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    return out.select("doc_id", *keep, "n_lines", (F.col("n_lines") - left_count).alias("n_removed"), "text")
+    return out.select("doc_id", *[F.col(n).alias(c) for c, n in names.items()], "n_lines", (F.col("n_lines") - left_count).alias("n_removed"), "text")

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import Words, pieces
+from .shared import Words, hidden, pieces
 
 SYMBOL = np.zeros(256, dtype=np.int64)
 SYMBOL[list(b"#*$%&|<>")] = 1
@@ -171,10 +171,13 @@ def repetition_rules(
     n_covered_words (words in repeats of `least` words or more) and longest_repeat (words; 0 if there is no such
     repeat).  A text is kept if it does not fail the base rules, at most the share most_covered of its words is covered
     and no repeat is over most_longest words.  A null text has no words and fails.  Null doc_ids and repeated rows are
-    judged like others, each on its own.  An empty table gives an empty result.  keep: further columns to hand through.
+    judged like others, each on its own.  An empty table gives an empty result.  keep: further columns to hand through; one
+    that is named like a column of the result is refused.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c for c in keep if c not in ("doc_id", "text")])
     keep = tuple(c for c in keep if c != "doc_id")
+    names = hidden(tuple(c for c in keep if c != "text"), tuple(RULES.names[1:]))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(n) for c, n in names.items()])
+    held = [names.get(c, c) for c in keep]
     out = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_covered_words long, longest_repeat long"
-    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) if keep else ""
-    return docs.mapInArrow(judged(window, least, most_covered, most_longest, min_words, most_repeated, list(keep)), out + more)
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*held).schema)
+    return docs.mapInArrow(judged(window, least, most_covered, most_longest, min_words, most_repeated, held), out + more).withColumnsRenamed({n: c for c, n in names.items()})

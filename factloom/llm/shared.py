@@ -170,3 +170,12 @@ def ids_of(batch: pa.RecordBatch, column: str = "doc_id") -> tuple[np.ndarray, n
     """Ids as integers, and which of them are null."""
     ids = batch.column(column)
     return ids.fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False), np.asarray(ids.is_null())
+
+
+def hidden(keep: tuple[str, ...], result: tuple[str, ...]) -> dict[str, str]:
+    """Names under which columns are handed through, so that none meets a column of the operator's own; a column named like
+    one of the result is refused, since both could not be told apart."""
+    clash = sorted({c.lower() for c in keep} & {c.lower() for c in result})
+    if clash:
+        raise ValueError(f"columns to keep are named like columns of the result: {', '.join(clash)}")
+    return {c: f"_keep_{i}" for i, c in enumerate(keep)}

@@ -13,7 +13,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .shared import ready, saved
+from .shared import hidden, ready, saved
 
 #: Least number of blocks of a source, and documents of a block.
 BLOCKS, BLOCK_ROWS = 512, 50_000
@@ -83,12 +83,13 @@ def mixed(
     source is drawn exactly once, so that no document is left out.  Null sources are a source of their own.  Texts without
     tokens, null ones among them, are drawn as often as whole epochs are.  Null doc_ids are drawn like others; so are
     repeated rows, each on its own, but with keep those that share doc_id, text and source have their copies evened out.
-    An empty table gives an empty result.
+    A column to keep that is named like one of the result is refused.  An empty table gives an empty result.
     """
     ready(documents.sparkSession)
     if tokens is None:
         tokens = F.size(F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != ""))
     keep = tuple(c for c in keep if c not in ("doc_id", "source"))
+    names = hidden(keep, ("n_tokens", "exponent", "weight", "repeats", "copies", "place", "position"))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", tokens.cast("long").alias("tokens"), F.xxhash64("text").alias("text_hash"))
     docs = saved(docs)
     blocks = blocks or max(BLOCKS, math.ceil(docs.count() / BLOCK_ROWS))
@@ -134,7 +135,7 @@ def mixed(
         return out.drop("text_hash")
     figures = ("n_tokens", "exponent", "weight", "repeats", "place", "position")
     once = out.groupBy("doc_id", "text_hash", "source").agg(*[F.min(c).alias(c) for c in figures], F.round(F.avg("copies")).cast("long").alias("copies"))
-    full = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", *keep).withColumn("hash", F.xxhash64("text"))
+    full = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("text").alias("hash"), *[F.col(c).alias(n) for c, n in names.items()])
     f, o = full.alias("f"), once.alias("o")
     same = F.col("f.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("f.hash") == F.col("o.text_hash")) & F.col("f.source").eqNullSafe(F.col("o.source"))
-    return f.join(o, same).select("f.doc_id", "f.source", "n_tokens", "exponent", "weight", "repeats", "copies", "place", "position", *[F.col(f"f.{c}") for c in keep])
+    return f.join(o, same).select("f.doc_id", "f.source", "n_tokens", "exponent", "weight", "repeats", "copies", "place", "position", *[F.col(f"f.{n}").alias(c) for c, n in names.items()])

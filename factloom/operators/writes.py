@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import first_of
+from ..sources.checkpoints import saved
 
 # Ranks of states without a value, limits of promotions, replays and alarms.
 GAP_RANK = {"gap_unattempted": 0, "gap_confirmed": 1, "not_applicable": 2}
@@ -239,8 +240,9 @@ def proportional_sample(rows: DataFrame, group: str, key: str, flagged: str, wan
 
 
 def every_nth(rows: DataFrame, key: str, step: int, parts: int = 64) -> DataFrame:
-    """Every step-th row in the order of the key: rows are numbered within ranges, and ranges by the sizes of those before."""
-    ranged = rows.repartitionByRange(parts, key).sortWithinPartitions(key).withColumn("_id", F.monotonically_increasing_id())
+    """Every step-th row in the order of the key: rows are numbered within ranges, and ranges by the sizes of those before.
+    Ranges come from samples, so what is numbered is written once: worked out twice, the sizes could be those of other ranges."""
+    ranged = saved(rows.repartitionByRange(parts, key).sortWithinPartitions(key).withColumn("_id", F.monotonically_increasing_id()))
     ranged = ranged.withColumns({"_part": F.shiftright("_id", 33), "_n": F.col("_id").bitwiseAND((1 << 33) - 1)})
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size")).withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0))).select("_part", "_start")

@@ -114,8 +114,8 @@ def decided(candidates: DataFrame, known: DataFrame, fetched: DataFrame, picture
 
     by_key = shared(candidates, "url_key", "claims", F.col("claims") > most)
     by_content = shared(pictures, "sha256", "holders", F.col("holders") >= most_content)
-    rows = candidates.select("id", "url_key").join(by_key, "url_key", "left").join(named_others(candidates, known), "id", "left")
-    rows = rows.join(fetched.withColumn("answered", F.lit(True)).join(by_content, "sha256", "left"), "id", "left")
+    rows = candidates.select("id", "url_key").join(by_key, "url_key", "left").join(named_others(candidates, known).hint("merge"), "id", "left")
+    rows = rows.join(fetched.withColumn("answered", F.lit(True)).join(by_content, "sha256", "left").hint("merge"), "id", "left")
     before = F.coalesce(
         placeholder_reason(F.col("url_key")),
         F.concat(F.lit("shared-across-parts:"), "claims"),

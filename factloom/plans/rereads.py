@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators import furniture, paging, reread as x
 from ..operators.cells import cells
 from ..operators.extraction import extracted
-from ..sources.tables import load
+from ..sources.tables import load, spread
 from .cells import row
 from .queries import query
 
@@ -54,7 +54,7 @@ def dates_reread(spark, d):
     day = F.col("o_orderdate")
     fmt = lambda c: F.date_format(c, "MMMM d, yyyy")
     html = F.concat(F.lit("<table>"), row("End-of-Life Announcement Date", fmt(day)), row("End-of-Sale Date", fmt(day + F.expr("interval 100 days"))), row("Last Date of Support", fmt(day + F.expr("interval 1000 days"))), F.lit("</table>"))
-    o = load(spark, d, "orders")
+    o = spread(load(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey")
     dates = F.explode(F.create_map(F.lit("announced"), F.to_date(day + F.make_dt_interval(F.when(F.col("o_orderkey") % 25 == 4, 1).otherwise(0))), F.lit("end_of_sale"), F.to_date(day + F.expr("interval 100 days")), F.lit("end_of_support"), F.to_date(day + F.expr("interval 1000 days")))).alias("milestone", "day")
     return x.redated(o.select("o_orderkey", dates), o.select("o_orderkey", html.alias("html")), "o_orderkey")
 

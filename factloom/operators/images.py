@@ -55,6 +55,12 @@ def placeholder_reason(key: Column, words: tuple[str, ...] = PLACEHOLDERS) -> Co
     return F.coalesce(F.when(key.isNull(), "not-an-http-url"), *[F.when(F.contains(key, F.lit(w)), f"placeholder-url:{w}") for w in words])
 
 
+def judged(url: Column) -> Column:
+    """url_key and reason of an address as a struct.  The key is bound once: a filter on the reason is pushed down to where the
+    address is read, and would else work the key out anew for each word that refuses it."""
+    return F.element_at(F.transform(F.array(picture_key(url)), lambda k: F.struct(k.alias("url_key"), placeholder_reason(k).alias("reason"))), 1)
+
+
 def page_candidates(images: DataFrame, page: str) -> tuple[DataFrame, DataFrame]:
     """(a row for each picture of each page, the refused addresses with their reasons).
 
@@ -62,7 +68,7 @@ def page_candidates(images: DataFrame, page: str) -> tuple[DataFrame, DataFrame]
     (it is the original), else the widest, else the first; role and alt are the first ones stated, on whichever address.
     """
     filled = lambda c: F.when(F.trim(c) != "", F.struct("position", F.trim(c).alias("v")))
-    rows = images.withColumn("url", F.trim("url")).where("url <> ''").withColumn("url_key", picture_key(F.col("url"))).withColumn("reason", placeholder_reason(F.col("url_key")))
+    rows = images.withColumn("url", F.trim("url")).where("url <> ''").withColumn("j", judged(F.col("url"))).select("*", "j.*").drop("j")
     refused = rows.where("reason is not null").select(page, "url", "reason")
     hint = width_hint(F.col("url"))
     best = F.struct(F.coalesce(-hint, F.lit(-(2**31 - 1))).alias("rank"), "position", "url", hint.alias("width"))
@@ -73,11 +79,18 @@ def page_candidates(images: DataFrame, page: str) -> tuple[DataFrame, DataFrame]
 def file_tokens(key: Column) -> Column:
     """What could be a number in the name of a file, in upper case: the name itself, its words, their pieces between dashes,
     and neighbouring ones of these joined by a dash; three characters or more."""
+
+    def joined(p: Column) -> Column:
+        pairs = F.zip_with(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 2, F.size(p)), lambda a, b: F.concat_ws("-", a, b))
+        return F.concat(p, pairs)
+
+    def of(stem: Column) -> Column:
+        words = F.filter(F.split(F.regexp_replace(stem, r"[^\p{L}\p{N}-]", " "), " "), lambda w: w != "")
+        pieces = F.flatten(F.transform(words, lambda w: F.concat(F.array(w), F.filter(F.split(w, "-"), lambda x: x != ""))))
+        return F.concat(F.array(stem), F.flatten(F.transform(F.array(pieces), joined)))
+
     stem = F.upper(F.regexp_replace(F.element_at(F.split(key, "/"), -1), r"\.[^.]*$", ""))
-    words = F.filter(F.split(F.regexp_replace(stem, r"[^\p{L}\p{N}-]", " "), " "), lambda w: w != "")
-    pieces = F.flatten(F.transform(words, lambda w: F.concat(F.array(w), F.filter(F.split(w, "-"), lambda x: x != ""))))
-    pairs = F.transform(F.array(pieces), lambda p: F.zip_with(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 2, F.size(p)), lambda a, b: F.concat_ws("-", a, b)))
-    return F.filter(F.array_distinct(F.concat(F.array(stem), pieces, F.flatten(pairs))), lambda t: F.length(t) >= 3)
+    return F.filter(F.array_distinct(F.flatten(F.transform(F.array(stem), of))), lambda t: F.length(t) >= 3)
 
 
 def relation(mine: Column, named: Column) -> Column:

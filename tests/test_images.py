@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from factloom.operators import images
 
 
@@ -77,3 +78,10 @@ def test_nothing(spark):
     c = spark.createDataFrame([], "id long, part_id long, vendor string, sku string, url string, url_key string")
     fetched = spark.createDataFrame([], "id long, http int, format string, sha256 string, width int, height int")
     assert images.decided(c, c.select("vendor", "sku"), fetched, spark.createDataFrame([], "part_id long, sha256 string")).count() == 0
+
+
+def test_a_filter_works_the_key_of_an_address_out_once(spark, sf_dir):
+    """A filter on the reason is pushed down to where the address is read; one decoding there, one for the columns."""
+    for name in ("page_pictures", "refused_pictures", "pictures_of_others"):
+        plan = __spark_entry__.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan()
+        assert all(line.count("url_decode") <= 4 for line in plan.toString().splitlines()), name

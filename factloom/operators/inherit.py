@@ -41,24 +41,30 @@ def family_words(name: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*NO_FAMILY))
 
 
-def same_family(a: Column, b: Column) -> Column:
-    """Whether two names mean one family: by their model numbers if both have some, by any word if neither has; else null."""
-    words = [family_words(x) for x in (a, b)]
-    models = [F.filter(model_tokens(F.coalesce(x, F.lit(""))), lambda w: ~F.lower(w).isin(*NO_FAMILY)) for x in (a, b)]
+def family_keys(name: Column) -> Column:
+    """What two names are compared by: their words, and their model numbers."""
+    models = F.filter(model_tokens(F.coalesce(name, F.lit(""))), lambda w: ~F.lower(w).isin(*NO_FAMILY))
+    return F.struct(family_words(name).alias("words"), models.alias("models"))
+
+
+def other_family(mine: Column, named: Column) -> Column:
+    """The rule by which two names with these keys do not mean one family, or null.  They do if they share a model number, where
+    both have some, or any word, where neither has; else it is not known."""
+    words, models = ([x[c] for x in (mine, named)] for c in ("words", "models"))
     some = [F.size(x) > 0 for x in models]
-    return F.when((F.size(words[0]) == 0) | (F.size(words[1]) == 0), None).when(some[0] & some[1], F.arrays_overlap(*models)).when(some[0] | some[1], None).otherwise(F.arrays_overlap(*words))
+    unknown = (F.size(words[0]) == 0) | (F.size(words[1]) == 0) | (some[0] != some[1])
+    return F.when(unknown, "family:unknown").when(~F.when(some[0], F.arrays_overlap(*models)).otherwise(F.arrays_overlap(*words)), "family:mismatch")
+
+
+def listed_only(sku: Column, product_class: Column, category: Column) -> Column:
+    """Why a part is one that documents only list, whatever they describe, or null."""
+    shape = F.transform(F.array(component(sku)), lambda c: F.concat(F.lit("component:"), c))[0]
+    return F.coalesce(F.when(product_class.isin(*LISTED_CLASSES), F.concat(F.lit("class:"), product_class)), shape, F.when(category.isin(*LISTED_CATEGORIES), F.concat(F.lit("category:"), category)))
 
 
 def undescribed(sku: Column, product_class: Column, category: Column, part_family: Column, doc_family: Column) -> Column:
     """Why a part is not one that the document describes, or null."""
-    shape, family = component(sku), same_family(part_family, doc_family)
-    return (
-        F.when(product_class.isin(*LISTED_CLASSES), F.concat(F.lit("class:"), product_class))
-        .when(shape.isNotNull(), F.concat(F.lit("component:"), shape))
-        .when(category.isin(*LISTED_CATEGORIES), F.concat(F.lit("category:"), category))
-        .when(family.isNull(), "family:unknown")
-        .when(~family, "family:mismatch")
-    )
+    return F.coalesce(listed_only(sku, product_class, category), other_family(family_keys(part_family), family_keys(doc_family)))
 
 
 def inapplicable(category: Column, field: Column) -> Column:
@@ -73,21 +79,30 @@ def inherited(stated: DataFrame, listed: DataFrame, parts: DataFrame, classes: D
     field, value; listed: doc_id, part_id; parts: part_id, sku, class, category, family; classes: field, kind (A: may be inherited,
     B: never, C: unless the document states the field of some part itself).
     Returns doc_id, part_id, field, level, value, rule.
+
+    What a part's and a family's name say is worked out once a part and once a document and name, before they meet; what a
+    document states meets each part that it lists as one row a name, and is dealt out into fields last.
     """
-    p = parts.select("part_id", "sku", "class", "category", F.col("family").alias("part_family"))
-    own = stated.where(F.col("level") == OWN).join(p, "part_id").select("doc_id", "part_id", "field", "level", "value", inapplicable(F.col("category"), F.col("field")).alias("rule"))
-    has = own.where("rule is null").select("doc_id", "part_id", "field").distinct().withColumn("has", F.lit(True))
-    exceptions = own.where("rule is null").select("doc_id", "field").distinct().withColumn("exception", F.lit(True))
-    offers = stated.where(F.col("level") != OWN).drop("part_id").join(listed.distinct(), "doc_id").join(p, "part_id").join(classes, "field", "left").join(exceptions, ["doc_id", "field"], "left").join(has, ["doc_id", "part_id", "field"], "left")
+    p = parts.select("part_id", "category", listed_only(F.col("sku"), F.col("class"), F.col("category")).alias("r_listed"), family_keys(F.col("family")).alias("mine"))
+    own = stated.where(F.col("level") == OWN).join(p.select("part_id", "category"), "part_id").select("doc_id", "part_id", "field", "level", "value", inapplicable(F.col("category"), F.col("field")).alias("rule"))
+    taken = own.where("rule is null")
+    has = taken.groupBy("doc_id", "part_id").agg(F.collect_set("field").alias("has"))
+    exceptions = taken.select("doc_id", "field").distinct().withColumn("exception", F.lit(True))
+    wide = stated.where(F.col("level") != OWN).join(classes, "field", "left").join(exceptions, ["doc_id", "field"], "left")
+    wide = wide.groupBy("doc_id", "family").agg(F.collect_list(F.struct("field", "level", "value", "kind", "exception")).alias("said")).select("doc_id", "said", family_keys(F.col("family")).alias("named"))
+    met = listed.distinct().join(has, ["doc_id", "part_id"], "left").join(p, "part_id").join(wide, "doc_id")
+    unfit = F.coalesce("r_listed", other_family(F.col("mine"), F.col("named")))
+    met = met.select("doc_id", "part_id", "category", "has", unfit.alias("r_part"), "said")
+    offers = met.select("doc_id", "part_id", "category", "has", "r_part", F.explode("said").alias("x")).select("doc_id", "part_id", "category", "has", "r_part", "x.*")
+    r_field = inapplicable(F.col("category"), F.col("field"))
     rule = (
         F.when(F.col("kind") == "B", "class_b")
         .when(F.col("r_part").isNotNull(), F.col("r_part"))
-        .when(F.col("r_field").isNotNull(), F.col("r_field"))
-        .when(F.col("has"), "own_value")
+        .when(r_field.isNotNull(), r_field)
+        .when(F.array_contains("has", F.col("field")), "own_value")
         .when((F.col("kind") == "C") & F.col("exception"), "exception_in_document")
         .when(F.col("kind").isNull(), "no_class")
     )
-    offers = offers.withColumns({"r_part": undescribed(F.col("sku"), F.col("class"), F.col("category"), F.col("part_family"), F.col("family")), "r_field": inapplicable(F.col("category"), F.col("field"))})
     return own.unionByName(offers.select("doc_id", "part_id", "field", "level", "value", rule.alias("rule")))
 
 

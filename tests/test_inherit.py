@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from factloom.operators import inherit as x
 
 
@@ -23,3 +24,11 @@ def test_lattice(spark):
     assert {(r["part_id"], r["field"]): (r["level"], r["value"]) for r in x.nearest(values).collect()} == {(1, "w"): (0, 1.0), (2, "w"): (1, 2.0), (1, "c"): (1, 4.0), (2, "c"): (1, 4.0), (1, "flash"): (1, 6.0)}
     assert {r["rule"]: r["n"] for r in x.refusals(values).collect()} == {"own_value": 2, "not_applicable:transceiver": 1, "category:transceiver": 1, "family:mismatch": 2}
     assert x.inherited(stated.limit(0), listed, parts, x.classes_of(spark, A="a")).count() == 0
+
+
+def test_a_document_meets_a_part_once(spark, sf_dir):
+    """What a document states is dealt out into fields after it has met its parts; names are not compared for each field."""
+    for name in ("inherited_values", "inheritance_refusals"):
+        lines = __spark_entry__.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        dealt = [i for i, line in enumerate(lines) if "Generate explode(said" in line]
+        assert len(dealt) == 1 and not any("arrays_overlap" in line for line in lines[: dealt[0]]), name

@@ -7,6 +7,8 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .grids import read_into
+
 VOID = {"area", "base", "br", "col", "hr", "img", "input", "link", "meta", "source", "wbr"}
 
 
@@ -74,8 +76,7 @@ def read_page(html: str | None) -> list[dict]:
     if not html:
         return []
     page = Page()
-    page.feed(html)
-    page.close()
+    read_into(page, html)
     return [dict(zip(("kind", "locator", "label", "value"), r, strict=True)) for r in page.rows]
 
 

@@ -8,6 +8,7 @@ a label holds decides; of equally long ones that of the row's own section, then
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
@@ -48,7 +49,7 @@ def mapped_labels(rows: DataFrame, aliases: DataFrame) -> DataFrame:
 
     rows: label, section; aliases: alias, field, section (null: any), rank.
     """
-    pairs = rows.select("label", "section").distinct()
+    pairs = saved(rows.select("label", "section").distinct())
     spelt = aliases.select(F.array_join(words(F.col("alias")), " ").alias("prefix"), "field", F.col("section").alias("own"), "rank")
     hits = saved(found(pairs, aliases)).join(spelt, "prefix")
     order = F.struct(-F.col("depth"), F.col("own").isNull(), "rank", "start", "field")
@@ -68,7 +69,7 @@ def rule(field: Field) -> Column:
     return _rules[key]
 
 
-def typed(rows: DataFrame, fields: dict[str, Field]) -> DataFrame:
+def read_texts(rows: DataFrame, fields: dict[str, Field]) -> DataFrame:
     """v: each row's raw text by the rules of its field; null where the field has no rules."""
     rules = {k: rule(f) for k, f in fields.items() if f.kind != "ls"}
     lists = {k: f for k, f in fields.items() if f.kind == "ls"}
@@ -78,14 +79,26 @@ def typed(rows: DataFrame, fields: dict[str, Field]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def joined_back(rows: DataFrame, texts: DataFrame, key: list[str]) -> DataFrame:
+    """rows with what is known of their text; a null in the key is a value like others."""
+    more = [F.col(f"t.{c}") for c in texts.columns if c not in key]
+    return rows.alias("r").join(texts.alias("t"), reduce(and_, [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in key]), "left").select("r.*", *more)
+
+
+def typed(rows: DataFrame, fields: dict[str, Field]) -> DataFrame:
+    """v as in `read_texts`; every distinct text is read once, however many rows state it."""
+    key = ["field", "label", "raw"]
+    return joined_back(rows, read_texts(rows.select(*key).distinct(), fields), key)
+
+
 def mapped(rows: DataFrame, aliases: DataFrame, fields: dict[str, Field]) -> DataFrame:
     """rows (label, section, raw and more) with field, outcome and v.
 
     outcome: section (the value repeats the label), unmapped, sentinel (a field that begins with __), the reason of a refused
     value, no_rules (a field that the types lack), or ok.
     """
-    where = [F.col("r.label").eqNullSafe(F.col("m.label")), F.col("r.section").eqNullSafe(F.col("m.section"))]
-    joined = rows.alias("r").join(mapped_labels(rows, aliases).alias("m"), where[0] & where[1], "left").select("r.*", "m.field")
+    key = ["label", "section", "raw"]
+    texts = joined_back(rows.select(*key).distinct(), mapped_labels(rows, aliases), key[:2])
     outcome = (
         F.when(is_heading(F.col("label"), F.col("raw")), "section")
         .when(F.col("field").isNull(), "unmapped")
@@ -93,7 +106,7 @@ def mapped(rows: DataFrame, aliases: DataFrame, fields: dict[str, Field]) -> Dat
         .when(~F.col("field").isin(*fields), "no_rules")
         .otherwise(F.coalesce("v.reason", F.lit("ok")))
     )
-    return typed(joined, fields).withColumn("outcome", outcome)
+    return joined_back(rows, read_texts(texts, fields).withColumn("outcome", outcome), key)
 
 
 def unmapped_report(rows: DataFrame, samples: int = 3) -> DataFrame:

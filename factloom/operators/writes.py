@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.numbers import let
 from ..functions.text import first_of
 from ..sources.checkpoints import saved
 
@@ -83,30 +84,38 @@ def promotion_reason() -> Column:
 
 def full_pid(text: Column) -> Column:
     """A number as bulletins are looked up by, its grade kept; null if it is none."""
-    p = F.upper(F.trim(text))
-    bare = F.regexp_replace(F.regexp_replace(p, r"/K9(\+\+)?$", ""), "[+=]+$", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, "^(WS-C|WSC|WS-|WS|C1-)", ""), "^C(?=[0-9])", "")
-    return F.when((F.length(p) >= 5) & ~F.contains(p, F.lit(" ")) & F.contains(bare, F.lit("-")) & bare.rlike("[0-9]{3,4}"), bare)
+
+    def bare(p: Column) -> Column:
+        b = F.regexp_replace(F.regexp_replace(p, r"/K9(\+\+)?$", ""), "[+=]+$", "")
+        return F.regexp_replace(F.regexp_replace(b, "^(WS-C|WSC|WS-|WS|C1-)", ""), "^C(?=[0-9])", "")
+
+    fit = lambda p, b: (F.length(p) >= 5) & ~F.contains(p, F.lit(" ")) & F.contains(b, F.lit("-")) & b.rlike("[0-9]{3,4}")
+    return let(F.upper(F.trim(text)), lambda p: let(bare(p), lambda b: F.when(fit(p, b), b)))
 
 
 def core_pid(text: Column) -> Column:
     """The same without the grade at its end."""
-    core = F.regexp_replace(full_pid(text), "-([ESLA])$", "")
-    return F.when(F.contains(core, F.lit("-")) & core.rlike("[0-9]{3,4}") & (F.length(core) >= 5), core)
+    fit = lambda c: F.contains(c, F.lit("-")) & c.rlike("[0-9]{3,4}") & (F.length(c) >= 5)
+    return let(F.regexp_replace(full_pid(text), "-([ESLA])$", ""), lambda c: F.when(fit(c), c))
+
+
+def numbered(bulletins: DataFrame, number: Column, name: str) -> DataFrame:
+    """Bulletins with a number worked out of their own, without those that have none.  An explode, as a filter on the number
+    would be pushed below it and work it out again."""
+    return bulletins.select("*", F.explode(F.array_compact(F.array(number))).alias(name))
 
 
 def best_bulletins(bulletins: DataFrame) -> DataFrame:
     """Of each core number the bulletin with most dates, then the latest end of sale, then the first.  bulletins: bulletin_id,
     pid, successor, n_dates, end_of_sale."""
-    rows = bulletins.withColumn("core", core_pid(F.col("pid"))).where("core is not null")
     best = F.max_by(F.struct("bulletin_id", "successor", "end_of_sale"), F.struct("n_dates", F.coalesce("end_of_sale", F.lit("")), -F.col("bulletin_id"), F.col("pid")))
-    return rows.groupBy("core").agg(best.alias("b")).select("core", "b.*")
+    return numbered(bulletins, core_pid(F.col("pid")), "core").groupBy("core").agg(best.alias("b")).select("core", "b.*")
 
 
 def bulletin_successors(parts: DataFrame, bulletins: DataFrame) -> DataFrame:
     """Each part's bulletin and successor: that of its exact grade, none where the bulletins list the grade without one, else
     the core's."""
-    exact = bulletins.withColumn("full", full_pid(F.col("pid"))).where("full is not null").groupBy("full").agg(F.min_by("successor", F.when(F.col("successor").isNotNull(), F.struct("bulletin_id", "pid"))).alias("exact"), F.lit(True).alias("listed"))
+    exact = numbered(bulletins, full_pid(F.col("pid")), "full").groupBy("full").agg(F.min_by("successor", F.when(F.col("successor").isNotNull(), F.struct("bulletin_id", "pid"))).alias("exact"), F.lit(True).alias("listed"))
     out = parts.withColumns({"core": core_pid(F.col("sku")), "full": full_pid(F.col("sku"))}).join(best_bulletins(bulletins), "core").join(exact, "full", "left")
     return out.withColumn("successor", F.when(F.col("exact").isNotNull(), F.col("exact")).when(F.col("listed").isNull(), F.col("successor")))
 

@@ -108,8 +108,8 @@ def acquired_resolution(spark, d):
 @query(f"WITH {ENTRIES_SQL.strip()} SELECT label, outcome, field, count(*) AS n FROM mapped GROUP BY ALL")
 def acquired_labels(spark, d):
     parts, known = catalogue(spark, d)
-    own = entries(spark, d).where("coalesce(scope, '') <> 'family'")
-    found = x.resolved(own, parts, known).where("outcome = 'matched'").select("entry_id", "part_id").join(own, "entry_id").join(parts.select("part_id", "category"), "part_id")
+    own = saved(entries(spark, d).where("coalesce(scope, '') <> 'family'"))
+    found = saved(x.resolved(own, parts, known).where("outcome = 'matched'").select("entry_id", "part_id").join(own, "entry_id").join(parts.select("part_id", "category"), "part_id"))
     field = F.when(~F.startswith("field", F.lit("__")) & (F.col("outcome") != "section"), F.col("field"))
     return x.mapped_entries(found, dictionary(spark), RULES).groupBy("label", "outcome", field.alias("field")).agg(F.count(F.lit(1)).alias("n"))
 

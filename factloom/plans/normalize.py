@@ -92,7 +92,7 @@ def normalized_fields(spark, d):
 def normalize_report(spark, d):
     """Every text is read once, however many rows state it."""
     texts = raw_texts(spark, d).groupBy("field", "label", "raw").agg(F.count(F.lit(1)).alias("n"))
-    return typed(texts).groupBy("field", F.coalesce("v.reason", F.lit("ok")).alias("reason")).agg(F.sum("n").alias("n"))
+    return labels.read_texts(texts, FIELDS).groupBy("field", F.coalesce("v.reason", F.lit("ok")).alias("reason")).agg(F.sum("n").alias("n"))
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'section' WHEN 1 THEN 'ok' WHEN 2 THEN 'unmapped' WHEN 3 THEN 'UNIT_MISSING' ELSE 'ok' END AS outcome, CASE p_partkey % 5 WHEN 1 THEN p_size::DOUBLE WHEN 4 THEN p_size / 1000 END AS value FROM part""")

@@ -45,3 +45,25 @@ def test_named_parts(spark):
         x.named_parts(parts, refs(("a", "x-1"), ("a", "X-1")))
     with pytest.raises(ValueError):
         x.named_parts(parts, refs(("a", "x-1"), ("a", "Y-2")), most=1)
+
+
+@pytest.mark.parametrize("limit", (1, 3))
+def test_the_best_of_many_that_share_common_grams(spark, monkeypatch, limit):
+    """All numbers and terms begin alike; each block takes a few of them, and no table of theirs is broadcast."""
+    monkeypatch.setattr(x, "BLOCK", 4)
+    items = [(i, f"promo-{i}", f"Promo {i % 7} rings") for i in range(60)]
+    terms = [f"promo-{100 + 3 * i}" for i in range(20)] + ["rings", "o-1"]
+    frame = spark.createDataFrame(items, "id long, sku string, name string")
+    got = x.searched(frame, "id", "sku", "name", [], spark.createDataFrame([(t,) for t in terms], "term string"), limit=limit)
+    want = set()
+    for t in terms:
+        rows = [(-max(alike(s, t), alike(n, t)), s, i) for i, s, n in items if t in s or t in n.lower() or alike(s, t) >= 0.3]
+        want |= {(t, i, r) for r, (_, _, i) in enumerate(sorted(rows)[:limit], 1)}
+    assert {(r["term"], r["id"], r["rank"]) for r in got.collect()} == want
+
+
+def test_no_growing_table_of_a_search_is_broadcast(spark, sf_dir):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["ranked_search"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") <= 2  # blocks of grams, for items and terms

@@ -93,10 +93,15 @@ def full_pid(text: Column) -> Column:
     return let(F.upper(F.trim(text)), lambda p: let(bare(p), lambda b: F.when(fit(p, b), b)))
 
 
-def core_pid(text: Column) -> Column:
-    """The same without the grade at its end."""
+def core_of(full: Column) -> Column:
+    """A full number without the grade at its end."""
     fit = lambda c: F.contains(c, F.lit("-")) & c.rlike("[0-9]{3,4}") & (F.length(c) >= 5)
-    return let(F.regexp_replace(full_pid(text), "-([ESLA])$", ""), lambda c: F.when(fit(c), c))
+    return let(F.regexp_replace(full, "-([ESLA])$", ""), lambda c: F.when(fit(c), c))
+
+
+def core_pid(text: Column) -> Column:
+    """The same as `full_pid` without the grade at its end."""
+    return core_of(full_pid(text))
 
 
 def numbered(bulletins: DataFrame, number: Column, name: str) -> DataFrame:
@@ -105,18 +110,32 @@ def numbered(bulletins: DataFrame, number: Column, name: str) -> DataFrame:
     return bulletins.select("*", F.explode(F.array_compact(F.array(number))).alias(name))
 
 
-def best_bulletins(bulletins: DataFrame) -> DataFrame:
-    """Of each core number the bulletin with most dates, then the latest end of sale, then the first.  bulletins: bulletin_id,
-    pid, successor, n_dates, end_of_sale."""
-    best = F.max_by(F.struct("bulletin_id", "successor", "end_of_sale"), F.struct("n_dates", F.coalesce("end_of_sale", F.lit("")), -F.col("bulletin_id"), F.col("pid")))
-    return numbered(bulletins, core_pid(F.col("pid")), "core").groupBy("core").agg(best.alias("b")).select("core", "b.*")
+def listed_numbers(bulletins: DataFrame) -> DataFrame:
+    """Every number that bulletins list, by its exact grade, once: full, exact (the first successor named), b (its best bulletin)
+    and at (what that one is best by).  bulletins: bulletin_id, pid, successor, n_dates, end_of_sale.
+
+    Numbers are worked out once and dealt out by number, so that their rows are ordered once and not before the shuffle too."""
+    parts = int(bulletins.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = numbered(bulletins.select("bulletin_id", "pid", "successor", "n_dates", "end_of_sale"), full_pid(F.col("pid")), "full").repartition(parts, "full")
+    order = F.struct("n_dates", F.coalesce("end_of_sale", F.lit("")).alias("day"), (-F.col("bulletin_id")).alias("id"), F.col("pid").alias("pid"))
+    best = F.max(F.struct(order.alias("at"), F.struct("bulletin_id", "successor", "end_of_sale").alias("b")))
+    exact = F.min(F.when(F.col("successor").isNotNull(), F.struct("bulletin_id", "pid", "successor")))
+    return rows.groupBy("full").agg(best.alias("best"), exact.alias("exact")).select("full", F.col("exact.successor").alias("exact"), "best.b", "best.at")
+
+
+def best_bulletins(numbers: DataFrame) -> DataFrame:
+    """Of each core number the bulletin with most dates, then the latest end of sale, then the first.  numbers: as
+    `listed_numbers`."""
+    return numbered(numbers, core_of(F.col("full")), "core").groupBy("core").agg(F.max(F.struct("at", "b")).alias("x")).select("core", "x.b.*")
 
 
 def bulletin_successors(parts: DataFrame, bulletins: DataFrame) -> DataFrame:
     """Each part's bulletin and successor: that of its exact grade, none where the bulletins list the grade without one, else
     the core's."""
-    exact = numbered(bulletins, full_pid(F.col("pid")), "full").groupBy("full").agg(F.min_by("successor", F.when(F.col("successor").isNotNull(), F.struct("bulletin_id", "pid"))).alias("exact"), F.lit(True).alias("listed"))
-    out = parts.withColumns({"core": core_pid(F.col("sku")), "full": full_pid(F.col("sku"))}).join(best_bulletins(bulletins), "core").join(exact, "full", "left")
+    numbers = saved(listed_numbers(bulletins))
+    exact = numbers.select("full", "exact", F.lit(True).alias("listed")).hint("merge")
+    own = parts.withColumns({"core": core_pid(F.col("sku")), "full": full_pid(F.col("sku"))})
+    out = own.join(best_bulletins(numbers).hint("merge"), "core").join(exact, "full", "left")
     return out.withColumn("successor", F.when(F.col("exact").isNotNull(), F.col("exact")).when(F.col("listed").isNull(), F.col("successor")))
 
 

@@ -266,3 +266,16 @@ def test_merging_asks_in_order():
     long = "word " * 40
     assert merged(reading(text=long[:160]) | {"state": "verified"}, reading(text=long))[1:] == ("agree_same_doc", "prefix_truncated")
     assert merged(held, reading(num=11.0, tier=1, doc="e"))[1] == "conflict_lower_tier_wins" and merged(held, reading(num=11.0, tier=4, doc="e"))[1] == "conflict_higher_tier_rejected"
+
+
+def test_the_numbers_of_bulletins_are_read_once(spark):
+    """One shuffle of the bulletins' rows serves exact and core numbers; nulls and ties have one result."""
+    from factloom.operators import writes
+
+    rows = [(1, "WS-C1000-1-E", "A", 2, "2020-01-01"), (2, "1000-1-E", None, 3, None), (3, "C1000-1", None, 1, "2021-01-01"), (4, None, "X", 4, "2022-01-01"), (1, "WS-C1000-1-E", "B", 2, "2020-01-01"), (5, "word", "Y", 4, None)]
+    bulletins = spark.createDataFrame(rows, "bulletin_id long, pid string, successor string, n_dates int, end_of_sale string")
+    parts = spark.createDataFrame([(1, "1000-1-E"), (2, "1000-1"), (3, "1000-1-L"), (4, "2000-1"), (5, None)], "part_id long, sku string")
+    numbers = writes.listed_numbers(bulletins)
+    assert sorted((r["full"], r["exact"], r["b"]["bulletin_id"]) for r in numbers.collect()) == [("1000-1", None, 3), ("1000-1-E", "A", 2)]
+    got = writes.bulletin_successors(parts, bulletins).collect()
+    assert sorted((r["part_id"], r["bulletin_id"], r["end_of_sale"], r["successor"]) for r in got) == [(1, 2, None, "A"), (2, 2, None, None), (3, 2, None, None)]

@@ -71,7 +71,7 @@ def resolved(entries: DataFrame, parts: DataFrame, aliases: DataFrame) -> DataFr
     looked = asked.where("anchored is null and sku is not null").select("entry_id", "vendor", F.explode(names).alias("n")).select("entry_id", F.col("vendor").alias("asked"), "n.*").withColumn("key", F.upper("name"))
     known = parts.select("part_id", "vendor", F.col("sku").alias("spelt"), F.lit("parts").alias("table"), F.upper("sku").alias("key"))
     other = aliases.where(F.col("kind").isin(*NAMING_KINDS)).join(parts.select("part_id", "vendor"), "part_id").select("part_id", "vendor", F.col("value").alias("spelt"), F.lit("aliases").alias("table"), F.upper("value").alias("key"))
-    hits = looked.join(known.unionByName(other), ["key", "table"]).where("asked is null or asked = vendor")
+    hits = looked.join(known.unionByName(other).hint("merge"), ["key", "table"]).where("asked is null or asked = vendor")
     rank = F.col("rank") + F.when(F.col("rank").isin(1, 3) & (F.col("name") != F.col("spelt")), 1).otherwise(0)
     counted = hits.withColumn("rank", rank).groupBy("entry_id", "rank").agg(F.countDistinct("part_id").alias("n"), F.min("part_id").alias("part_id"), F.min("kind").alias("via_kind"))
     best = counted.groupBy("entry_id").agg(F.min(F.struct("rank", "n", "part_id", "via_kind")).alias("b"))

@@ -49,7 +49,7 @@ def catalogue(spark, d) -> tuple[DataFrame, DataFrame]:
     mine = p.select(key.alias("part_id"), F.col("p_brand").alias("vendor"), F.col("p_type").alias("category"), own.alias("sku"))
     twins = mine.where("part_id % 40 = 7").select((F.col("part_id") + 1000000).alias("part_id"), F.lit("Other").alias("vendor"), "category", "sku")
     known = p.where("p_partkey % 3 = 0").select(key.alias("part_id"), F.lit("vendor_alias").alias("kind"), F.concat(F.lit("ALT-"), key.cast("string")).alias("value"))
-    return mine.unionByName(twins), known
+    return mine.unionByName(twins).hint("merge"), known  # a union drops the hint of its parts
 
 
 def entries(spark, d) -> DataFrame:

@@ -81,7 +81,9 @@ def rows_in_order(own: DataFrame, key: list[str], order: list[str]) -> DataFrame
     since, until = [f"since_{c}" for c in order], [f"until_{c}" for c in order]
     names = [*key, "seq", *since, *until, *ROW, "made_by", "made_rule"]
     kinds |= {"seq": "long", "made_by": "string", "made_rule": "string"} | {f"{side}_{c}": kinds[c] for c in order for side in ("since", "until")}
-    dealt = own.select(*key, *order, *ROW).repartition(*key).sortWithinPartitions(*key, *order)
+    # by a hash of its own: where rows come from a join on the key, Spark takes repartition(*key) for done and leaves it out, and
+    # may then make the join a broadcast, so that a key's rows stay in many tasks
+    dealt = own.select(*key, *order, *ROW).repartition(F.xxhash64(*key)).sortWithinPartitions(*key, *order)
     k_, o_ = len(key), len(order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

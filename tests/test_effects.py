@@ -116,3 +116,23 @@ def test_cut_text_both_ways(spark):
     df = spark.createDataFrame(pairs, "a string, b string").withColumn("cut", x.cut_text(F.col("a"), F.col("b")))
     assert [r["cut"] for r in df.collect()] == [cut_text(a, b) for a, b in pairs]
     assert cut_text(text[:160], text) and not cut_text(text[:157], text)
+
+
+def test_a_key_is_one_tasks_though_its_founder_is_broadcast(spark):
+    """A join on the key is planned as a shuffle, and becomes a broadcast when one side turns out to be small."""
+    sizes = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "20k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k, None) for k in sizes}
+    rows = spark.range(0, 4000, 1, 8).selectExpr(
+        "id % 5 AS k", "id AS at", "cast(id DIV 400 AS double) AS num", "cast(null AS array<string>) AS items", "cast(null AS string) AS text", "'mm' AS unit", "1 AS tier",
+        "'d' AS doc", "concat('r', id DIV 1000) AS revision", "'1' AS reader", "'2024-01-01' AS read_on", "'x' AS raw",
+    )
+    founded = spark.range(5).selectExpr("id AS k").repartition(3)
+    try:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+        made = x.rows_in_order(rows.join(founded, "k"), ["k"], ["at"]).select("k", "seq", "until").collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted((r["k"], r["seq"]) for r in made) == [(k, seq) for k in range(5) for seq in range(1, 5)]
+    assert sum(r["until"] is None for r in made) == 5

@@ -52,7 +52,7 @@ def reread_gate(verdicts: DataFrame, group: str, least: float = 0.98) -> DataFra
 def redated(stored: DataFrame, pages: DataFrame, key: str) -> DataFrame:
     """Stored dates (key, milestone, day) against those that bulletins state now: of each milestone how many are stored, found
     on their page, stand there with another day, or are missing; and how many stated dates are not stored."""
-    now = bulletin_dates(cells(pages, key, "html"), key).select(key, "milestone", F.col("day").alias("stated"))
+    now = bulletin_dates(pages, key, "html").groupBy(key, "milestone").agg(F.min("day").alias("stated"))
     both = stored.join(now, [key, "milestone"], "full")
     has, states = F.col("day").isNotNull(), F.col("stated").isNotNull()
     counts = both.groupBy("milestone").agg(F.count_if(has).alias("stored"), F.count_if(F.col("day") == F.col("stated")).alias("found"), F.count_if(has & states & (F.col("day") != F.col("stated"))).alias("other_day"), F.count_if(has & ~states).alias("missing"), F.count_if(states & ~has).alias("not_stored"))

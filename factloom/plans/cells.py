@@ -47,17 +47,17 @@ def bulletins(spark, d):
         F.lit("<table>"), row("Name", "Value"), F.lit("</table><table>"), row("End-of-Life Announcement Date", "x", long(day)), row("End-of-Sale Date: HW", "y", long(day + F.expr("interval 100 days"))), row("End-of-Sale Date: again", "y", long(day)), row("Last Ship Date", "z", "soon"), row("Last Date of Support", "z", long(day + F.expr("interval 1000 days"))),
         F.lit("</table><table>"), row(F.concat(F.lit("OLD-"), key), "one"), F.lit("</table><table>"), row("Affected", "Text", "New"), row(F.concat(F.lit("OLD-"), key), "a", F.concat(F.lit("NEW-"), key)), row(F.concat(F.lit("OLD-"), key, F.lit("-E")), "b", "see the notes"), F.lit("</table>"),
     )
-    return x.cells(spread(load(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey").select("o_orderkey", html.alias("html")), "o_orderkey", "html")
+    return spread(load(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey").select("o_orderkey", html.alias("html"))
 
 
 @query("SELECT o_orderkey, m AS milestone, strftime(o_orderdate + INTERVAL 1 DAY * n, '%Y-%m-%d') AS day FROM orders, (VALUES ('announced', 0), ('end_of_sale', 100), ('end_of_support', 1000)) t(m, n)")
 def bulletin_dates(spark, d):
-    return x.bulletin_dates(bulletins(spark, d), "o_orderkey").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    return x.bulletin_dates(bulletins(spark, d), "o_orderkey", "html").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @query("SELECT o_orderkey, 'OLD-' || (o_orderkey + 1000) || s AS pid, CASE WHEN s = '' THEN 'NEW-' || (o_orderkey + 1000) END AS successor FROM orders, (VALUES (''), ('-E')) t(s)")
 def bulletin_parts(spark, d):
-    return x.bulletin_parts(bulletins(spark, d), "o_orderkey")
+    return x.bulletin_parts(bulletins(spark, d), "o_orderkey", "html")
 
 
 @query("SELECT p_partkey, '/eol/' || p_size || '.html' AS value FROM part")
